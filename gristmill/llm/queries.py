@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .mixing import curriculum_mix
 from .ngram_join import ngram_components
+from .toxicity import NgramModel, fit, scored
+from .url_filter import url_verdicts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,15 +36,88 @@ SELECT doc_id,
 FROM t
 """
 
+def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum_mix(read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+           md5(coalesce(doc_id::VARCHAR, '')) AS ord
+    FROM documents
+), totals AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
+    FROM d GROUP BY source
+), ranked AS (
+    SELECT *, [0.5::DOUBLE, 2.0, 4.5][(rank - 1) % 3 + 1] AS w0, [1.5::DOUBLE, 2.0, 1.5][(rank - 1) % 3 + 1] AS w1,
+           [1.0::DOUBLE, 2.0, 3.0][(rank - 1) % 3 + 1] AS w, 3 * source_size AS cap
+    FROM totals
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE
+              / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+    FROM ranked
+    WINDOW before AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), one AS (
+    SELECT arg_min(level, cap::DOUBLE / w * 1e6 + rank) AS free_level FROM levels WHERE cap > w * level
+), targets AS (
+    SELECT source, source_size, w0, w1, w, coalesce(least(cap::DOUBLE, w * free_level), 0.0) AS target
+    FROM levels LEFT JOIN one ON true
+), placed AS (
+    SELECT doc_id, size, source_size, target, w0, w1, w, floor(target)::BIGINT AS wanted,
+           coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source
+), copies AS (
+    SELECT *, least(greatest(wanted - before, 0), size) AS c0, least(greatest(wanted - source_size - before, 0), size) AS c1,
+           least(greatest(wanted - 2 * source_size - before, 0), size) AS c2
+    FROM placed
+), due AS (
+    SELECT *, w * ((before + c0 / 2.0::DOUBLE) / target) AS due FROM copies
+)
+SELECT doc_id, size, source_size, target, (c0 + c1 + c2)::BIGINT AS taken,
+       (c0 > 0)::INTEGER + (c1 > 0)::INTEGER + (c2 > 0)::INTEGER AS copies,
+       CASE WHEN c0 + c1 + c2 > 0 THEN CASE WHEN due > 0 THEN 2 * due / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * due)) ELSE 0 END END AS position
+FROM due
+"""
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages"))
+
+
+def fold(modulus: int):
+    """The remainder that splits rows into folds: CRC-32 of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> NgramModel:
+    """Fitted to labels outside the held-out fold."""
+    return fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter(fold(3) != 1), "toxic")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scored(docs, toxicity_model(spark, sf_dir))
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_decontaminate": op5_decontaminate,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_curriculum_mix": OP4_SQL,
 }
