@@ -11,6 +11,7 @@ from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .mixing import curriculum_mix
 from .ngram_join import ngram_components
+from .quality import quality
 from .toxicity import NgramModel, fit, scored
 from .url_filter import url_verdicts
 
@@ -36,6 +37,12 @@ SELECT doc_id,
 FROM t
 """
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _ = quality(docs, read(spark, sf_dir, "labels").filter(fold(4) != 2), "quality")
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(read(spark, sf_dir, "documents"))
 
@@ -110,6 +117,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_decontaminate": op5_decontaminate,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
