@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .mixing import curriculum_mix
 from .ngram_join import ngram_components
 from .quality import quality
+from .token_counts import token_counts
 from .toxicity import NgramModel, fit, scored
 from .url_filter import url_verdicts
 
@@ -91,6 +92,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents")).drop("text_key")
 
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_counts": op6_token_counts,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
