@@ -11,6 +11,8 @@ from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .mixing import curriculum_mix
 from .ngram_join import ngram_components
+from .pii import KINDS as PII_KINDS
+from .pii import personal_data
 from .quality import quality
 from .token_counts import token_counts
 from .toxicity import NgramModel, fit, scored
@@ -44,6 +46,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def spans_text(column: str):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col("n")[k].alias(f"n_{kind}") for k, kind in enumerate(PII_KINDS)], "base_sha256", spans_text("spans").alias("spans"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(read(spark, sf_dir, "documents"))
 
@@ -123,6 +135,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_personal_data": op3_personal_data,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
