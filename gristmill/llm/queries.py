@@ -14,6 +14,8 @@ from .ngram_join import ngram_components
 from .pii import KINDS as PII_KINDS
 from .pii import personal_data
 from .quality import quality
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import secrets
 from .token_counts import token_counts
 from .toxicity import NgramModel, fit, scored
 from .url_filter import url_verdicts
@@ -108,6 +110,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col("n")[k].alias(f"n_{kind}") for k, kind in enumerate(SECRET_KINDS)], "base_sha256", spans_text("spans").alias("spans"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents")).drop("text_key")
 
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
+    "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
