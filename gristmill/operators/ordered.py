@@ -27,18 +27,19 @@ def with_row_number(df: DataFrame, order_by: list[str] | None = None) -> DataFra
 
 def interpolate(df: DataFrame, columns: list[str]) -> DataFrame:
     """Inner nulls of numeric columns from their neighbours by row number, trailing ones from the last value; leading ones stay."""
-    inside = Window.partitionBy(BLOCK).orderBy(ROW)
-    past, next_ = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    # What follows is what precedes in descending order: frames that grow cost one step a row.
+    growing = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    past, next_ = (growing(Window.partitionBy(BLOCK).orderBy(o)) for o in (F.col(ROW).asc(), F.col(ROW).desc()))
     point = {c: F.when(col(c).isNotNull(), F.struct(F.col(ROW).alias("at"), col(c).cast("double").alias("v"))) for c in columns}
     ends = df.groupBy(BLOCK).agg(*[f(point[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("first", F.min), ("last", F.max))])
-    blocks = Window.orderBy(BLOCK)
+    earlier, later = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(BLOCK).asc(), F.col(BLOCK).desc()))
     carried = []
     for i in range(len(columns)):
-        carried.append(F.last(f"last{i}", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__p{i}"))
-        carried.append(F.first(f"first{i}", True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias(f"__n{i}"))
+        carried.append(F.last(f"last{i}", True).over(earlier).alias(f"__p{i}"))
+        carried.append(F.last(f"first{i}", True).over(later).alias(f"__n{i}"))
     wide = df.join(materialized(ends.select(F.col(BLOCK), *carried)), BLOCK)
     for i, c in enumerate(columns):
-        wide = wide.withColumn(f"__p{i}", F.coalesce(F.last(point[c], True).over(past), F.col(f"__p{i}"))).withColumn(f"__n{i}", F.coalesce(F.first(point[c], True).over(next_), F.col(f"__n{i}")))
+        wide = wide.withColumn(f"__p{i}", F.coalesce(F.last(point[c], True).over(past), F.col(f"__p{i}"))).withColumn(f"__n{i}", F.coalesce(F.last(point[c], True).over(next_), F.col(f"__n{i}")))
     filled = {}
     for i, c in enumerate(columns):
         p, n = F.col(f"__p{i}"), F.col(f"__n{i}")
