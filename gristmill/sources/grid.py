@@ -140,12 +140,12 @@ def cast_numeric_like(df: DataFrame) -> DataFrame:
 
 
 def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
-    """Lines whose bytes were read one to a character, in their real encoding."""
+    """Lines of bytes as texts of their encoding (one that Spark's own readers don't know)."""
     import pyarrow as pa
 
     def decode(batches):
         for batch in batches:
-            texts = [None if v is None else v.encode("iso-8859-1").decode(encoding, "replace") for v in batch.column(0).to_pylist()]
+            texts = [None if v is None else v.decode(encoding, "replace") for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
 
     return lines.mapInArrow(decode, "value string")
@@ -168,7 +168,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     if encoding in SPARK_ENCODINGS:
         raw = spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
     else:  # other encodings are decoded line by line from the bytes
-        lines = _decoded(spark.read.option("encoding", "iso-8859-1").text(path), encoding)
+        lines = _decoded(spark.read.text(path).select(F.col("value").cast("binary")), encoding)
         raw = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter}).alias("r")).select("r.*")
     cells = raw.select(*[F.nullif(F.trim(F.replace(col(c), F.lit("﻿"), F.lit(""))), F.lit("")).alias(c) for c in raw.columns])
     if max_rows:
