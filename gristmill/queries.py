@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import categories, charts, combine, dedup, missing, ordered, outliers, profile, quality, ranking, series, store
+from .plans import analyze as analysis
+from .plans import clean as cleaning
+from .plans.kpis import detect_kpis
+from .plans.relate import relationship_suggestions as related
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -317,3 +321,43 @@ def cosine_to_first(spark, sf_dir):
 def row_numbers(spark, sf_dir):
     out = ordered.with_row_number(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
     return out.select("o_orderkey", F.col(ordered.ROW).alias("row_number"))
+
+
+@query("SELECT 'l_extendedprice' AS column_name, 'revenue' AS kpi_type, round(sum(l_extendedprice), 2) AS value, true AS is_total, true AS is_currency FROM lineitem UNION ALL SELECT 'l_quantity', 'orders', round(sum(l_quantity), 2), true, false FROM lineitem")
+def kpi_detection(spark, sf_dir):
+    columns, _ = analysis.describe(read(spark, sf_dir, "lineitem"))
+    rows = [(k["column"], k["kpi_type"], float(k["value"]), k["is_total"], k["is_currency"]) for k in detect_kpis(columns)]
+    return spark.createDataFrame(rows, "column_name string, kpi_type string, value double, is_total boolean, is_currency boolean").withColumn("value", F.round("value", 2))
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'numeric_metric', 'metric'), ('o_custkey', 'numeric_metric', 'metric'), ('o_orderstatus', 'categorical_dimension', 'dimension'), ('o_totalprice', 'currency', 'metric'), ('o_orderdate', 'date', 'temporal_dimension'), ('o_orderpriority', 'categorical_dimension', 'dimension')) AS t(column_name, meaning, role)")
+def column_semantics(spark, sf_dir):
+    columns, _ = analysis.describe(read(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(c.name, c.meaning, c.role) for c in columns], "column_name string, meaning string, role string")
+
+
+@query()
+def relationship_suggestions(spark, sf_dir):
+    files = {t: [r.asDict() for r in profile.frame_profile(read(spark, sf_dir, t)).collect()] for t in ("labels", "documents", "conversations")}
+    rows = [(s["type"], s["confidence"], s["columns"], s["files"]) for s in related(files)]
+    return spark.createDataFrame(rows, "type string, confidence double, columns array<string>, files array<string>")
+
+
+@query()
+def frame_profile(spark, sf_dir):
+    return profile.frame_profile(read(spark, sf_dir, "customer"))
+
+
+@query()
+def insight_rows(spark, sf_dir):
+    return analysis.insight_rows(spark, analysis.analyze(read(spark, sf_dir, "orders"), "orders"))
+
+
+@query("SELECT o_orderkey::DOUBLE AS order_number, round(o_totalprice, 2) AS total_price, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE o_orderpriority END AS priority, o_orderdate::DATE AS order_date FROM orders")
+def clean_pipeline(spark, sf_dir):
+    """Orders written as texts with currency signs, missing tokens and padded names, cleaned back."""
+    d = read(spark, sf_dir, "orders")
+    priority = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
+    raw = d.select(F.col("o_orderkey").cast("string").alias("Order Number"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Total Price"), priority.alias("Priority"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Order Date"))
+    out, _ = cleaning.clean(raw, cleaning.CleaningOptions(semantic_categorical_merging=False))
+    return out.withColumn("total_price", F.round("total_price", 2))

@@ -26,7 +26,7 @@ def test_normal_header_delimiters_and_encodings(spark, tmp_path):
     assert detect_delimiter("a;b;c\n1;2;3\n") == ";" and detect_delimiter("", "\t") == "\t" and detect_delimiter("a|b\nc|d") == "|"
     assert detect_encoding(b"\xef\xbb\xbfa") == "utf-8" and detect_encoding("é".encode()) == "utf-8"
     assert header_names([" a  b ", None, "a b"]) == ["a b", "column_2", "a b_2"]
-    assert find_header([["1", "2"], ["3", "4"]]) is None
+    assert find_header([["Title", None], ["note", None], ["x", None]]) is None and find_header([["a"], ["b"]]) is None
 
 
 def test_formats_and_sinks(spark, tmp_path):
