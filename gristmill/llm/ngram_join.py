@@ -12,10 +12,12 @@ follows the global order of shingles, rare ones first, which is cut into fragmen
    link share one of the first ``n - ceil(s * n) + 1`` shingles of both.
 3. *Partial overlaps.* Candidate pairs meet fragment by fragment (fragments of the global order are
    cut at powers of two of the frequency); each gives a partial overlap, the sum decides exactly.
-   Pairs are taken in rounds: first each text only with the text it shares most prefix shingles
-   with among the least of each shingle, and what links merges; then all pairs that are still in
-   different components. A group of thousands of near copies merges in the rounds, and pairs
-   inside a component are not needed for components. No pair across components is left out.
+   First each text meets one centre: of the texts with the commonest shingles among those that
+   share a prefix shingle with it, the one it shares most with. What links merges, so a group of
+   thousands of near copies takes as many pairs as it has texts.
+4. *Blocks.* Then every two texts of different components that share a prefix shingle are compared,
+   blocks of texts at a time inside tasks, fragment by fragment as well; only links come out. Pairs
+   inside a component can't change components; no pair across components is left out.
 
 Defined cases: a null text counts as empty; a text without words has an empty set and is a component
 of its own. A null id is no smallest id: a component with null ids only has a null component_id.
@@ -43,8 +45,10 @@ SUB_ROWS, SUB_BYTES = 16384, 16 << 20
 FRAGMENT_SHINGLES = 4_000_000
 #: Rows up to which a list of keys is broadcast (under 64 MB); a longer one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Rounds that compare each text with one other, before all pairs across components.
-STAR_ROUNDS = 3
+#: Texts and shingles of a block of texts that are compared with another block in one task.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 500_000
+#: The fragment of the global order that an entry (df, shingle) falls into.
+BAND = "int(log2(e.df))"
 _NO_ROW = 0xFFFF
 
 
@@ -219,43 +223,31 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     ordered = work.table(ordered.filter(f"100 * size(order) >= {percent} * n"), "ordered")
     # Shingles of no other text come first in the order and meet nothing; the prefix's rest is counted from there.
     prefix = f"size(order) - ({percent} * n + 99) div 100 + 1"
-    heads = work.table(ordered.select("node", "n", F.explode(F.expr(f"slice(order, 1, int({prefix}))")).alias("e")).select("node", "n", F.col("e.shingle").alias("shingle")), "heads")
-    # 3. Fragments of the order, cut where the frequency reaches a power of two.
-    segments = ordered.select("node", F.explode("order").alias("e")).select("node", F.expr("int(log2(e.df))").alias("band"), F.col("e.shingle").alias("shingle"))
-    segments = work.table(segments.groupBy("node", "band").agg(F.collect_list("shingle").alias("segment")), "segments")
-    labels = work.table(ordered.select("node", "n", F.col("node").alias("label")), "labels-0")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Sum the partial overlaps of pairs (a, na, b, nb) over the fragments; keep those that link."""
-        left = segments.select(F.col("node").alias("a"), "band", F.col("segment").alias("of_a"))
-        right = segments.select(F.col("node").alias("b"), "band", F.col("segment").alias("of_b"))
-        part = pairs.join(left, "a").join(right, ["b", "band"]).select("a", "na", "b", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
-        total = part.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap"))
-        return total.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
-
-    for turn in range(1, STAR_ROUNDS + 2):
-        open_ = _open_buckets(work, heads, labels, turn)
-        if open_.isEmpty():
-            break
-        fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        if turn <= STAR_ROUNDS:
-            centre = open_.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("c"))
-            met = open_.join(work.table(centre, f"centre-{turn}"), "shingle").filter("label <> c.label").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("c.node").alias("b"), F.col("c.n").alias("nb"))
-            votes = met.filter(fits).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("votes"))
-            pairs = votes.groupBy("a", "na").agg(F.max(F.struct("votes", "b", "nb")).alias("c")).select("a", "na", F.col("c.b").alias("b"), F.col("c.nb").alias("nb"))
-        else:
-            kinds = open_.select("shingle", "label").distinct()
-            across = kinds.alias("x").join(kinds.alias("y"), "shingle").filter("x.label < y.label").select("shingle", F.col("x.label").alias("p"), F.col("y.label").alias("q"))
-            one = open_.select("shingle", F.col("label").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"))
-            other = open_.select("shingle", F.col("label").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"))
-            pairs = across.join(one, ["shingle", "p"]).join(other, ["shingle", "q"]).filter(fits).select("a", "na", "b", "nb").distinct()
-        found = work.table(linked(work.table(pairs, f"pairs-{turn}")), f"found-{turn}")
-        if found.isEmpty():
-            continue
-        ends = labels.select("node", "label")
-        edges = found.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        roots = components(work, edges, f"merge-{turn}").toDF("label", "root")
-        labels = work.table(labels.join(roots, "label", "left").select("node", "n", F.coalesce("root", "label").alias("label")), f"labels-{turn}")
+    heads = ordered.select("node", "n", F.expr("aggregate(order, 0D, (s, e) -> s + e.df) / n").alias("common"), F.explode(F.expr(f"slice(order, 1, int({prefix}))")).alias("e"))
+    heads = work.table(heads.select("node", "n", "common", F.col("e.shingle").alias("shingle")), "heads")
+
+    # 3. Each text with the best of the centres of its prefix shingles; a shingle's centre is its text with the commonest shingles.
+    centre = heads.groupBy("shingle").agg(F.max_by(F.struct("node", "n"), F.struct("common", "node")).alias("c"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    met = heads.join(work.table(centre.select("shingle", "c"), "centres"), "shingle").filter("node <> c.node")
+    met = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("c.node").alias("b"), F.col("c.n").alias("nb")).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    votes = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("votes"))
+    stars = work.table(votes.groupBy("a", "na").agg(F.max(F.struct("votes", "b", "nb")).alias("c")).select("a", "na", F.col("c.b").alias("b"), F.col("c.nb").alias("nb")), "stars")
+    found = work.table(_linked(ordered, stars, percent), "star-links")
+    labels = ordered.select("node", "n", F.col("node").alias("label"))
+    if not found.isEmpty():
+        labels = _relabelled(work, labels, found, "stars")
+
+    # 4. All pairs across components that share a prefix shingle, block by block.
+    now = work.table(heads.select("node", "shingle").join(labels, "node"), "now")
+    mixed = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    open_ = work.table(now.join(work.table(mixed, "mixed"), "shingle", "left_semi"), "open")
+    if not open_.isEmpty():
+        found = work.table(_across(work, ordered, open_, stars, percent), "block-links")
+        if not found.isEmpty():
+            ends = labels.select("node", "label")
+            edges = found.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+            roots = components(work, edges, "blocks").toDF("label", "root")
+            labels = work.table(labels.join(roots, "label", "left").select("node", "n", F.coalesce("root", "label").alias("label")), "labels")
 
     # The set of the least node of a component names it; a set that links with no other names itself.
     named = labels.join(sets.select("node", "sign"), "node")
@@ -268,11 +260,74 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     return placed.join(groups, "name", "left").select("id", "key", "n", F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.expr("if(members is null, id, least_id)").alias("component_id"), "first_id", "first_key")
 
 
-def _open_buckets(work: Workspace, heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """The prefix entries of shingles that stand in more than one component, with their components."""
-    now = work.table(heads.join(labels.select("node", "label"), "node"), f"now-{turn}")
-    mixed = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    return work.table(now.join(work.table(mixed, f"mixed-{turn}"), "shingle", "left_semi"), f"open-{turn}")
+def _relabelled(work: Workspace, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    roots = components(work, links, name).toDF("node", "root")
+    return work.table(labels.join(roots, "node", "left").select("node", "n", F.coalesce("root", "label").alias("label")), f"{name}-labels")
+
+
+def _linked(ordered: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Sum the partial overlaps of pairs (a, na, b, nb) over the fragments of the order; keep those that link."""
+    segments = ordered.select("node", F.explode("order").alias("e")).select("node", F.expr(BAND).alias("band"), F.col("e.shingle").alias("shingle"))
+    segments = segments.groupBy("node", "band").agg(F.collect_list("shingle").alias("segment"))
+    left = segments.select(F.col("node").alias("a"), "band", F.col("segment").alias("of_a"))
+    right = segments.select(F.col("node").alias("b"), "band", F.col("segment").alias("of_b"))
+    part = pairs.join(left, "a").join(right, ["b", "band"]).select("a", "na", "b", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
+    total = part.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap"))
+    return total.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
+
+
+def _across(work: Workspace, ordered: DataFrame, open_: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, from every two texts that share a shingle of ``open_``.
+
+    Texts with the same centre stand in blocks of bounded size. Two blocks meet in one task when
+    texts of different components in them share a shingle; pairs are counted there, in numpy, and
+    only links come out.
+    """
+    texts = open_.select("node", "n", "label").distinct().join(stars.select(F.col("a").alias("node"), F.col("b").alias("centre")), "node", "left")
+    texts = work.table(texts.withColumn("centre", F.coalesce("centre", "node")), "block-texts")
+    parts = texts.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    texts = texts.join(work.table(parts, "block-parts"), "centre").select("node", "n", "label", F.expr("xxhash64(centre, pmod(xxhash64(node), parts))").alias("block"))
+    texts = work.table(texts, "blocks")
+    kinds = open_.join(texts.select("node", "block"), "node").groupBy("shingle", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    kinds = work.table(kinds, "block-kinds")
+    meet = kinds.alias("x").join(kinds.alias("y"), "shingle").filter("x.block < y.block AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low) OR x.block = y.block AND x.low < x.high")
+    pairs = work.table(meet.select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct(), "block-pairs")
+    full = texts.join(ordered.select("node", F.expr("transform(order, e -> e.shingle)").alias("shingles"), F.expr(f"transform(order, e -> {BAND})").alias("bands")), "node")
+    full = work.table(full, "block-sets")
+    sent = pairs.join(full, pairs["p"] == full["block"]).withColumn("side", F.lit(0)).union(pairs.filter("p <> q").join(full, F.col("q") == F.col("block")).withColumn("side", F.lit(1)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = _compare(table, percent)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sent.drop("block").groupBy("p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _compare(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """The linking pairs of different labels between the sides 0 and 1, or inside side 0 if it is alone."""
+    node, label, n, side = (np.asarray(table.column(c)) for c in ("node", "label", "n", "side"))
+    lists = table.column("shingles").combine_chunks()
+    sizes = np.diff(np.asarray(lists.offsets))
+    _, tokens = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    bands = np.asarray(table.column("bands").combine_chunks().flatten())
+    ends = np.cumsum(sizes)
+    owner, width = np.repeat(np.arange(len(node)), sizes), int(bands.max(initial=0)) + 1
+    flags, found = np.zeros(int(tokens.max(initial=-1)) + 1, bool), ([], [])
+    alone = not (side == 1).any()
+    for i in np.flatnonzero(side == 0):
+        fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        fits &= np.arange(len(node)) > i if alone else side == 1
+        if fits.any():
+            own = tokens[ends[i] - sizes[i] : ends[i]]
+            flags[own] = True
+            some = np.flatnonzero(flags[tokens] & fits[owner])
+            flags[own] = False
+            partial = np.bincount(owner[some] * width + bands[some], minlength=len(node) * width).reshape(len(node), width)
+            overlap = partial.sum(axis=1)  # over the fragments
+            for j in np.flatnonzero(fits & (100 * overlap >= percent * (n + n[i] - overlap))):
+                found[0].append(int(node[i]))
+                found[1].append(int(node[j]))
+    return found
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:
