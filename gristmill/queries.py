@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import names
 from .functions import text as T
 from .operators import categories, charts, combine, dedup, missing, ordered, outliers, profile, quality, ranking, series, store
 from .plans import analyze as analysis
 from .plans import clean as cleaning
+from .plans.chart_plan import select_charts
 from .plans.kpis import detect_kpis
 from .plans.relate import relationship_suggestions as related
+from .sources import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -353,11 +356,60 @@ def insight_rows(spark, sf_dir):
     return analysis.insight_rows(spark, analysis.analyze(read(spark, sf_dir, "orders"), "orders"))
 
 
-@query("SELECT o_orderkey::DOUBLE AS order_number, round(o_totalprice, 2) AS total_price, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE o_orderpriority END AS priority, o_orderdate::DATE AS order_date FROM orders")
+@query("SELECT o_orderkey::DOUBLE AS order_number, round(o_totalprice, 2) AS total_price, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE o_orderstatus END AS status, o_orderdate::DATE AS order_date FROM orders")
 def clean_pipeline(spark, sf_dir):
     """Orders written as texts with currency signs, missing tokens and padded names, cleaned back."""
     d = read(spark, sf_dir, "orders")
-    priority = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
-    raw = d.select(F.col("o_orderkey").cast("string").alias("Order Number"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Total Price"), priority.alias("Priority"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Order Date"))
+    status = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")))
+    raw = d.select(F.col("o_orderkey").cast("string").alias("Order Number"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("Total Price"), status.alias("Status"), F.date_format("o_orderdate", "dd MMM yyyy").alias("Order Date"))
     out, _ = cleaning.clean(raw, cleaning.CleaningOptions(semantic_categorical_merging=False))
     return out.withColumn("total_price", F.round("total_price", 2))
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND lower(o_orderstatus) LIKE '%f%'")
+def filters(spark, sf_dir):
+    return store.filtered(read(spark, sf_dir, "orders"), search={"o_orderstatus": "f"}, among={"o_orderpriority": ["1-URGENT", "2-HIGH"]}).filter("o_totalprice IS NOT NULL").select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("SELECT r_regionkey::DOUBLE AS \"Region Id\", r_name AS \"Region Name\" FROM region")
+def promoted_header(spark, sf_dir):
+    """A grid of texts with a title row and an empty one above the header."""
+    region = read(spark, sf_dir, "region").select((F.col("r_regionkey") + 10).cast("long").alias("row"), F.col("r_regionkey").cast("string").alias("column_1"), F.col("r_name").alias("column_2"))
+    above = spark.createDataFrame([(0, "Report of regions", None), (1, None, None), (2, "Region  Id", "Region Name")], "row long, column_1 string, column_2 string")
+    return grid.cast_numeric_like(grid.promote_header(above.union(region), "row"))
+
+
+@query("SELECT c_name AS customer_name, c_acctbal AS acct_bal_currency, c_mktsegment AS market_and_segment, c_custkey AS column_4, c_nationkey AS column_4_2 FROM customer")
+def standard_column_names(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select("c_name", "c_acctbal", "c_mktsegment", "c_custkey", "c_nationkey")
+    return d.toDF(*names.standard_names([" Customer  Name", "Acct.Bal $", "Market&Segment", "??", "column 4"]))
+
+
+@query("SELECT 'orders' AS table_name, count(*) - count(o_orderdate) AS missing_dates, count(*) FILTER (o_totalprice < 0) AS negative, count(DISTINCT o_custkey) AS customers FROM orders")
+def counted_conditions(spark, sf_dir):
+    return read(spark, sf_dir, "orders").agg(F.lit("orders").alias("table_name"), F.count_if(F.col("o_orderdate").isNull()).alias("missing_dates"), F.count_if(F.col("o_totalprice") < 0).alias("negative"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def ask_ranking(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("market_segment"), F.col("c_acctbal").alias("account_balance"))
+    return analysis.ask(d, "Which are the top market segments by account balance?").withColumn("total", F.round("total", 2))
+
+
+@query()
+def anomaly_report(spark, sf_dir):
+    d = read(spark, sf_dir, "orders")
+    rows = [(a["type"], a["column"], float(a["value"]), float(a["expected"]), float(a["score"])) for a in analysis.anomalies(d, analysis.describe(d)[0])]
+    return spark.createDataFrame(rows, "type string, column_name string, value double, expected double, score double")
+
+
+@query()
+def chart_plan(spark, sf_dir):
+    columns, facts = analysis.describe(read(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(c["id"], c["type"], c["x"], c["measures"]) for c in select_charts(columns, facts["correlations"])], "id string, type string, x string, measures array<string>")
+
+
+@query()
+def recommendation_report(spark, sf_dir):
+    found = analysis.analyze(read(spark, sf_dir, "orders"), "orders")["recommendations"]
+    return spark.createDataFrame([(r["title"], r["problem"], r["evidence"], r["importance"], float(r["confidence"])) for r in found], "title string, problem string, evidence string, importance string, confidence double")
