@@ -13,7 +13,8 @@ meets in one task.
 
 Defined cases: a null text has no words and is never taken; null sources are one source, the last;
 null ids and repeated rows are rows like others; without words all targets are 0. Extra columns are
-carried when they are listed in ``carry``, whatever their names.
+carried when they are listed in ``carry``; one with the name of a result's column is then called
+``document_<name>``.
 """
 
 from __future__ import annotations
@@ -90,7 +91,9 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = placed.withColumn("taken", sum(each[1:], each[0])).withColumn("first", each[0])
     placed = placed.withColumn("copies", sum([(x > 0).cast("int") for x in each[1:]], (each[0] > 0).cast("int")))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, schedule_position((F.col("before") + F.col("first") / 2) / F.col("target"))))
-    out = placed.select(F.col("id").alias(id_col), *[F.col(h).alias(c) for c, h in held.items() if c != id_col], "size", "source_size", "target", "taken", "copies", "position")
+    taken_names = [id_col, "size", "source_size", "target", "taken", "copies", "position"]
+    called = {c: free_name([*taken_names, *carry], f"document_{c}") if c.lower() in [n.lower() for n in taken_names] else c for c in carry}
+    out = placed.select(F.col("id").alias(id_col), *[F.col(h).alias(called[c]) for c, h in held.items() if c != id_col], "size", "source_size", "target", "taken", "copies", "position")
     return out.orderBy(F.col("position").asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
 
 
