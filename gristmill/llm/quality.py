@@ -50,7 +50,7 @@ def block_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), words)
     inside = ~SPACE[data]
     bytes_ = _per_row(inside, offsets)
-    pairs = np.unique(np.stack([owner.astype(np.uint64), hashed]), axis=1)[0] if len(hashed) < 2 else _distinct(owner, hashed)
+    pairs = _distinct(owner, hashed)
     last = np.r_[False, (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])]
     # Lines, as runs between line feeds; empty ones don't count.
     breaks = data == 10

@@ -22,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Named Parquet tables that cut lineage: a lost executor costs no recomputation of what is written here."""
+    """Named Parquet tables that cut lineage: a lost executor costs no recomputation of what is written here.
+
+    Results read them lazily, so they stay; a ``gristmill-*`` folder may go once its results are written.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
