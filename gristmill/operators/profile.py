@@ -129,11 +129,12 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return values_by_column(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALUES, up_to: int = TOP_VALUES_UP_TO, most: int = MOST_CATEGORICAL) -> DataFrame:
-    """(column_name, value, count, place) of columns with at most ``up_to`` distinct values; ties by value."""
+def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALUES, up_to: int = TOP_VALUES_UP_TO, most: int = MOST_CATEGORICAL, distinct: dict[str, int] | None = None) -> DataFrame:
+    """(column_name, value, count, place) of columns with at most ``up_to`` distinct values (counted here unless given); ties by value."""
     columns = (columns or columns_of(df, "categorical"))[:most]
-    distinct = missing_and_distinct(df, columns).filter(F.col("distinct_count").between(1, up_to)).select("column_name")
-    few = [r.column_name for r in distinct.collect()]
+    if distinct is None:
+        distinct = {r.column_name: r.distinct_count for r in missing_and_distinct(df, columns).collect()}
+    few = [c for c in columns if 1 <= distinct[c] <= up_to]
     counts = value_counts(df, few) if few else value_counts(df, columns).limit(0)
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("count").desc(), "value"))
     return counts.withColumn("place", place).filter(F.col("place") <= top)

@@ -46,6 +46,12 @@ def quality_score(issues: DataFrame, row_count: int) -> DataFrame:
     return issues.agg(score.alias("quality_score"), F.count(F.lit(1)).alias("issue_count"))
 
 
+def score_of(issues: list[dict], row_count: int) -> int:
+    """The score of quality_score from collected issues."""
+    lost = sum(SEVERITY_WEIGHTS[i["severity"]] * max(min(i["affected_rows"] / max(row_count, 1), 1.0), LEAST_SHARE) for i in issues)
+    return int(max(min(round(100 - lost), 100), 0)) if row_count else 0
+
+
 def deep_quality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, negative_money, outside_fences): negative amounts in money columns, values outside the quartile fences."""
     columns = columns or columns_of(df, "numeric")

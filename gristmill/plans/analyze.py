@@ -29,7 +29,7 @@ def describe(df: DataFrame) -> tuple[list[Column], dict]:
     counts = {r.column_name: r for r in profile.missing_and_distinct(df, others).collect()} if others else {}
     top: dict[str, list] = {}
     if others:
-        for r in profile.top_values(df, others).orderBy("column_name", "place").collect():
+        for r in profile.top_values(df, others, distinct={c: counts[c].distinct_count for c in others}).orderBy("column_name", "place").collect():
             top.setdefault(r.column_name, []).append((r.value, r["count"]))
     columns = [Column(n, t, n in numeric, n in temporal, stats.get(n, {}), counts[n].distinct_count if n in counts else 0, top.get(n, [])) for n, t in df.dtypes]
     rows = df.count()
@@ -39,7 +39,7 @@ def describe(df: DataFrame) -> tuple[list[Column], dict]:
         "column_count": len(df.columns),
         "date_range": {r.column_name: (r.min_date, r.max_date) for r in profile.date_range_profile(df).collect()} if temporal else {},
         "correlations": {(r.left_column, r.right_column): r.correlation for r in profile.correlation_pairs(df).collect()},
-        "quality": {"score": quality.quality_score(quality.quality_issues(df), rows).first().quality_score, "issues": issues[: quality.MOST_ISSUES], "fixes": issues[: quality.MOST_FIXES]},
+        "quality": {"score": quality.score_of(issues, rows), "issues": issues[: quality.MOST_ISSUES], "fixes": issues[: quality.MOST_FIXES]},
     }
     return with_meaning(columns), facts
 

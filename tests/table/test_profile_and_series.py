@@ -62,7 +62,7 @@ def test_quality_mix(spark):
     df = spark.createDataFrame(rows, "a int, b int, c int, id int")
     issues = quality.quality_issues(df)
     assert {r.column_name: r.severity for r in issues.collect()} == {"a": "critical", "b": "high", "c": "low"}
-    assert quality.quality_score(issues, 100).first().quality_score == 89
+    assert quality.quality_score(issues, 100).first().quality_score == 89 == quality.score_of([r.asDict() for r in issues.collect()], 100)
     assert quality.quality_score(issues.limit(0), 0).first().quality_score == 0
     twice = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "o string, v int")
     assert quality.duplicate_rows(twice).first().affected_rows == 1
