@@ -71,91 +71,96 @@ def _sub_batches(batch: pa.RecordBatch, text: int):
         at = end
 
 
+_HEAD = ("ids", "keys", "sizes", "signs", "own", "shared")
+_BLANK = [pa.nulls(1, pa.binary())] * 5
+
+
+def _one(values: np.ndarray) -> pa.Array:
+    return pa.array([values.tobytes()], pa.binary())
+
+
 def _send(fragments: int, words: int, id_type: pa.DataType):
-    """Map texts to one header row and a row for each fragment that their shingles fall into."""
+    """Map texts, block by block, to a row for each fragment that their shingles fall into, and one with the block's head.
+
+    A block numbers its distinct sets; fragments name them by number. ``own`` is the number of each
+    text's set (-1 for an empty one), ``shared`` counts what the block's other sets hold, too.
+    """
     width = (1 << 64) // fragments + 1
-    names = ["fragment", "ids", "keys", "sizes", "signs", "nodes", "rows", "shingles"]
+    names = ["fragment", "block", "nodes", "shingles", *_HEAD]
 
     def send(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in _sub_batches(whole, 1):
-                sets, nodes, sizes, signs, seen = [], [], [], [], {}
+                block += 1
+                sets, own, sizes, signs, seen = [], [], [], [], {}
                 for s in shingle_sets(batch.column(1), words):
                     sign = xxhash.xxh3_128_digest(s.tobytes())
                     signs.append(sign)
                     sizes.append(len(s))
                     if len(s) and sign not in seen:
-                        seen[sign] = len(nodes)
-                        nodes.append(_node(sign))
+                        seen[sign] = len(sets)
                         sets.append(s)
-                shared = np.zeros(len(nodes), np.int64)
+                    own.append(seen[sign] if len(s) else -1)
+                shared = np.zeros(len(sets), np.int64)
                 if sets:
                     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                     order = np.argsort(values)
                     values, owner = values[order], owner[order]
                     new = np.r_[True, values[1:] != values[:-1]]
                     several = ~(new & np.r_[new[1:], True])
-                    shared += np.bincount(owner[several], minlength=len(nodes))
-                    owner[several] = _NO_ROW  # counted here already; sent once, for the others
+                    shared += np.bincount(owner[several], minlength=len(sets))
+                    owner[several] = _NO_ROW  # counted here already; sent once, for the other blocks
                     values, owner = values[new], owner[new].astype(np.uint16)
-                    keys = np.array(nodes, np.int64)
                     cuts = np.searchsorted(values, np.array([k * width for k in range(1, fragments)], np.uint64))
                     for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(values)], strict=True)):
                         if b > a:
                             part = (values[a:b] - np.uint64(k * width)) * np.uint64(fragments) >> np.uint64(32)  # 32 bits inside the fragment
-                            used, rows = np.unique(owner[a:b], return_inverse=True)
-                            used, none = used[used != _NO_ROW], len(used) - (used[-1] == _NO_ROW)
-                            rows = np.where(rows == none, _NO_ROW, rows).astype(np.uint16)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([k], pa.int32()), pa.nulls(1, pa.list_(id_type)), *[pa.nulls(1, pa.binary())] * 3, _one(keys[used]), _one(rows), _one(part.astype(np.uint32))], names
-                            )
-                head = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)), _one(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)), _one(np.array(sizes, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(sum(sizes) % fragments)], pa.int32()), *head, pa.array([b"".join(signs)], pa.binary()), _one(np.array(nodes, np.int64)), _one(shared), pa.nulls(1, pa.binary())], names)
+                            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), _one(owner[a:b]), _one(part.astype(np.uint32)), pa.nulls(1, pa.list_(id_type)), *_BLANK], names)
+                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                head = [ids, _one(np.asarray(batch.column(2)).astype(np.int64)), _one(np.array(sizes, np.int64)), pa.array([b"".join(signs)], pa.binary()), _one(np.array(own, np.int64)), _one(shared)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - block % fragments], pa.int32()), pa.array([block]), *_BLANK[:2], *head], names)
 
     return send
 
 
-def _node(sign: bytes) -> int:
-    """64 bits of a set's signature, by which fragments name a text; only the elimination relies on them."""
-    return int.from_bytes(sign[:8], "little", signed=True)
-
-
-def _one(values: np.ndarray) -> pa.Array:
-    return pa.array([values.tobytes()], pa.binary())
-
-
-def _count(id_type: pa.DataType):
-    """Of a fragment: for each node, how many of its shingles here another one has, too. Headers become rows."""
-    names = ["node", "shared", "id", "key", "n", "sign"]
-
-    def count(table: pa.Table) -> pa.Table:
-        out = []
-        nodes = [np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()]
-        if len(table) and table.column("fragment")[0].as_py() < 0:
-            for k, own in enumerate(nodes):
-                row = table.slice(k, 1)
-                ids = row.column("ids").combine_chunks().flatten()
-                signs = row.column("signs")[0].as_py()
-                out.append(pa.table([pa.array(own), pa.array(np.frombuffer(row.column("rows")[0].as_py(), np.int64)), pa.nulls(len(own), id_type), *[pa.nulls(len(own), pa.int64())] * 2, pa.nulls(len(own), pa.binary())], names))
-                keys, sizes = (pa.array(np.frombuffer(row.column(c)[0].as_py(), np.int64)) for c in ("keys", "sizes"))
-                signs = [signs[i : i + 16] for i in range(0, len(signs), 16)]
-                out.append(pa.table([pa.array([_node(x) for x in signs], pa.int64()), pa.nulls(len(ids), pa.int64()), ids, keys, sizes, pa.array(signs, pa.binary())], names))
-        else:
-            rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("rows").to_pylist()]
-            base = np.cumsum([0, *map(len, nodes)])
-            owner = np.concatenate([np.where(r == _NO_ROW, -1, r + b) for r, b in zip(rows, base, strict=False)])
-            values = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()])
-            order = np.argsort(values)
-            values, owner = values[order], owner[order]
-            new = np.r_[True, values[1:] != values[:-1]]
-            several = ~(new & np.r_[new[1:], True]) & (owner >= 0)
-            shared = np.bincount(owner[several], minlength=base[-1])
-            some = np.flatnonzero(shared)
-            keys = np.concatenate(nodes)[some] if len(some) else np.zeros(0, np.int64)
-            out.append(pa.table([pa.array(keys), pa.array(shared[some].astype(np.int64)), pa.nulls(len(some), id_type), *[pa.nulls(len(some), pa.int64())] * 2, pa.nulls(len(some), pa.binary())], names))
-        return pa.concat_tables(out)
-
-    return count
+def _count(table: pa.Table) -> pa.Table:
+    """Of a fragment: a row for each block, with the numbers of its sets and how many of their shingles here another block has. Heads pass."""
+    names = ["block", "nodes", *_HEAD]
+    if table.column("fragment")[0].as_py() < 0:
+        return table.select(names)
+    lists = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("nodes").to_pylist()]
+    base = np.arange(len(lists)) * SUB_ROWS
+    owner = np.concatenate([np.where(x == _NO_ROW, -1, x + b) for x, b in zip(lists, base, strict=True)])
+    values = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()])
+    order = np.argsort(values)
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    several = np.sort(owner[~(new & np.r_[new[1:], True]) & (owner >= 0)])
+    cuts = np.searchsorted(several, np.r_[base, len(lists) * SUB_ROWS])
+    packed = [(several[a:b] - x).astype(np.uint16).tobytes() for a, b, x in zip(cuts[:-1], cuts[1:], base, strict=True)]
+    ids = table.schema.field("ids").type
+    return pa.table([table.column("block"), pa.array(packed, pa.binary()), pa.nulls(len(lists), ids), *[pa.nulls(len(lists), pa.binary())] * 5], names)
+
+
+def _rows(percent: int):
+    """Of a block: its texts, each with whether enough of its shingles stand in others to link."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        head = next(k for k, x in enumerate(table.column("own").to_pylist()) if x is not None)
+        ids = table.column("ids").slice(head, 1).combine_chunks().flatten()
+        keys, sizes, own, shared = (np.frombuffer(table.column(c)[head].as_py(), np.int64) for c in ("keys", "sizes", "own", "shared"))
+        total = np.append(shared, 0)
+        for x in table.column("nodes").to_pylist():
+            if x:
+                total += np.bincount(np.frombuffer(x, np.uint16), minlength=len(total))
+        signs = table.column("signs")[head].as_py()
+        alive = (own >= 0) & (100 * total[own] >= percent * sizes)
+        return pa.table([ids, pa.array(keys), pa.array(sizes), pa.array([signs[i : i + 16] for i in range(0, len(signs), 16)], pa.binary()), pa.array(alive)], ["id", "key", "n", "sign", "alive"])
+
+    return rows
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -194,12 +199,12 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     # 1. Shared counts by fragments of the hash space.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / FRAGMENT_SHINGLES))
-    sent = texts.mapInArrow(_send(fragments, words, arrow_id), f"fragment int, ids array<{kind}>, keys binary, sizes binary, signs binary, nodes binary, rows binary, shingles binary")
-    counted = work.table(sent.groupBy("fragment").applyInArrow(_count(arrow_id), f"node long, shared long, id {kind}, key long, n long, sign binary"), "counted")
-    rows = counted.filter("sign is not null").select("id", "key", "n", "sign", "node")
-    shared = counted.filter("sign is null").groupBy("node").agg(F.sum("shared").alias("shared"))
-    least = rows.filter("n > 0").groupBy("sign", "node").agg(F.min("n").alias("n"), F.min(F.struct("id", "key")).alias("one"))
-    alive = least.join(shared, "node").filter(f"100 * shared >= {percent} * n")
+    head = f"ids array<{kind}>, keys binary, sizes binary, signs binary, own binary, shared binary"
+    sent = texts.mapInArrow(_send(fragments, words, arrow_id), f"fragment int, block long, nodes binary, shingles binary, {head}")
+    counted = sent.groupBy("fragment").applyInArrow(_count, f"block long, nodes binary, {head}")
+    rows = counted.groupBy("block").applyInArrow(_rows(percent), f"id {kind}, key long, n long, sign binary, alive boolean")
+    rows = work.table(rows, "rows")
+    alive = rows.filter("alive").groupBy("sign").agg(F.min(F.struct("id", "key")).alias("one"))
     alive = work.table(alive.select("sign", F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")), "alive")
 
     # The sets of these texts, one for each distinct set.
@@ -220,10 +225,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     places = sets.select("node", "n", F.explode("shingles").alias("shingle"))
     often = work.table(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
     ordered = places.join(often, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
-    ordered = work.table(ordered.filter(f"100 * size(order) >= {percent} * n"), "ordered")
+    ordered = ordered.filter(f"100 * size(order) >= {percent} * n").withColumn("common", F.expr("aggregate(order, 0D, (s, e) -> s + e.df) / n"))
+    ordered = work.table(ordered, "ordered")
     # Shingles of no other text come first in the order and meet nothing; the prefix's rest is counted from there.
     prefix = f"size(order) - ({percent} * n + 99) div 100 + 1"
-    heads = ordered.select("node", "n", F.expr("aggregate(order, 0D, (s, e) -> s + e.df) / n").alias("common"), F.explode(F.expr(f"slice(order, 1, int({prefix}))")).alias("e"))
+    heads = ordered.select("node", "n", "common", F.explode(F.expr(f"slice(order, 1, int({prefix}))")).alias("e"))
     heads = work.table(heads.select("node", "n", "common", F.col("e.shingle").alias("shingle")), "heads")
 
     # 3. Each text with the best of the centres of its prefix shingles; a shingle's centre is its text with the commonest shingles.
