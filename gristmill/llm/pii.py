@@ -173,6 +173,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = one.filter("not seed AND kind is not null").join(patterns, ["pattern", "kind"])
     best = marked.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = work.table(best.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")), "added")
+    work.keep("rows", "added")
     # Kinds as listed, then starts.
     place = F.expr("transform(" + "array(" + ",".join(f"'{k}'" for k in KINDS) + "), k -> array_sort(filter(every, s -> s.kind = k), (x, y) -> int(x.start - y.start)))")
     every = rows.join(added, "row", "left").withColumn("every", F.concat("base", F.coalesce("added", F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int>>)"))))

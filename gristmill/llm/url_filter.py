@@ -91,6 +91,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     distrust = spread(work, back, seeds("block"), "distrust", steps=steps)
     hosts = trust.select("host", F.col("mass").alias("trust")).join(distrust.select("host", F.col("mass").alias("distrust")), "host", "full")
     hosts = work.table(hosts.select(F.col("host").alias("of"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust")), "hosts")
+    work.keep("hosts")
     found = judged.join(hosts, F.col("host") == F.col("of"), "left")
     own = F.when(F.coalesce("distrust", F.lit(0)) > ratio * F.coalesce("trust", F.lit(0)), "block").otherwise("allow")
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))

@@ -44,6 +44,12 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these, which the result reads."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        self.drop(*[n for n in (f.getPath().getName() for f in found) if n not in names])
+
 
 def free_name(columns: list[str], base: str) -> str:
     """A column name from ``base`` that no column of ``columns`` has in any case."""
