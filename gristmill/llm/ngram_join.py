@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ from .textblocks import LOWER, SHINGLE_WORDS, shingle_hashes, text_blocks, word_
 from .workspace import Workspace, without
 
 #: Texts of a batch that are counted together before their shingles are sent, and bytes of these.
-SUB_ROWS, SUB_BYTES = 16384, 16 << 20
+SUB_ROWS, SUB_BYTES = 16384, 6 << 20
 #: Shingles that a fragment of the hash space gets on average, at most.
-FRAGMENT_SHINGLES = 4_000_000
+FRAGMENT_SHINGLES = 2_000_000
 #: Rows up to which a list of keys is broadcast (under 64 MB); a longer one is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Texts and shingles of a block of texts that are compared with another block in one task.
@@ -63,7 +64,7 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS):
 
 def _sub_batches(batch: pa.RecordBatch, text: int):
     """Cut a batch where the rows or the bytes of its texts get too many."""
-    sizes = np.array([len(x) if x else 0 for x in batch.column(text).to_pylist()]) if batch.num_rows else np.zeros(0)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < batch.num_rows:
         end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + SUB_ROWS]), SUB_BYTES)))
@@ -263,6 +264,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     groups = placed.filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least_id"), first.alias("first")).filter("members > 1")
     groups = work.table(groups.select("name", "members", "least_id", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "groups")
+    work.keep("placed", "groups")
     return placed.join(groups, "name", "left").select("id", "key", "n", F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.expr("if(members is null, id, least_id)").alias("component_id"), "first_id", "first_key")
 
 
