@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import LOWER, text_blocks
+from .textblocks import LOWER, distinct, text_blocks
 from .workspace import Workspace, free_name
 
 ORDERS = (4, 5, 6)
@@ -31,6 +31,8 @@ FEATURE_BITS = 20
 PER_CLASS = 10_000
 MOST_FEATURES = 1 << 15
 REJECT_FROM = 0.7
+#: Bytes of a block of texts; its grams of all orders take some 100 bytes each.
+GRAM_BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -56,14 +58,14 @@ def block_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | N
                 keep &= wanted[place]
             at = np.flatnonzero(keep)
             found.append((np.searchsorted(offsets, at, side="right") - 1 << FEATURE_BITS) | place[at])
-    pairs = np.unique(np.concatenate(found))
+    pairs = distinct(np.concatenate(found))
     return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
 
 
 def _counts(batches):
     for batch in batches:
         label, counts = np.asarray(batch.column(1)), np.zeros((2, 1 << FEATURE_BITS), np.int64)
-        for row, _, data, offsets in text_blocks(batch.column(0)):
+        for row, _, data, offsets in text_blocks(batch.column(0), GRAM_BLOCK):
             owner, place = block_features(data, offsets)
             for kind in (0, 1):
                 counts[kind] += np.bincount(place[label[row + owner] == kind], minlength=1 << FEATURE_BITS)
@@ -77,7 +79,7 @@ def _lists(features: np.ndarray):
         wanted[features] = True
         for batch in batches:
             out = [[]] * batch.num_rows
-            for row, end, data, offsets in text_blocks(batch.column(0)):
+            for row, end, data, offsets in text_blocks(batch.column(0), GRAM_BLOCK):
                 owner, place = block_features(data, offsets, wanted)
                 cuts = np.searchsorted(owner, np.arange(end - row + 1))
                 index = np.searchsorted(features, place).astype(np.int32)
@@ -141,7 +143,7 @@ def scored(docs: DataFrame, model: NgramModel, text_col: str = "text", score_col
         weights[model.features] = model.weights
         for batch in batches:
             total = np.full(batch.num_rows, model.bias)
-            for row, end, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text_col))):
+            for row, end, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text_col)), GRAM_BLOCK):
                 owner, place = block_features(data, offsets, wanted)
                 total[row:end] += np.bincount(owner, weights[place], minlength=end - row)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], [*batch.schema.names, score_col])
