@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textblocks import LOWER, SHINGLE_WORDS, shingle_hashes, text_blocks, word_bounds, word_hashes
+from .textblocks import LOWER, SHINGLE_WORDS, distinct, shingle_hashes, text_blocks, word_bounds, word_hashes
 from .workspace import Workspace, without
 
 #: Texts of a batch that are counted together before their shingles are sent, and bytes of these.
@@ -59,7 +59,7 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS):
         data = LOWER[data]
         starts, ends, first = word_bounds(data, offsets)
         for runs in shingle_hashes(word_hashes(data, starts, ends), first, words):
-            yield np.unique(runs)
+            yield distinct(runs)
 
 
 def _sub_batches(batch: pa.RecordBatch, text: int):
@@ -80,6 +80,11 @@ def _one(values: np.ndarray) -> pa.Array:
     return pa.array([values.tobytes()], pa.binary())
 
 
+def _pieces(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes between every two edges of an array."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def _send(fragments: int, words: int, id_type: pa.DataType):
     """Map texts, block by block, to a row for each fragment that their shingles fall into, and one with the block's head.
 
@@ -87,6 +92,7 @@ def _send(fragments: int, words: int, id_type: pa.DataType):
     text's set (-1 for an empty one), ``shared`` counts what the block's other sets hold, too.
     """
     width = (1 << 64) // fragments + 1
+    lows = np.array([k * width for k in range(fragments)], np.uint64)
     names = ["fragment", "block", "nodes", "shingles", *_HEAD]
 
     def send(batches):
@@ -115,11 +121,11 @@ def _send(fragments: int, words: int, id_type: pa.DataType):
                     shared += np.bincount(owner[several], minlength=len(sets))
                     owner[several] = _NO_ROW  # counted here already; sent once, for the other blocks
                     values, owner = values[new], owner[new].astype(np.uint16)
-                    cuts = np.searchsorted(values, np.array([k * width for k in range(1, fragments)], np.uint64))
-                    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(values)], strict=True)):
-                        if b > a:
-                            part = (values[a:b] - np.uint64(k * width)) * np.uint64(fragments) >> np.uint64(32)  # 32 bits inside the fragment
-                            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), _one(owner[a:b]), _one(part.astype(np.uint32)), pa.nulls(1, pa.list_(id_type)), *_BLANK], names)
+                    edges = np.append(np.searchsorted(values, lows), len(values))
+                    part = (values - np.repeat(lows, np.diff(edges))) * np.uint64(fragments) >> np.uint64(32)  # 32 bits inside the fragment
+                    some = np.flatnonzero(np.diff(edges))
+                    edges, n = np.append(edges[some], len(values)), len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(n, block)), _pieces(owner, edges), _pieces(part.astype(np.uint32), edges), pa.nulls(n, pa.list_(id_type)), *[pa.nulls(n, pa.binary())] * 5], names)
                 ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
                 head = [ids, _one(np.asarray(batch.column(2)).astype(np.int64)), _one(np.array(sizes, np.int64)), pa.array([b"".join(signs)], pa.binary()), _one(np.array(own, np.int64)), _one(shared)]
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - block % fragments], pa.int32()), pa.array([block]), *_BLANK[:2], *head], names)
