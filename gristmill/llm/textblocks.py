@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -103,7 +103,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each word's bytes, equal for equal words wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(21, int(len(data)).bit_length()))
+    up, down = _powers(max(18, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
     hashed = (total[ends] - total[starts]) * down[starts]

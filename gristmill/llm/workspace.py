@@ -21,6 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Arrow batches between Spark and Python: a batch of whole texts is held on both sides, by each task.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Workspace:
     """Named Parquet tables that cut lineage: a lost executor costs no recomputation of what is written here.
 
@@ -29,6 +33,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if spark.conf.get(BATCH_BYTES[0], None) is None:  # a set size stays
+            spark.conf.set(*BATCH_BYTES)
         self.root = f"{shared_folder(spark)}/gristmill-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
