@@ -8,6 +8,12 @@ all item fingerprints in the radius. Each candidate is placed over the document
 weighted Jaccard similarity of the item's shingles with those of as many words of the document (a
 shingle weighs 1 + log(items / items that hold it)) must reach the threshold.
 
+An edit inside a short item moves more bits than the radius, so a second search finds what the first
+misses: a place that reaches the threshold shares at least one of the item's heaviest shingles (those
+that together weigh more than it may lack). Around each such shingle in a document running sums bound
+the similarity of every place from above, and the places whose bound reaches the threshold are
+verified. The two together find every place that the exact check accepts.
+
 Items go to the executors in blocks of at most BLOCK_ITEMS, with a pass over the documents each, so
 that what is sent is bounded. Defined cases: null texts count as empty; items without words match
 nothing; items shorter than a shingle have their whole text as one; null ids and repeated rows are
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textblocks import LOWER, SHINGLE_WORDS, distinct, shingle_hashes, text_blocks, word_bounds, word_hashes
+from .textblocks import _STEPS, LOWER, SHINGLE_WORDS, distinct, mix64, shingle_hashes, text_blocks, word_bounds, word_hashes
 from .workspace import Workspace
 
 RADIUS = 4
@@ -95,6 +101,86 @@ class ItemIndex:
         return out
 
 
+class SharedShingles:
+    """The shingles of which a place that reaches the threshold holds one at least, and the bound of its similarity."""
+
+    def __init__(self, index: ItemIndex, threshold: float, words: int):
+        self.index, self.threshold, self.words = index, threshold, words
+        self.weights: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        needed: dict[int, list[tuple[int, int]]] = {}
+        for item, held in enumerate(index.shingles):
+            keys = needed.setdefault(min(words, index.lengths[item]), [])
+            room = (1 - threshold) * sum(t * w for t, w in held.values()) * (1 + 1e-9)
+            for s, (times, weight) in sorted(held.items(), key=lambda x: (-x[1][1], x[0])):
+                keys.append((s, item))
+                room -= times * weight
+                if room < 0:
+                    break
+        self.needed = {}  # by words of a run: sorted shingles, their items, and which top bits occur
+        for size, keys in needed.items():
+            keys.sort()
+            values = np.array([k[0] for k in keys], np.uint64)
+            some = np.zeros(1 << 18, bool)
+            some[values >> np.uint64(46)] = True
+            self.needed[size] = (values, np.array([k[1] for k in keys]), some)
+
+    def places(self, hashed: np.ndarray, first: np.ndarray):
+        """(document, item, first and last place of needed shingles close to each other, runs of the block)."""
+        for size, (values, owners, some) in self.needed.items():
+            if len(hashed) < size:
+                continue
+            runs = next(shingle_hashes(hashed, np.array([0, len(hashed)]), size)) if size == self.words else _whole_runs(hashed, size)
+            at = np.flatnonzero(some[runs >> np.uint64(46)])
+            low = np.searchsorted(values, runs[at])
+            count = np.searchsorted(values, runs[at], side="right") - low
+            doc = np.searchsorted(first, at, side="right") - 1
+            count[at + size > first[doc + 1]] = 0
+            entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            at, doc, item = np.repeat(at, count), np.repeat(doc, count), owners[entry]
+            order = np.lexsort((at, item))
+            at, doc, item = at[order], doc[order], item[order]
+            length = np.array(self.index.lengths)[item]
+            far = 0 if size < self.words else 2 * length[1:]
+            cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(doc) != 0) | (np.diff(at) > far)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
+                if b > a:
+                    yield int(doc[a]), int(item[a]), int(at[a]), int(at[b - 1]), runs
+
+    def bounds(self, item: int, low: int, high: int, start: int, end: int, runs: np.ndarray):
+        """First words (of places with needed shingles from low to high in a text of words start to end) and bounds that reach the threshold, highest first."""
+        n, words = self.index.lengths[item], self.words
+        if n < words:
+            return [(low, 1.0)]
+        if item not in self.weights:
+            held = self.index.shingles[item]
+            values = np.array(sorted(held), np.uint64)
+            self.weights[item] = values, np.array([held[int(s)][1] for s in values]), sum(t * w for t, w in held.values())
+        values, weights, whole = self.weights[item]
+        at = np.arange(max(low, start) - (n - words), min(high, end - words) + 1)
+        a, b = np.maximum(at, start), np.minimum(at + n, end) - words + 1
+        at, a, b = (x[b > a] for x in (at, a, b))
+        part = runs[a[0] : b[-1]]
+        near = np.minimum(np.searchsorted(values, part), len(values) - 1)
+        known = values[near] == part
+        shared = np.r_[0, np.cumsum(np.where(known, weights[near], 0))]
+        every = np.r_[0, np.cumsum(np.where(known, weights[near], self.index.rare))]
+        a, b = a - a[0], b - a[0]
+        both = np.minimum(shared[b] - shared[a], whole)
+        bound = both / (whole + every[b] - every[a] - both)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] >= self.threshold - 1e-9]
+        return list(zip(at[order].tolist(), bound[order].tolist(), strict=True))
+
+
+def _whole_runs(words: np.ndarray, size: int) -> np.ndarray:
+    """For every run of ``size`` words the hash that a text of just these words has as its one shingle."""
+    n = len(words) - size + 1
+    whole = np.full(n, size, np.uint64)
+    for k in range(size):
+        whole = mix64(whole * np.uint64(_STEPS[0]) + words[k : k + n])
+    return whole
+
+
 def _shingle_counts(text_words: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     runs = next(shingle_hashes(text_words, np.array([0, len(text_words)]), words))
     return np.unique(runs, return_counts=True)
@@ -145,7 +231,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int, ra
         yield index
 
 
-def _matches(column: pa.Array, index: ItemIndex, tables: dict, threshold: float, words: int):
+def _matches(column: pa.Array, index: ItemIndex, tables: dict, shared: SharedShingles, threshold: float, words: int):
     """(row, item) -> the best similarity that reaches the threshold."""
     best: dict[tuple[int, int], float] = {}
     for row, _, hashed, first in _words_of(column):
@@ -171,6 +257,14 @@ def _matches(column: pa.Array, index: ItemIndex, tables: dict, threshold: float,
             likeness = similarity(hashed[a:b], index.shingles[item], index.rare, words)
             if likeness >= threshold and likeness > best.get((row + doc, item), 0):
                 best[row + doc, item] = likeness
+        for doc, item, low, high, runs in shared.places(hashed, first):
+            start, end = int(first[doc]), int(first[doc + 1])
+            for at, bound in shared.bounds(item, low, high, start, end, runs):
+                if bound <= best.get((row + doc, item), 0) + 1e-9:
+                    break
+                likeness = similarity(hashed[max(at, start) : min(at + index.lengths[item], end)], index.shingles[item], index.rare, words)
+                if likeness >= threshold and likeness > best.get((row + doc, item), 0):
+                    best[row + doc, item] = likeness
     return best
 
 
@@ -203,9 +297,9 @@ def _finder(index: ItemIndex, schema: StructType, threshold: float, words: int):
     item_type, names = to_arrow_type(schema.fields[1].dataType), schema.names
 
     def find(batches):
-        tables = index.tables()
+        tables, shared = index.tables(), SharedShingles(index, threshold, words)
         for batch in batches:
-            best = _matches(batch.column(1), index, tables, threshold, words)
+            best = _matches(batch.column(1), index, tables, shared, threshold, words)
             at = sorted(best)
             ids = batch.column(0).take(pa.array([r for r, _ in at], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i in at], item_type), pa.array([best[x] for x in at], pa.float64())], names)
@@ -218,9 +312,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for index in item_blocks(benchmark, item_id_col, item_text_col, words, radius):
 
         def keep(batches, index=index):
-            tables = index.tables()
+            tables, shared = index.tables(), SharedShingles(index, threshold, words)
             for batch in batches:
-                best = _matches(batch.column(batch.schema.get_field_index(text_col)), index, tables, threshold, words)
+                best = _matches(batch.column(batch.schema.get_field_index(text_col)), index, tables, shared, threshold, words)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, _ in best]] = False
                 yield batch.filter(pa.array(clean))

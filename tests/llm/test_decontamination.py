@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -57,3 +59,45 @@ def test_fingerprints_match_a_plain_count():
         for at, p in enumerate(prints.tolist()):
             bits = [sum(int(w) >> b & 1 for w in hashed[at : at + size]) for b in range(64)]
             assert p == sum(1 << b for b, n in enumerate(bits) if n > size / 2)
+
+
+def brute_force(docs, items, shingle=5, threshold=0.8):
+    """(document, item) pairs that reach the threshold at any place, by plain weighted counters."""
+    runs = lambda w: Counter(tuple(w[a : a + shingle]) for a in range(max(1, len(w) - shingle + 1)))
+    each = {k: words(t) for k, t in items}
+    held = Counter(s for w in each.values() for s in runs(w))
+    weight = lambda s, item: 1 + math.log(len(each) / held[s]) if s in item else 1 + math.log(len(each))
+    out = set()
+    for d, text in docs:
+        w = words(text)
+        for k, x in each.items():
+            item = runs(x)
+            for at in range(1 - len(x), len(w)):
+                part = runs(w[max(at, 0) : at + len(x)])
+                if not part.keys() & item.keys():
+                    continue
+                both = sum(min(part[s], item[s]) * weight(s, item) for s in item)
+                either = sum(max(part[s], item[s]) * weight(s, item) for s in part | item)
+                if both / either >= threshold:
+                    out.add((d, k))
+    return out
+
+
+def edited(r, w, kind):
+    """``w`` with one word replaced, left out or put in, anywhere, or its end cut."""
+    at = r.randrange(len(w))
+    return {"replace": [*w[:at], "other", *w[at + 1 :]], "leave": w[:at] + w[at + 1 :], "add": [*w[:at], "more", *w[at:]], "cut": w[: len(w) - len(w) // 6]}[kind]
+
+
+def test_finds_all_edited_items_that_the_exact_check_accepts(spark):
+    r = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(make(15 + i % 45))) for i in range(60)]
+    docs = []
+    for k in range(480):
+        before, after = make(r.choice([0, 3, 20])), make(r.choice([0, 2, 20]))
+        docs.append((k, " ".join([*before, *edited(r, items[k % 60][1].split(), ("replace", "leave", "add", "cut")[k // 60 % 4]), *after])))
+    sure, most = brute_force(docs, items, threshold=0.8 + 1e-9), brute_force(docs, items, threshold=0.8 - 1e-9)  # sums in another order round otherwise
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sure <= {(x.doc_id, x.item_id) for x in got} <= most and len(sure) > 150
