@@ -2,7 +2,8 @@
 
 Sizes are words. An item's window size is the largest of a ladder of sizes (each about a tenth above
 the last) that it fills; every window of such a size in a document, at every word, gets a 64-bit
-SimHash of its words, as do the item's own first windows. Two fingerprints within RADIUS bits agree
+SimHash of its words, as do the item's own first windows (of items beyond the ladder, those of every
+stretch of its last size). Two fingerprints within RADIUS bits agree
 in one of RADIUS + 1 bit blocks at least, so looking up every block of a window's fingerprint finds
 all item fingerprints in the radius. Each candidate is placed over the document and verified: the
 weighted Jaccard similarity of the item's shingles with those of as many words of the document (a
@@ -226,8 +227,9 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int, ra
             index.lengths.append(len(hashed))
             index.shingles.append({int(s): (int(c), row["weights"][int(np.uint64(s).astype(np.int64))]) for s, c in zip(*_shingle_counts(hashed, words), strict=True)})
             size = max(s for s in LADDER if s <= len(hashed))
-            for _, prints in window_fingerprints(hashed[: size + size // 10 + 1], [size]):
-                index.by_size.setdefault(size, []).extend((int(p), item, at) for at, p in enumerate(prints))
+            for begin in range(0, len(hashed) - size + 1, size):  # several stretches in items beyond the ladder
+                for _, prints in window_fingerprints(hashed[begin : begin + size + size // 10 + 1], [size]):
+                    index.by_size.setdefault(size, []).extend((int(p), item, begin + at) for at, p in enumerate(prints))
         yield index
 
 

@@ -101,3 +101,18 @@ def test_finds_all_edited_items_that_the_exact_check_accepts(spark):
     sure, most = brute_force(docs, items, threshold=0.8 + 1e-9), brute_force(docs, items, threshold=0.8 - 1e-9)  # sums in another order round otherwise
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sure <= {(x.doc_id, x.item_id) for x in got} <= most and len(sure) > 150
+
+
+def test_finds_long_items_whose_opening_differs(spark):
+    r = random.Random(9)
+    make = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    long, longer = make(400), make(2000)
+    changed = ["other" if k < 270 and k % 38 == 5 else w for k, w in enumerate(long)]
+    docs = [(1, changed), (2, long[60:]), (3, longer[300:]), (4, [*make(30), *changed, *make(30)]), (5, long[200:]), (6, make(40) + long[40:])]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    items = [(1, " ".join(long)), (2, " ".join(longer)), (3, " ".join(make(30)))]
+    want = {(1, 1), (2, 1), (3, 2), (4, 1), (6, 1)}
+    assert brute_force(docs, items) == want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in contaminated(d, b).collect()} == want
+    assert [x.doc_id for x in drop_contaminated(d, b).collect()] == [5]
