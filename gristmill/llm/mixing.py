@@ -56,12 +56,15 @@ def source_targets(totals: DataFrame, schedules=SCHEDULES, most: int = 3) -> Dat
     return levels.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("w") * F.col("free_level")), F.lit(0.0))).select("source", "rank", "source_size", "w0", "w1", "w", "target")
 
 
-def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, schedules=SCHEDULES, most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, copies, position; and the columns of ``carry``.
+def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, schedules=SCHEDULES, most: int = 3, carry: tuple[str, ...] = (), every_copy: bool = False) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken, copies, position, positions; and the columns of ``carry``.
 
     ``taken`` counts the words the mix takes of the document, repeats counted; the last document
     that a target reaches may be cut. ``position`` (0 to 1) is that of its first copy, null where
-    none is taken; rows are in the order of position, those without last.
+    none is taken, and ``positions`` lists those of all copies; rows are in the order of position,
+    those without last. With ``every_copy`` each copy has a row instead, in the order of training:
+    ``position`` is the copy's, ``copy`` (from 1) its turn and ``copy_taken`` its words; documents of
+    which nothing is taken have none.
     """
     if any(min(a, b) < 0 or a + b <= 0 for a, b in schedules):
         raise ValueError("weights must not be negative, nor always 0")
@@ -88,13 +91,23 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = F.floor("target").cast("long")
     taken = lambda turn: F.least(F.greatest(wanted - turn * F.col("source_size") - F.col("before"), F.lit(0).cast("long")), F.col("size"))
     each = [taken(turn) for turn in range(most)]
-    placed = placed.withColumn("taken", sum(each[1:], each[0])).withColumn("first", each[0])
+    placed = placed.withColumn("taken", sum(each[1:], each[0]))
     placed = placed.withColumn("copies", sum([(x > 0).cast("int") for x in each[1:]], (each[0] > 0).cast("int")))
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, schedule_position((F.col("before") + F.col("first") / 2) / F.col("target"))))
-    taken_names = [id_col, "size", "source_size", "target", "taken", "copies", "position"]
+    # Later copies follow whole passes over the source; a document without a first copy has no other.
+    where = lambda turn: F.when(taken(turn) > 0, schedule_position((F.col("before") + turn * F.col("source_size") + taken(turn) / 2) / F.col("target")))
+    turns = [F.struct(F.lit(turn + 1).alias("copy"), words.alias("copy_taken"), where(turn).alias("position")) for turn, words in enumerate(each)]
+    placed = placed.withColumn("turns", F.filter(F.array(*turns), lambda t: t["copy_taken"] > 0))
+    placed = placed.withColumn("positions", F.col("turns.position"))
+    results = ["size", "source_size", "target", "taken", "copies", "position", "positions"]
+    if every_copy:
+        placed = placed.select("*", F.explode("turns").alias("turn")).select("*", "turn.*")
+        results += ["copy", "copy_taken"]
+    else:
+        placed = placed.withColumn("position", F.get("positions", F.lit(0)))
+    taken_names = [id_col, *results]
     called = {c: free_name([*taken_names, *carry], f"document_{c}") if c.lower() in [n.lower() for n in taken_names] else c for c in carry}
-    out = placed.select(F.col("id").alias(id_col), *[F.col(h).alias(called[c]) for c, h in held.items() if c != id_col], "size", "source_size", "target", "taken", "copies", "position")
-    return out.orderBy(F.col("position").asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    out = placed.select(F.col("id").alias(id_col), *[F.col(h).alias(called[c]) for c, h in held.items() if c != id_col], *results)
+    return out.orderBy(F.col("position").asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), *([F.col("copy")] if every_copy else []))
 
 
 def schedule_position(share: Column) -> Column:

@@ -59,7 +59,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum_mix(read(spark, sf_dir, "documents"))
+    return curriculum_mix(read(spark, sf_dir, "documents")).drop("positions")  # the SQL's columns
 
 
 OP4_SQL = """

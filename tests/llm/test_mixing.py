@@ -59,3 +59,24 @@ def test_empty_table(spark):
     assert curriculum_mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     with pytest.raises(ValueError):
         curriculum_mix(spark.createDataFrame([], "doc_id long, text string, source string"), schedules=((0.0, 0.0),))
+
+
+def test_every_copy_has_its_place(spark):
+    sizes = {"a": 400, "b": 100, "c": 60}  # mean weights 1, 2, 3: b and c are repeated
+    docs = [(100 * k + i, " ".join(["w"] * (i % 4 + 1)), s) for k, s in enumerate(sizes) for i in range(sizes[s])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    whole = curriculum_mix(df, carry=("source",)).collect()
+    each = curriculum_mix(df, carry=("source",), every_copy=True).collect()
+    assert max(r.copies for r in whole) == 3
+    for r in whole:
+        assert len(r.positions) == r.copies and list(r.positions) == sorted(r.positions) and r.position == (r.positions[0] if r.copies else None)
+    assert sorted((r.doc_id, r.source, p) for r in whole for p in r.positions) == sorted((r.doc_id, r.source, r.position) for r in each)
+    assert [r.position for r in each] == sorted(r.position for r in each)
+    weights = {"a": (0.5, 1.5), "b": (2.0, 2.0), "c": (4.5, 1.5)}
+    for s, (w0, w1) in weights.items():
+        own = [r for r in each if r.source == s]
+        assert sum(r.copy_taken for r in own) == int(own[0].target)
+        # Demand up to each quarter of training is met, so copies fill all of the schedule.
+        for t in (0.25, 0.5, 0.75, 1.0):
+            due = own[0].target * (w0 * t + (w1 - w0) * t * t / 2) / ((w0 + w1) / 2)
+            assert abs(sum(r.copy_taken for r in own if r.position <= t) - due) <= 5
