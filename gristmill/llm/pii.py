@@ -8,7 +8,9 @@ rounds: a pattern's confidence for a kind is the mass of its distinct instances
 all its instances and one more; an instance's mass is one for seeds, else one minus the product of
 its patterns' doubts. Patterns with enough mass and confidence then mark the mentions in them that
 no rule found and that have the kind's loose shape (so an address with a masked @, a number with
-unusual grouping).
+unusual grouping). Besides single tokens, mentions are runs of digit groups joined by spaces,
+brackets and marks, and addresses with [@], (at), [.] or the like, whatever their length; of
+overlapping finds that with the most confident pattern counts, then the longest.
 
 Defined cases: null texts count as empty; null ids and repeated rows are rows like others (a
 repeated row's instances count once in the graph); a table without seeds gets no further spans.
@@ -18,6 +20,7 @@ Extra columns are ignored. Spans count code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import joined, rows_with, sha256
-from .textblocks import text_blocks
+from .textblocks import LOWER, text_blocks
 from .workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,6 +42,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MENTION = re.compile(r"[^\s:=,;\"'()<>\[\]{}]*[0-9@][^\s:=,;\"'()<>\[\]{}]*")
+#: Runs of digit groups; addresses with a masked @ or dots. Each starts at one place of a word only, so long words cost no more than their length.
+_GROUPS = re.compile(r"(?<![^\W_])[+(\[]*+[0-9]++(?:[\x20\xa0()\[\]./:,-]{1,3}[0-9]++)+")
+_GROUP = re.compile(r"[0-9]+")
+_AT = r"\s?[\[({<]\s?(?:@|at)\s?[\])}>]\s?"
+_DOT = r"\s?[\[({<]\s?(?:\.|dot)\s?[\])}>]\s?"
+_MASKED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:"
+    rf"(?:{_AT}|\s?@\s?)[A-Za-z0-9-]++(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9-]++)*"
+    rf"|\sat\s[A-Za-z0-9-]++(?:(?:{_DOT}|\sdot\s)[A-Za-z0-9-]++)+)", re.IGNORECASE | re.ASCII)
+_MOST_DIGITS = 19
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
@@ -83,10 +96,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def wide_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+    """(start, end, loose kinds) of digit groups and masked addresses between the spans of ``taken``."""
+    out, low = [], 0
+    for a, b in [*taken, (len(text), len(text))]:
+        out += [(*m.span(), ["email"]) for m in _MASKED.finditer(text, low, a)]
+        for m in _GROUPS.finditer(text, low, a):
+            start, end, digits = m.start(), m.start(), 0
+            for g in _GROUP.finditer(text, start, m.end()):  # more digits than any kind has: the next run starts with this group
+                if digits + g.end() - g.start() > _MOST_DIGITS:
+                    out.append((start, end, loose_kinds(text[start:end])))
+                    start, digits = g.start(), 0
+                digits, end = digits + g.end() - g.start(), g.end()
+            out.append((start, end, loose_kinds(text[start:end])))
+        low = max(low, b)
+    return [s for s in out if s[2]]
+
+
 def loose_kinds(text: str) -> list[str]:
     """The kinds whose loose shape an unruled mention has."""
     digits = sum(c.isdigit() for c in text)
-    out = ["email"] if "@" in text and len(text) >= 5 else []
+    out = ["email"] if "@" in text and (len(text) >= 5 or "@" in text[1:-1]) else []
     out += ["ip"] if digits >= 4 and text.count(".") + text.count(":") >= 3 else []
     out += ["card"] if 12 <= digits <= 19 and digits >= len(text) / 2 else []
     return out + (["phone"] if 7 <= digits <= 15 and digits >= len(text) / 2 else [])
@@ -108,11 +138,12 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds and other identifier-like tokens, each with its instance, kinds and patterns."""
     out = [{"kind": k, "seed": True, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _around(text, a, b)} for k, a, b in spans]
     taken = sorted((a, b) for _, a, b in spans)
-    for m in _MENTION.finditer(text):
-        a, b = m.start(), m.start() + len(m.group().rstrip(".!?"))
-        if b - a < 5 or b - a > 100 or any(x < b and a < y for x, y in taken):
+    wide = {(a, b): kinds for a, b, kinds in wide_spans(text, taken)}
+    tokens = [(m.start(), m.start() + len(m.group().rstrip(".!?"))) for m in _MENTION.finditer(text)]
+    for a, b in [*wide, *[t for t in tokens if t not in wide]]:
+        kinds = wide.get((a, b)) or loose_kinds(text[a:b])
+        if (b - a < 5 and not kinds) or any(x < b and a < y for x, y in taken):
             continue
-        kinds = loose_kinds(text[a:b])
         patterns = _around(text, a, b)
         out += [{"kind": k, "seed": False, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": patterns} for k in kinds]
         if not kinds:
@@ -120,6 +151,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     return out
 
 
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _MENTIONS = pa.list_(pa.struct([("kind", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 _SCHEMA = "n array<bigint>, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, mentions array<struct<kind:string,seed:boolean,start:int,end:int,instance:string,patterns:array<string>>>"
 
@@ -130,7 +162,7 @@ def _scan(batches):
         counts, shas, bases, found = ([None] * batch.num_rows for _ in range(4))
         column = batch.column(1)
         for row, end, data, offsets in text_blocks(column):
-            some = rows_with(_DIGIT[data] | (data == ord("@")), offsets)
+            some = rows_with(_DIGIT[data] | (data == ord("@")), offsets) | rows_with((LOWER[data] == ord("a"))[:-1] & (LOWER[data] == ord("t"))[1:], np.minimum(offsets, max(0, len(data) - 1)))
             for k in range(end - row):
                 spans, seen = [], []
                 if some[k]:
@@ -141,8 +173,22 @@ def _scan(batches):
                 shas[row + k] = sha256(joined(spans)) if spans else empty
                 bases[row + k] = [{"kind": kind, "start": a, "end": b} for kind, a, b in spans]
                 found[row + k] = seen
-        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(shas, pa.string()), pa.array(bases, span), pa.array(found, _MENTIONS)], ["id", "n", "base_sha256", "base", "mentions"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(shas, pa.string()), pa.array(bases, _SPAN), pa.array(found, _MENTIONS)], ["id", "n", "base_sha256", "base", "mentions"])
+
+
+def _apart(batches):
+    """The finds of each row, the best first, without those that overlap a better one."""
+    for batch in batches:
+        out = []
+        for found in batch.column(1).to_pylist():
+            starts, kept = [], []  # by start
+            for s in found:
+                at = bisect(starts, s["start"])
+                if (at == 0 or kept[at - 1]["end"] <= s["start"]) and (at == len(kept) or s["end"] <= starts[at]):
+                    starts.insert(at, s["start"])
+                    kept.insert(at, {k: s[k] for k in ("kind", "start", "end")})
+            out.append(kept)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPAN)], ["row", "added"])
 
 
 def confident_patterns(work: Workspace, found: DataFrame, rounds: int = ROUNDS, least_mass: float = LEAST_MASS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -171,8 +217,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = work.table(one, "mentions")
     patterns = confident_patterns(work, one.select("kind", "seed", "instance", "pattern"), **options)
     marked = one.filter("not seed AND kind is not null").join(patterns, ["pattern", "kind"])
-    best = marked.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = work.table(best.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")), "added")
+    best = marked.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
+    ranked = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("doubt"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "kind"))).alias("found"))
+    added = work.table(ranked.mapInArrow(_apart, "row bigint, added array<struct<kind:string,start:int,end:int>>"), "added")
     work.keep("rows", "added")
     # Kinds as listed, then starts.
     place = F.expr("transform(" + "array(" + ",".join(f"'{k}'" for k in KINDS) + "), k -> array_sort(filter(every, s -> s.kind = k), (x, y) -> int(x.start - y.start)))")

@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gristmill.llm.pii import KINDS, base_spans, luhn, personal_data
+from gristmill.llm.pii import KINDS, base_spans, luhn, personal_data, wide_spans
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -63,3 +63,26 @@ def test_patterns_find_what_rules_miss(spark):
             assert not {x for x in more if x[0] != "email"}, more
     assert personal_data(d.limit(0)).count() == 0
     assert [r.spans for r in personal_data(spark.createDataFrame([(1, "room 555.010.1299 is free")], "doc_id long, text string")).collect()] == [[]]
+
+
+def test_slots_give_masked_addresses_and_grouped_numbers(spark):
+    far = "x" * 120
+    masked = ["ann3[@]host3.com", "ann(at)host.com", "bo [at] host [dot] org", f"{far}[@]host.com", "a@b"]
+    numbers = ["555 123 4567", "(030) 123 4567", "030/123-45 67"]
+    cards = ["4111 1111 1111 1112", "4111-1111-1111-1113"]
+    texts = [f"please write to joe{i}@mail.example.com or so" for i in range(30)] + [f"reach my desk +1 (555) 010-12{i:02} after lunch" for i in range(30)]
+    texts += [f"we paid with {4111111111110000 + k} ok" for k in range(400) if luhn(str(4111111111110000 + k))]
+    planted = {}
+    for kind, slot, values in (("email", "please write to {} or so", masked), ("phone", "reach my desk {} after lunch", numbers), ("card", "we paid with {} ok", cards)):
+        for v in values:
+            planted[len(texts)] = [(kind, v)]
+            texts.append(slot.format(v))
+    texts += ["rooms 555 123 4567 are free", "look (at) this or that"]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: [(s.kind, texts[i][s.start : s.end]) for s in got[i]] for i in planted} == planted
+    assert got[len(texts) - 1] == got[len(texts) - 2] == []
+
+
+def test_wide_spans_of_long_texts_take_little_time():
+    text = "a" * 200_000 + " (at) " + "9" * 200_000 + " 12" * 60_000 + " [" * 50_000 + "a@" * 50_000
+    assert wide_spans(text, [])
