@@ -24,11 +24,12 @@ from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import joined, rows_with, sha256
-from .textblocks import LOWER, text_blocks
+from .textblocks import text_blocks
 from .workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -52,8 +53,11 @@ _MASKED = re.compile(
     rf"(?:{_AT}|\s?@\s?)[A-Za-z0-9-]++(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9-]++)*"
     rf"|\sat\s[A-Za-z0-9-]++(?:(?:{_DOT}|\sdot\s)[A-Za-z0-9-]++)+)", re.IGNORECASE | re.ASCII)
 _MOST_DIGITS = 19
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+#: What every mention holds: a digit or an @, or the word "at" as a masked address has it.
+_SEEN = np.zeros(256, bool)
+_SEEN[[*range(48, 58), ord("@")]] = True
+_S = r"[\s\x0b]"
+_AT_WORD = rf"(?i)[\[({{<]{_S}?at{_S}?[\])}}>]|{_S}at{_S}[a-z0-9-]+({_S}?[\[({{<]{_S}?(\.|dot){_S}?[\])}}>]|{_S}dot{_S})"
 
 
 def luhn(digits: str) -> bool:
@@ -162,7 +166,7 @@ def _scan(batches):
         counts, shas, bases, found = ([None] * batch.num_rows for _ in range(4))
         column = batch.column(1)
         for row, end, data, offsets in text_blocks(column):
-            some = rows_with(_DIGIT[data] | (data == ord("@")), offsets) | rows_with((LOWER[data] == ord("a"))[:-1] & (LOWER[data] == ord("t"))[1:], np.minimum(offsets, max(0, len(data) - 1)))
+            some = rows_with(_SEEN, data, offsets) | np.asarray(pc.fill_null(pc.match_substring_regex(column.slice(row, end - row), _AT_WORD), False))
             for k in range(end - row):
                 spans, seen = [], []
                 if some[k]:
