@@ -1,153 +1,188 @@
 """Toxicity scores from a linear model over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct n-grams of a text's UTF-8 bytes (A-Z lower-cased), hashed to
-2**FEATURE_BITS places. Spark counts in how many toxic and clean texts of the sample each feature
-stands; the log of the ratio of these smoothed shares scales the feature, and a logistic model with
-an L2 penalty is fitted to the scaled features. Scoring adds, for each text, the weights of its
-distinct features; every text is read whole, in blocks, and the model is of fixed size.
+2**FEATURE_BITS places, which makes the model's size fixed; n-grams that share a place share its
+weight, none is left out. Spark counts in how many toxic and clean texts of the sample each place
+stands; the log of the ratio of these shares, smoothed by SMOOTHING texts, scales the feature, and a
+logistic model with an L2 penalty is fitted to the scaled features: Spark tasks compute the slopes
+over the sample where it lies, the driver only moves the fixed number of coefficients. Scoring adds,
+for each text, the weights of its distinct features; every text is read whole, in pieces.
 
 Fitting takes at most ``per_class`` labelled texts of each class (by the hash of the id, so that
 reruns agree); class weights restore the shares of the classes among all labels given. Defined
 cases: null and empty texts have no features and get the model's base score; without labels every
-score is 0.5; labels with a null id or label are left out, several labels of an id count by their
-mean; repeated rows get equal scores. Extra columns are carried when asked for, else ignored.
+score is 0.5, with those of one class only the smoothed share of label 1; labels with a null id or
+label are left out, several labels of an id count by their mean; repeated rows get equal scores.
+Extra columns are carried when asked for, else ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textblocks import LOWER, distinct, text_blocks
+from .textblocks import LOWER, PIECE, text_blocks
 from .workspace import Workspace, free_name
 
 ORDERS = (4, 5, 6)
-FEATURE_BITS = 20
+FEATURE_BITS = 18
 PER_CLASS = 10_000
-MOST_FEATURES = 1 << 15
+PENALTY, STEPS = 1e-5, 25
+#: Tasks that the sample's slopes come from, a row of fixed size each, at every step.
+FIT_TASKS = 12
+#: Texts that are added to the counts of each place, divided by the shares of the classes: what stands in few texts gets a ratio near 1.
+SMOOTHING = 100.0
 REJECT_FROM = 0.7
 
 
 @dataclass(frozen=True)
 class NgramModel:
-    features: np.ndarray  # int32, ascending
-    weights: np.ndarray  # float64: coefficient times log-count ratio
+    weights: np.ndarray  # by place: coefficient times log-count ratio
     bias: float
 
 
-def block_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the distinct features of each text of a block; only ``wanted`` ones (a mask by place) if given."""
-    data = LOWER[data].astype(np.uint64)
-    found = []
-    lengths = np.diff(offsets)
-    room = np.repeat(offsets[1:], lengths) - np.arange(len(data))  # bytes from here to the text's end
-    gram = np.zeros(len(data), np.uint64)
-    for k in range(max(ORDERS)):
-        gram[: len(data) - k] |= data[k:] << np.uint64(8 * k)
+def _places(part: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of all n-grams of some bytes, an array for each order."""
+    gram = np.zeros(len(part), np.uint64)
+    for k in range(min(max(ORDERS), len(part))):
+        gram[: len(part) - k] |= part[k:].astype(np.uint64) << np.uint64(8 * k)
         if k + 1 in ORDERS:
-            place = ((gram | np.uint64((k + 1) << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
-            keep = room > k
-            if wanted is not None:
-                keep &= wanted[place]
-            at = np.flatnonzero(keep)
-            found.append((np.searchsorted(offsets, at, side="right") - 1 << FEATURE_BITS) | place[at])
-    pairs = distinct(np.concatenate(found))
-    return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
+            whole = gram[: len(part) - k] | np.uint64((k + 1) << 56)
+            yield (whole * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+
+
+def block_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct features of each text of a block, ascending."""
+    data, seen = LOWER[data], np.zeros(1 << FEATURE_BITS, bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for low in range(a, b, PIECE):
+            for place in _places(data[low : min(b, low + PIECE + max(ORDERS) - 1)]):
+                seen[place] = True
+        found = np.flatnonzero(seen)
+        seen[found] = False
+        yield found
+
+
+def _features(column: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in text_blocks(column):
+        yield from block_features(data, offsets)
 
 
 def _counts(batches):
+    counts = np.zeros((2, 1 << FEATURE_BITS), np.int64)  # of one task
     for batch in batches:
-        label, counts = np.asarray(batch.column(1)), np.zeros((2, 1 << FEATURE_BITS), np.int64)
-        for row, _, data, offsets in text_blocks(batch.column(0)):
-            owner, place = block_features(data, offsets)
-            for kind in (0, 1):
-                counts[kind] += np.bincount(place[label[row + owner] == kind], minlength=1 << FEATURE_BITS)
-        some = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(c[some]) for c in counts]], ["feature", "clean", "toxic"])
-
-
-def _lists(features: np.ndarray):
-    def lists(batches):
-        wanted = np.zeros(1 << FEATURE_BITS, bool)
-        wanted[features] = True
-        for batch in batches:
-            out = [[]] * batch.num_rows
-            for row, end, data, offsets in text_blocks(batch.column(0)):
-                owner, place = block_features(data, offsets, wanted)
-                cuts = np.searchsorted(owner, np.arange(end - row + 1))
-                index = np.searchsorted(features, place).astype(np.int32)
-                out[row:end] = [index[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["label", "features"])
+        for label, found in zip(batch.column(1).to_pylist(), _features(batch.column(0)), strict=True):
+            counts[label, found] += 1
+    some = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(c[some]) for c in counts]], ["feature", "clean", "toxic"])
+
+
+def _lists(batches):
+    for batch in batches:
+        found = [x.astype(np.int32) for x in _features(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
-    return lists
 
+def _slopes(weights: np.ndarray, bias: float, ratios: np.ndarray, share: tuple[float, float]):
+    """Map rows (label, features) of a task to one row: their loss, and its slopes for the bias and all coefficients."""
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = PER_CLASS) -> NgramModel:
+    def slopes(batches):
+        scaled, loss, by_bias, by_place = weights * ratios, 0.0, 0.0, np.zeros(1 << FEATURE_BITS)
+        for batch in batches:
+            label = np.asarray(batch.column(0)).astype(float)
+            places, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
+            z = np.clip(np.bincount(np.repeat(np.arange(len(label)), sizes), scaled[places], minlength=len(label)) + bias, -40, 40)
+            each = np.where(label == 1, share[1], share[0])
+            err = each * (1 / (1 + np.exp(-z)) - label)
+            loss += float((each * (np.logaddexp(0, z) - label * z)).sum())
+            by_bias += float(err.sum())
+            by_place += np.bincount(places, np.repeat(err, sizes), minlength=1 << FEATURE_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([(by_place * ratios).tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
+
+    return slopes
+
+
+def minimised(slope, x: np.ndarray, steps: int, kept: int = 10) -> np.ndarray:
+    """The point that limited-memory BFGS reaches from ``x``; ``slope`` gives value and gradient."""
+    value, gradient = slope(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, shares = gradient.copy(), []
+        for s, y in reversed(moves):
+            shares.append((s @ way) / (y @ s))
+            way -= shares[-1] * y
+        way *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1e-12, np.linalg.norm(way))
+        for (s, y), part in zip(moves, reversed(shares), strict=True):
+            way += (part - (y @ way) / (y @ s)) * s
+        size = 1.0
+        while True:
+            there = x - size * way
+            new_value, new_gradient = slope(there)
+            if new_value <= value - 1e-4 * size * (gradient @ way) or size < 1e-3:
+                break
+            size /= 2
+        if new_value >= value:
+            return x
+        if (there - x) @ (new_gradient - gradient) > 0:
+            moves = [*moves, (there - x, new_gradient - gradient)][-kept:]
+        done = value - new_value < 1e-5 * max(1.0, value)
+        x, value, gradient = there, new_value, new_gradient
+        if done:
+            return x
+    return x
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = PER_CLASS, penalty: float = PENALTY, steps: int = STEPS) -> NgramModel:
     """Fit to the texts of ``docs`` that ``labels`` (id, label 0 or 1) marks."""
     work = Workspace(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("of").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     known = work.table(known, "known")
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
-        return NgramModel(np.zeros(0, np.int32), np.zeros(0), 0.0)
+    base = math.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))
     each = [known.filter(F.col("label") == k).orderBy(F.xxhash64("of"), "of").limit(per_class) for k in (0, 1)]
     picked = F.broadcast(each[0].union(each[1]))  # 2 * per_class rows at most
     sample = work.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("id") == F.col("of")).select("text", "label"), "sample")
     used = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = used.get(0, 0), used.get(1, 0)
+    if len(used) < 2:
+        work.keep()
+        return NgramModel(np.zeros(1 << FEATURE_BITS), base)
     counts = sample.mapInArrow(_counts, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.log((F.col("toxic") + 1) / F.lit(n1 + 2.0)) - F.log((F.col("clean") + 1) / F.lit(n0 + 2.0))
-    best = counts.filter("clean + toxic >= 3").withColumn("ratio", ratio).orderBy(F.abs("ratio").desc(), "feature").limit(MOST_FEATURES).select("feature", "ratio").toPandas().sort_values("feature")
-    features, ratios = best["feature"].to_numpy(np.int32), best["ratio"].to_numpy(float)
-    rows = sample.mapInArrow(_lists(features), "label int, features array<int>").toArrow()
-    label = np.asarray(rows.column("label").combine_chunks()).astype(float)
-    lists = rows.column("features").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    sizes, places = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten())
-    owner = np.repeat(np.arange(len(label)), sizes)
+    mean = {k: n / sum(used.values()) for k, n in used.items()}
+    ratio = F.log(F.col("toxic") / F.lit(mean[1]) + SMOOTHING) - F.log(F.col("clean") / F.lit(mean[0]) + SMOOTHING)
+    known_ratios = counts.select("feature", ratio.alias("ratio")).toPandas()  # one row a place
+    ratios = np.zeros(1 << FEATURE_BITS)
+    ratios[known_ratios["feature"].to_numpy()] = known_ratios["ratio"].to_numpy()
     # Rows of the sample stand for the classes' shares among all labels.
-    total = sum(shares.values())
-    weight = np.where(label == 1, shares.get(1, 0) / max(n1, 1), shares.get(0, 0) / max(n0, 1)) * len(label) / total
-    start = math.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))
-    weights, bias = fit_logistic(owner, places, ratios, label, weight, start)
-    return NgramModel(features, weights * ratios, bias)
-
-
-def fit_logistic(owner, places, ratios, label, weight, bias: float, penalty: float = 1e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Coefficients of the scaled features by full gradients with Adam's step sizes."""
-    w, scale = np.zeros(len(ratios)), ratios[places]
-    m, v, n = np.zeros(len(w) + 1), np.zeros(len(w) + 1), max(1, len(label))
-    for t in range(1, steps + 1):
-        z = np.bincount(owner, w[places] * scale, minlength=len(label)) + bias
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) * weight / n
-        g = np.r_[np.bincount(places, err[owner] * scale, minlength=len(w)) + penalty * w, err.sum()]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return w, float(bias)
+    share = tuple(shares[k] / used[k] * sum(used.values()) / sum(shares.values()) for k in (0, 1))
+    rows = work.table(sample.mapInArrow(_lists, "label int, features array<int>").repartition(FIT_TASKS), "lists")
+    total = sum(used.values())
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = rows.mapInArrow(_slopes(x[:-1], float(x[-1]), ratios, share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
+        by_place = sum(np.frombuffer(p["by_place"]) for p in parts) / total + penalty * x[:-1]
+        return sum(p["loss"] for p in parts) / total + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_place, sum(p["by_bias"] for p in parts) / total)
+
+    found = minimised(slope, np.append(np.zeros(1 << FEATURE_BITS), base), steps)
+    work.keep()
+    return NgramModel(found[:-1] * ratios, float(found[-1]))
 
 
 def scored(docs: DataFrame, model: NgramModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with all its columns and the score of each text."""
 
     def score(batches):
-        wanted, weights = np.zeros(1 << FEATURE_BITS, bool), np.zeros(1 << FEATURE_BITS)
-        wanted[model.features] = True
-        weights[model.features] = model.weights
         for batch in batches:
-            total = np.full(batch.num_rows, model.bias)
-            for row, end, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text_col))):
-                owner, place = block_features(data, offsets, wanted)
-                total[row:end] += np.bincount(owner, weights[place], minlength=end - row)
+            total = np.array([model.weights[found].sum() for found in _features(batch.column(batch.schema.get_field_index(text_col)))], float) + model.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], [*batch.schema.names, score_col])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 

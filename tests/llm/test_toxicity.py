@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from gristmill.llm import toxicity
 from gristmill.llm.queries import fold
 from gristmill.llm.toxicity import FEATURE_BITS, block_features, drop_toxic, fit, scored
 from gristmill.llm.textblocks import text_blocks
@@ -40,7 +41,29 @@ def test_features_are_the_distinct_grams_of_each_text():
 
     texts = ["abcdef", "abcdabcd", "", "ABCDEF", "abc"]
     for _, _, data, offsets in text_blocks(pa.array(texts)):
-        owner, place = block_features(data, offsets)
-    sizes = np.bincount(owner, minlength=5).tolist()
-    assert sizes == [3 + 2 + 1, 4 + 4 + 3, 0, 6, 0] and place.max() < 1 << FEATURE_BITS
-    assert place[owner == 0].tolist() == place[owner == 3].tolist()
+        found = list(block_features(data, offsets))
+    assert [len(x) for x in found] == [3 + 2 + 1, 4 + 4 + 3, 0, 6, 0] and max(x.max(initial=0) for x in found) < 1 << FEATURE_BITS
+    assert found[0].tolist() == found[3].tolist()
+
+
+def test_features_in_pieces(monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog é ü " * 5
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    whole = next(iter(block_features(data, offsets))).tolist()
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert next(iter(block_features(data, offsets))).tolist() == whole
+
+
+def test_held_out_texts_of_the_tables(spark):
+    """Of the given labels' held-out fold, the area under the curve and the share that the threshold gets right."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    out = scored(docs, fit(docs, labels.filter(fold(3) != 1), "toxic")).join(labels.filter(fold(3) == 1), "doc_id").select("score", "toxic").dropna().toPandas()
+    ranks = out["score"].rank()
+    ones = out["toxic"] == 1
+    area = (ranks[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+    right = ((out["score"] >= 0.7) == ones).mean()
+    print(f"area {area:.4f}, right {right:.4f}, caught {(out['score'][ones] >= 0.7).mean():.4f}, false {(out['score'][~ones] >= 0.7).mean():.4f}, rows {len(out)}")
+    assert area > 0.97 and right > 0.95
