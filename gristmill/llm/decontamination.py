@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textblocks import _STEPS, LOWER, SHINGLE_WORDS, distinct, mix64, shingle_hashes, text_blocks, word_bounds, word_hashes
+from .textblocks import LOWER, SHINGLE_WORDS, distinct, hashed_words, shingle_hashes, text_blocks, whole_runs
 from .workspace import Workspace
 
 RADIUS = 4
@@ -130,7 +130,7 @@ class SharedShingles:
         for size, (values, owners, some) in self.needed.items():
             if len(hashed) < size:
                 continue
-            runs = next(shingle_hashes(hashed, np.array([0, len(hashed)]), size)) if size == self.words else _whole_runs(hashed, size)
+            runs = next(shingle_hashes(hashed, np.array([0, len(hashed)]), size)) if size == self.words else whole_runs(hashed, np.arange(len(hashed) - size + 1), size)
             at = np.flatnonzero(some[runs >> np.uint64(46)])
             low = np.searchsorted(values, runs[at])
             count = np.searchsorted(values, runs[at], side="right") - low
@@ -173,15 +173,6 @@ class SharedShingles:
         return list(zip(at[order].tolist(), bound[order].tolist(), strict=True))
 
 
-def _whole_runs(words: np.ndarray, size: int) -> np.ndarray:
-    """For every run of ``size`` words the hash that a text of just these words has as its one shingle."""
-    n = len(words) - size + 1
-    whole = np.full(n, size, np.uint64)
-    for k in range(size):
-        whole = mix64(whole * np.uint64(_STEPS[0]) + words[k : k + n])
-    return whole
-
-
 def _shingle_counts(text_words: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     runs = next(shingle_hashes(text_words, np.array([0, len(text_words)]), words))
     return np.unique(runs, return_counts=True)
@@ -189,9 +180,7 @@ def _shingle_counts(text_words: np.ndarray, words: int) -> tuple[np.ndarray, np.
 
 def _words_of(column: pa.Array):
     for row, end, data, offsets in text_blocks(column):
-        data = LOWER[data]
-        starts, ends, first = word_bounds(data, offsets)
-        yield row, end, word_hashes(data, starts, ends), first
+        yield row, end, *hashed_words(LOWER[data], offsets)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int, radius: int):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textblocks import LOWER, text_blocks
+from .textblocks import LOWER, PIECE, text_blocks
 from .workspace import Workspace, without
 
 WINDOW = 16  # bytes that decide about a border; smaller than MIN_CHUNK, so that borders never depend on the text before
@@ -32,12 +32,16 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 def border_marks(data: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the last WINDOW bytes allows a border."""
-    rolled, width = _GEAR[data], 1
-    while width < WINDOW:
-        longer = rolled.copy()
-        longer[width:] += rolled[:-width] << np.uint32(width)
-        rolled, width = longer, 2 * width
-    return np.flatnonzero(rolled >> np.uint32(32 - BORDER_BITS) == 0) + 1
+    found = [np.zeros(0, np.int64)]
+    for low in range(0, len(data), PIECE):
+        start = max(0, low - WINDOW)
+        rolled, width = _GEAR[data[start : low + PIECE]], 1
+        while width < WINDOW:
+            longer = rolled.copy()
+            longer[width:] += rolled[:-width] << np.uint32(width)
+            rolled, width = longer, 2 * width
+        found.append(np.flatnonzero(rolled[low - start :] >> np.uint32(32 - BORDER_BITS) == 0) + low + 1)
+    return np.concatenate(found)
 
 
 def cut(marks: np.ndarray, start: int, end: int) -> list[int]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textblocks import LOWER, SHINGLE_WORDS, distinct, shingle_hashes, text_blocks, word_bounds, word_hashes
+from .textblocks import LOWER, SHINGLE_WORDS, distinct, hashed_words, shingle_hashes, text_blocks
 from .workspace import Workspace, without
 
 #: Texts of a batch that are counted together before their shingles are sent, and bytes of these.
@@ -56,9 +56,7 @@ _NO_ROW = 0xFFFF
 def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS):
     """The sorted distinct shingle hashes of each text of an Arrow column."""
     for _, _, data, offsets in text_blocks(column):
-        data = LOWER[data]
-        starts, ends, first = word_bounds(data, offsets)
-        for runs in shingle_hashes(word_hashes(data, starts, ends), first, words):
+        for runs in shingle_hashes(*hashed_words(LOWER[data], offsets), words):
             yield distinct(runs)
 
 

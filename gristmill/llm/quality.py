@@ -22,53 +22,65 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import LOWER, SPACE, text_blocks, word_bounds, word_hashes
+from .textblocks import LOWER, SPACE, text_blocks, word_hashes, word_pieces
 from .workspace import Workspace
 
 STATISTICS = ("words", "word_length", "upper_share", "digit_share", "mark_share", "odd_mark_share", "distinct_words", "distinct_lines", "same_as_last", "pipe_words", "end_marks", "short_words", "high_bytes", "line_words")
 
-_UPPER, _DIGIT, _MARK, _ODD = (np.zeros(256, bool) for _ in range(4))
+_UPPER, _DIGIT, _MARK, _ODD, _HIGH = (np.zeros(256, bool) for _ in range(5))
+_HIGH[128:] = True
+_CLOSING = np.frombuffer(b".!?", np.uint8)
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _ODD[[ord(c) for c in "#$%&*+<=>@[]^_{|}~\\"]] = True
 
 
-def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
-    return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
+def _counted(flags: np.ndarray, rows: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each row of a block, the number of flags (of the bytes from low to high) in it."""
+    total = np.r_[0, np.cumsum(flags)]
+    edges = np.clip(rows - low, 0, high - low)
+    return total[edges[1:]] - total[edges[:-1]]
 
 
 def block_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows by STATISTICS for the texts of a block."""
+    """Rows by STATISTICS for the texts of a block; bytes and words are counted piece by piece."""
     n = len(offsets) - 1
-    if not len(data):
-        return np.zeros((n, len(STATISTICS)))
-    starts, ends, first = word_bounds(data, offsets)
-    words, sizes = np.diff(first), np.diff(offsets)
-    hashed = word_hashes(LOWER[data], starts, ends)
-    owner = np.repeat(np.arange(n), words)
-    inside = ~SPACE[data]
-    bytes_ = _per_row(inside, offsets)
-    pairs = _distinct(owner, hashed)
-    last = np.r_[False, (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])]
-    # Lines, as runs between line feeds; empty ones don't count.
-    breaks = data == 10
-    line_start = np.flatnonzero(~breaks & np.r_[True, breaks[:-1]] | ~breaks & np.isin(np.arange(len(data)), offsets))
-    stop = np.unique(np.r_[np.flatnonzero(breaks), offsets[1:]])
-    line_end = stop[np.searchsorted(stop, line_start, side="right")]
+    counts = {k: np.zeros(n) for k in ("words", "bytes", "upper", "digit", "mark", "odd", "high", "last", "alone", "marked", "short")}
+    hashes, breaks, previous = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], (-1, np.uint64(0))
+    for low, high, starts, ends in word_pieces(data, offsets):
+        part = data[low:high]
+        for name, marked in (("bytes", ~SPACE), ("upper", _UPPER), ("digit", _DIGIT), ("mark", _MARK), ("odd", _ODD), ("high", _HIGH)):
+            counts[name] += _counted(marked[part], offsets, low, high)
+        breaks.append(np.flatnonzero(part == 10) + low)
+        hashed = word_hashes(LOWER[part], starts, ends)
+        owner = np.searchsorted(offsets, starts + low, side="right") - 1
+        before = np.r_[previous[1], hashed[:-1]]
+        same = (hashed == before[: len(hashed)]) & (owner == np.r_[previous[0], owner[:-1]][: len(owner)])
+        length, closing = ends - starts, part[ends - 1]
+        by_word = lambda flags: np.bincount(owner[flags], minlength=n)
+        counts["words"] += np.bincount(owner, minlength=n)
+        counts["last"] += by_word(same)
+        counts["alone"] += by_word((length == 1) & (closing == ord("|")))
+        counts["marked"] += by_word(np.isin(closing, _CLOSING))
+        counts["short"] += by_word(length <= 2)
+        if len(owner):
+            previous = int(owner[-1]), hashed[-1]
+        hashes.append(hashed)
+    words = counts["words"].astype(np.int64)
+    different_words = np.bincount(_distinct(np.repeat(np.arange(n), words), np.concatenate(hashes)), minlength=n)
+    # Lines are what stands between line feeds and the ends of rows; empty ones don't count.
+    edges = np.unique(np.r_[offsets, np.concatenate(breaks), np.concatenate(breaks) + 1])
+    full = (np.diff(edges) > 0) & (data[edges[:-1]] != 10) if len(data) else np.zeros(0, bool)
+    line_start, line_end = edges[:-1][full], edges[1:][full]
     line_owner = np.searchsorted(offsets, line_start, side="right") - 1
-    lines = np.bincount(line_owner, minlength=n)
-    different = np.bincount(_distinct(line_owner, word_hashes(data, line_start, line_end)), minlength=n)
-    length = ends - starts
-    alone = (length == 1) & (data[starts] == ord("|"))
-    marked = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) if len(ends) else np.zeros(0, bool)
-    by_word = lambda flags: np.bincount(owner, flags, minlength=n)
-    w, b, s = np.maximum(words, 1), np.maximum(bytes_, 1), np.maximum(sizes, 1)
+    every_line = np.bincount(line_owner, minlength=n)
+    different_lines = np.bincount(_distinct(line_owner, word_hashes(data, line_start, line_end)), minlength=n)
+    w, b, s, x = (np.maximum(v, 1) for v in (counts["words"], counts["bytes"], np.diff(offsets), every_line))
     return np.stack(
         [
-            words, bytes_ / w, _per_row(_UPPER[data], offsets) / b, _per_row(_DIGIT[data], offsets) / b, _per_row(_MARK[data], offsets) / b, _per_row(_ODD[data], offsets) / b,
-            np.bincount(pairs, minlength=n) / w, different / np.maximum(lines, 1), by_word(last) / w, by_word(alone) / w, by_word(marked) / w, by_word(length <= 2) / w, _per_row(data > 127, offsets) / s, words / np.maximum(lines, 1),
+            counts["words"], counts["bytes"] / w, *(counts[k] / b for k in ("upper", "digit", "mark", "odd")), different_words / w, different_lines / x,
+            *(counts[k] / w for k in ("last", "alone", "marked", "short")), counts["high"] / s, counts["words"] / x,
         ],
         axis=1,
     ).astype(float)

@@ -1,29 +1,27 @@
 """Vectorised views of Arrow text columns: byte blocks, words and word shingles.
 
 All helpers work on a *block*: consecutive rows of one Arrow batch whose UTF-8 bytes together stay
-near ``BLOCK_BYTES`` (one longer text makes a block of its own). Memory in a Python worker is then
-a small multiple of the block or of the longest single text, whatever the batch holds.
+near ``BLOCK_BYTES`` (one longer text makes a block of its own). Words are found and hashed in
+pieces of ``PIECE`` bytes, so that a long text takes its own bytes, those of its lower-cased copy
+and eight bytes for each word and shingle, but no working arrays of its whole length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES, PIECE = 1 << 18, 1 << 20
 SHINGLE_WORDS = 5
+#: Words up to so many bytes are hashed eight bytes at a time, all together; longer ones one by one.
+SHORT_WORD = 64
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEPS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
-
-
-def _seeded(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
-
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: A-Z to a-z and nothing else; bytes above 0x7F belong to longer characters and stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,11 +29,10 @@ LOWER[65:91] += 32
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_VALUES = _seeded(256, 11)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """Finalise 64-bit values so that every input bit reaches every output bit."""
+    """Finalise 64-bit values so that every input bit reaches every output bit; different values stay different."""
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -49,17 +46,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     new = np.ones(len(values), bool)
     np.not_equal(values[1:], values[:-1], out=new[1:])
-    return values[new]
-
-
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for 2**bits places."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    up = np.full(1 << bits, _BASE, dtype=np.uint64)
-    down = np.full(1 << bits, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    return values if new.all() else values[new]
 
 
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -80,50 +67,85 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         row = end
 
 
+def _word_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """The first place from ``at`` where no word goes on: white space, or the start of a row."""
+    stop, step = int(offsets[np.searchsorted(offsets, at)]), 256
+    while at < stop:
+        space = np.flatnonzero(SPACE[data[at : min(stop, at + step)]])
+        if len(space):
+            return at + int(space[0])
+        at, step = min(stop, at + step), 2 * step
+    return stop
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (low, high, starts, ends): the words between two places of a block, counted from ``low``; no piece cuts a word."""
+    low = 0
+    while low < len(data):
+        high = len(data) if low + PIECE >= len(data) else _word_end(data, offsets, low + PIECE)
+        inside = ~SPACE[data[low:high]]
+        before, after = np.zeros_like(inside), np.zeros_like(inside)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        cuts = offsets[np.searchsorted(offsets, low, side="right") : np.searchsorted(offsets, high)] - low
+        before[cuts], after[cuts - 1] = False, False
+        yield low, high, np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        low = high
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in a block, and for each row the index of its first word (plus the total)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
-    before[cuts] = False
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[cuts - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    parts = [(starts + low, ends + low) for low, _, starts, ends in word_pieces(data, offsets)]
+    starts, ends = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
     return starts, ends, np.searchsorted(starts, offsets)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, equal for equal words wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(18, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    hashed = (total[ends] - total[starts]) * down[starts]
-    return mix64(hashed + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each stretch of bytes, equal for equal bytes wherever they stand."""
+    length = ends - starts
+    out = (length + 1).astype(np.uint64) * np.uint64(_STEPS[0])
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from every place
+    some, k = np.flatnonzero((length > 0) & (length <= SHORT_WORD)), 0
+    while len(some):
+        left = length[some] - k
+        out[some] = mix64(out[some] ^ (lanes[starts[some] + k] & _LANE[np.minimum(left, 8)]))
+        some, k = some[left > 8], k + 8
+    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a block's words in order, and for each row the index of its first word (plus the total)."""
+    parts, first, total = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
+    for low, high, starts, ends in word_pieces(data, offsets):
+        a, b = np.searchsorted(offsets, [low, high], side="right")
+        first[a:b] = total + np.searchsorted(starts, offsets[a:b] - low)
+        parts.append(word_hashes(data[low:high], starts, ends))
+        total += len(starts)
+    return np.concatenate(parts) if len(parts) > 2 else parts[-1], first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """For each row, the hashes of its runs of ``size`` words in order; a shorter row has its whole sequence as one."""
-    n = len(words)
-    runs = np.zeros(max(0, n - size + 1), np.uint64)
+    runs = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for low in range(0, len(runs), PIECE // 8):
+        part = runs[low : low + PIECE // 8]
+        for k in range(size):
+            part += words[low + k : low + k + len(part)] * np.uint64(_STEPS[k % len(_STEPS)] + 2 * (k // len(_STEPS)))
+        part[:] = mix64(part)
+    count = np.diff(first)
+    short = np.zeros(len(count), np.uint64)
+    for n in range(1, size):
+        rows = np.flatnonzero(count == n)
+        if len(rows):
+            short[rows] = whole_runs(words, first[rows], n)
+    for row, (a, n) in enumerate(zip(first[:-1].tolist(), count.tolist(), strict=True)):
+        yield runs[a : a + n - size + 1] if n >= size else short[row : row + (n > 0)]
+
+
+def whole_runs(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For the runs of ``size`` words from ``at`` the hash that a text of just these words has as its one shingle."""
+    whole = np.full(len(at), size, np.uint64)
     for k in range(size):
-        runs += words[k : k + len(runs)] * np.uint64(_STEPS[k % len(_STEPS)] + 2 * (k // len(_STEPS)))
-    runs = mix64(runs)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= size:
-            yield runs[a : b - size + 1]
-        elif b > a:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = mix64(np.array([whole * np.uint64(_STEPS[0]) + w], np.uint64))[0]
-            yield np.array([whole], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+        whole = mix64(whole * np.uint64(_STEPS[0]) + words[at + k])
+    return whole

@@ -7,8 +7,11 @@ that no piece covers falls back to one token a UTF-8 byte, at FALLBACK a charact
 
 A task inserts the distinct pre-tokens of a part of its texts in a trie, level by level over sorted
 arrays, and computes the best score of each node once for all pre-tokens below it, from its
-ancestors one piece back. Terminal nodes keep the counts, which are summed by text. Nothing is
-shuffled, and memory is bounded by the part (PART_BYTES, or the longest text).
+ancestors one piece back. Terminal nodes keep the counts, which are summed by text. Pre-tokens of
+more than LEVELS characters would make levels of one node each; their pieces are looked up for all
+places of a segment at once, then the scores run along it, and a pre-token starts from the segment up
+to which it has the same characters as the one before. Nothing is shuffled, and memory is bounded by
+the part (PART_BYTES, or the longest text).
 
 Defined cases: null and empty texts and texts of white space count 0; very long words are words
 like others; null ids and repeated rows are rows like others; extra columns are ignored.
@@ -32,6 +35,8 @@ MARK = "▁"
 #: Scores are whole millionths, so that equal scores are equal whatever the order of adding.
 UNIT = 1_000_000
 FALLBACK = -20 * UNIT
+#: Characters up to which pre-tokens go through the trie level by level, and those of a segment of longer ones.
+LEVELS, SEGMENT = 128, 4096
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,7 +98,7 @@ def trie_counts(words: list[str], table: PieceTable) -> np.ndarray:
     length = np.array([len(w) for w in words])
     start = np.cumsum(length) - length
     hashes = _Hashes(points)
-    fallback = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+    fallback = _fallback(points)
     # Best score and count of each prefix: place start + word index + characters, so that the empty prefix has a place, too.
     base = start + np.arange(len(words))
     score, count = np.zeros(len(points) + len(words), np.int64), np.zeros(len(points) + len(words), np.int64)
@@ -125,15 +130,56 @@ def trie_counts(words: list[str], table: PieceTable) -> np.ndarray:
     return count[base + length]
 
 
+def _fallback(points: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    return np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+
+
+def long_counts(words: list[str], table: PieceTable) -> list[int]:
+    """As trie_counts for long words: the states (scores and counts of the last places) before each segment are kept for the next word."""
+    reach = max(table.by_length, default=1)
+    out, last, states = [], "", []
+    for word in words:
+        shared = 0
+        while shared < len(states) - 1 and word[shared * SEGMENT : (shared + 1) * SEGMENT] == last[shared * SEGMENT : (shared + 1) * SEGMENT] and len(word) > (shared + 1) * SEGMENT:
+            shared += 1
+        states, last = states[: shared + 1] or [([0], [0])], word
+        for low in range(shared * SEGMENT, len(word), SEGMENT):
+            before = min(low, reach)
+            points = np.frombuffer(word[low - before : low + SEGMENT].encode("utf-32-le"), np.uint32)
+            hashes, bytes_ = _Hashes(points), _fallback(points).tolist()
+            found: list[list[tuple[int, int]]] = [[] for _ in points]
+            for k, (known, values) in table.by_length.items():
+                if k <= len(points):
+                    end = np.arange(max(k, before + 1), len(points) + 1)
+                    wanted = hashes.of(end - k, end)
+                    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                    for e, value in zip(end[known[at] == wanted].tolist(), values[at[known[at] == wanted]].tolist(), strict=True):
+                        found[e - 1].append((k, value))
+            score, count = (list(x) for x in states[-1])  # of the empty prefix or the last places before the segment
+            shift = len(score) - 1 - before
+            for e in range(before + 1, len(points) + 1):
+                best, tokens = score[e - 1 + shift] + FALLBACK, count[e - 1 + shift] + bytes_[e - 1]
+                for k, value in found[e - 1]:
+                    s, c = score[e - k + shift] + value, count[e - k + shift] + 1
+                    if s > best or s == best and c < tokens:
+                        best, tokens = s, c
+                score.append(best)
+                count.append(tokens)
+            states.append((score[-reach - 1 :], count[-reach - 1 :]))
+        out.append(states[-1][1][-1])
+    return out
+
+
 def block_counts(data: np.ndarray, offsets: np.ndarray, table: PieceTable) -> np.ndarray:
     """Tokens of each text of a block."""
     starts, ends, first = word_bounds(data, offsets)
     _, one, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    words = [MARK + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+    words = [MARK + data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
     order = sorted(range(len(words)), key=words.__getitem__)
     counts = np.zeros(len(words), np.int64)
-    counts[order] = trie_counts([words[i] for i in order], table)
+    for some, count in (([i for i in order if len(words[i]) <= LEVELS], trie_counts), ([i for i in order if len(words[i]) > LEVELS], long_counts)):
+        counts[some] = count([words[i] for i in some], table)
     total = np.r_[0, np.cumsum(counts[inverse])]
     return total[first[1:]] - total[first[:-1]]
 

@@ -4,8 +4,9 @@ import re
 import pyarrow as pa
 from tokenizers import Tokenizer, models
 
+from gristmill.llm import token_counts as module
 from gristmill.llm.textblocks import text_blocks
-from gristmill.llm.token_counts import FALLBACK, MARK, UNIT, VOCABULARY, PieceTable, block_counts, read_pieces, token_counts, trie_counts, zipf_scores
+from gristmill.llm.token_counts import FALLBACK, MARK, UNIT, VOCABULARY, PieceTable, block_counts, long_counts, read_pieces, token_counts, trie_counts, zipf_scores
 
 
 def plain(word, scores):
@@ -57,3 +58,17 @@ def test_ties_take_fewest_tokens():
     for _, _, data, offsets in text_blocks(column):
         got = block_counts(data, offsets, table)
     assert got.tolist() == [3 + 1, 3 + 1 + 1 + 3 + 1, 0]  # the mark falls back to three bytes
+
+
+def test_long_words_in_segments(monkeypatch):
+    """Long pre-tokens with shared beginnings, cut at every segment size."""
+    scores = zipf_scores(read_pieces(VOCABULARY))
+    r = random.Random(11)
+    alphabet = ["the", "tion", "é", "x", "Q9", "漢", "/", "ing"]
+    start = MARK + "".join(r.choice(alphabet) for _ in range(60))
+    words = sorted({start + "".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(12)} | {start, MARK + "z" * 300, start[:50]})
+    want = [plain(w, scores) for w in words]
+    for segment in (20, 33, 64, 4096):
+        monkeypatch.setattr(module, "SEGMENT", segment)
+        assert long_counts(words, PieceTable(scores)) == want
+    assert trie_counts(words, PieceTable(scores)).tolist() == want
