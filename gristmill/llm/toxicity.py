@@ -91,11 +91,11 @@ def _lists(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
 
 
-def _slopes(weights: np.ndarray, bias: float, ratios: np.ndarray, share: tuple[float, float]):
-    """Map rows (label, features) of a task to one row: their loss, and its slopes for the bias and all coefficients."""
+def _slopes(scaled: np.ndarray, bias: float, share: tuple[float, float]):
+    """Map rows (label, features) of a task to one row: their loss, and its slopes for the bias and the weights of all places."""
 
     def slopes(batches):
-        scaled, loss, by_bias, by_place = weights * ratios, 0.0, 0.0, np.zeros(1 << FEATURE_BITS)
+        loss, by_bias, by_place = 0.0, 0.0, np.zeros(1 << FEATURE_BITS)
         for batch in batches:
             label = np.asarray(batch.column(0)).astype(float)
             places, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
@@ -105,7 +105,7 @@ def _slopes(weights: np.ndarray, bias: float, ratios: np.ndarray, share: tuple[f
             loss += float((each * (np.logaddexp(0, z) - label * z)).sum())
             by_bias += float(err.sum())
             by_place += np.bincount(places, np.repeat(err, sizes), minlength=1 << FEATURE_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([(by_place * ratios).tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_place.tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
 
     return slopes
 
@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     total = sum(used.values())
 
     def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        parts = rows.mapInArrow(_slopes(x[:-1], float(x[-1]), ratios, share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
-        by_place = sum(np.frombuffer(p["by_place"]) for p in parts) / total + penalty * x[:-1]
+        parts = rows.mapInArrow(_slopes((x[:-1] * ratios).astype(np.float32), float(x[-1]), share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
+        by_place = sum(np.frombuffer(p["by_place"]) for p in parts) * ratios / total + penalty * x[:-1]
         return sum(p["loss"] for p in parts) / total + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_place, sum(p["by_bias"] for p in parts) / total)
 
     found = minimised(slope, np.append(np.zeros(1 << FEATURE_BITS), base), steps)
