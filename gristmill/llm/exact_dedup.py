@@ -1,9 +1,10 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A rolling hash over the bytes of a text sets chunk borders, so equal texts always fall into equal
-chunks. Distinct chunks are brought together once, by hash and bytes, which verifies that a chunk
-hash identifies its bytes; a text is then only its *recipe*, the ordered list of chunk identifiers,
-and all comparing, grouping and joining moves recipes of eight bytes a chunk instead of texts.
+chunks. Distinct chunks are brought together once, as identifier and SHA-256 of their bytes, which
+verifies that an identifier stands for one chunk; where it doesn't, its chunks are numbered. A text is
+then only its *recipe*, the ordered list of chunk identifiers, and all comparing, grouping and joining
+moves recipes of eight bytes a chunk; neither texts nor chunks move.
 
 Defined cases: a null text counts as empty, and all empty texts are equal. A null id sorts below
 every other. Rows that repeat both id and text are copies of each other like any other rows; one of
@@ -85,9 +86,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def distinct_chunks(batches):
         for batch in batches:
-            seen = {c for _, _, chunks in _chunks(batch.column(0), fold_case) for c in chunks}  # of one batch
-            for part in _parts(list(seen)):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk_key(c, key_bits) for c in part], pa.int64()), pa.array(part, pa.binary())], ["key", "chunk"])
+            seen = {(chunk_key(c, key_bits), hashlib.sha256(c).digest()) for _, _, chunks in _chunks(batch.column(0), fold_case) for c in chunks}  # of one batch
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.binary())], ["key", "chunk"])
 
     def recipes(batches):
         for batch in batches:
@@ -97,7 +97,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists.append([chunk_key(c, key_bits) for c in chunks])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["id", "digest", "recipe"])
 
-    # Every chunk hash must stand for one chunk; a hash that doesn't is listed with its chunks.
+    # Every identifier must stand for one chunk; those that don't are listed.
     verified = texts.select("text").mapInArrow(distinct_chunks, "key long, chunk binary").groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
     clashes = work.table(verified.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "clashes")
     rows = texts.mapInArrow(recipes, f"id {id_type}, digest string, recipe array<bigint>")
@@ -122,18 +122,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _parts(chunks: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
-    part, held = [], 0
-    for c in chunks:
-        part.append(c)
-        held += len(c)
-        if held >= most:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 def _with_patches(texts: DataFrame, rows: DataFrame, clashes: DataFrame, fold_case: bool, key_bits: int, id_type: str) -> DataFrame:
     """Where a hash stands for several chunks: number these, and add to each recipe (place, number) of what it uses of them."""
 
@@ -143,7 +131,7 @@ def _with_patches(texts: DataFrame, rows: DataFrame, clashes: DataFrame, fold_ca
                 n, sha = len(chunks), hashlib.sha256(text).hexdigest()
                 if n:
                     ids = batch.column(0).slice(row, 1).take(pa.array([0] * n))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([sha] * n), pa.array(range(n), pa.int32()), pa.array([chunk_key(c, key_bits) for c in chunks], pa.int64()), pa.array(chunks, pa.binary())], ["id", "digest", "at", "key", "chunk"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([sha] * n), pa.array(range(n), pa.int32()), pa.array([chunk_key(c, key_bits) for c in chunks], pa.int64()), pa.array([hashlib.sha256(c).digest() for c in chunks], pa.binary())], ["id", "digest", "at", "key", "chunk"])
 
     used = texts.mapInArrow(placed, f"id {id_type}, digest string, at int, key long, chunk binary").join(clashes, "key", "left_semi")
     numbered = used.select("key", "chunk").distinct().withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("chunk")))
@@ -154,10 +142,11 @@ def _with_patches(texts: DataFrame, rows: DataFrame, clashes: DataFrame, fold_ca
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns; one row where id and text repeat."""
     work = Workspace(docs.sparkSession)
-    found = work.table(exact_dedup(docs, id_col, text_col).filter("group_size > 1").select(id_col, F.col("text_sha256").alias("digest"), "kept"), "decided")
+    found = work.table(exact_dedup(docs, id_col, text_col).filter("group_size > 1").select(id_col, F.unhex(F.substring("text_sha256", 1, 32)).alias("digest"), "kept"), "decided")
     dropped = found.filter("not kept").select(id_col, "digest")
     repeated = work.table(found.filter("kept").groupBy(id_col, "digest").count().filter("count > 1").select(id_col, "digest"), "repeated")
-    return without(docs, dropped, repeated, folded_sha256(text_col))
+    work.keep("decided", "repeated")
+    return without(docs, dropped, repeated, F.unhex(F.substring(folded_sha256(text_col), 1, 32)))
 
 
 def folded_sha256(text_col: str):

@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where neither it nor a checkpoint folder is set, a new one (local runs)."""
+    """The folder in ``spark.checkpoint.dir``, or the session's checkpoint folder; a new local one only where the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -43,6 +45,13 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def appended(self, name: str, schema) -> DataFrame:
+        """What has been appended so far."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark._jvm
@@ -65,23 +74,37 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
+#: Bytes of keys up to which a list of them is broadcast; a longer one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, *columns: str) -> DataFrame:
+    """A written table of keys, broadcast if its measured bytes (of ``columns`` as texts, and 32 a row) are few."""
+    sizes = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in columns]
+    rows, *text = df.agg(F.count(F.lit(1)), *sizes).first()
+    return F.broadcast(df) if 32 * rows + sum(text) <= BROADCAST_BYTES else df
+
+
 def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, digest) -> DataFrame:
     """Rows of ``docs`` but those in ``dropped`` (id, digest), and one row for each key of ``repeated``.
 
     ``digest`` is the column expression that both tables call ``digest``; ``repeated`` lists keys
     that stay and stand in several rows of ``docs`` (the same id with the same text). Ids may be null.
+    Documents don't move where the keys are few enough to broadcast. Of repeated rows the one with
+    the least hash of its columns (maps don't count) stays, pre-aggregated in every task.
     """
     columns = docs.columns
-    key, mark, number = dropped.columns[0], free_name(columns, "digest"), free_name(columns, "number")
+    key, mark, whole = dropped.columns[0], free_name(columns, "digest"), free_name(columns, "whole")
     marked = docs.withColumn(mark, digest)
 
     def same(other: DataFrame):
         return marked[key].eqNullSafe(other[key]) & (marked[mark] == other["digest"])
 
-    rest = marked.join(dropped, same(dropped), "left_anti")
+    rest = marked.join(broadcast_if_small(dropped, key), same(dropped), "left_anti")
     if repeated.isEmpty():
         return rest.select(*columns)
-    marked = rest
-    several = rest.join(repeated, same(repeated), "left_semi")
-    one = several.withColumn(number, F.row_number().over(Window.partitionBy(key, mark).orderBy(mark))).filter(F.col(number) == 1)
-    return rest.join(repeated, same(repeated), "left_anti").select(*columns).unionByName(one.select(*columns))
+    marked, few = rest, broadcast_if_small(repeated, key)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*hashed)).alias(whole)
+    one = rest.join(few, same(repeated), "left_semi").groupBy(key, mark).agg(row).select(*[F.col(whole)[c].alias(c) for c in columns])
+    return rest.join(few, same(repeated), "left_anti").select(*columns).unionByName(one)
