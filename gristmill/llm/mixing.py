@@ -7,12 +7,14 @@ repeated as often as its target asks for; the words before a document's middle,
 target, are inverted through the integrated schedule, which gives the training position at which
 the source's cumulative demand reaches that document. The result is range-sorted by position.
 
-Running totals inside a source come from two levels: totals of about sqrt(rows) ranges of the
-random order, then the documents of one range of one source, so that no source, however large,
-meets in one task.
+The random order is that of a hash of id and text. Running totals inside a source come from two
+levels: totals of about sqrt(rows) ranges of the random order, then the documents of one range of one
+source, so that no source, however large, meets in one task. Words are counted once, and only ids,
+sizes and hashes move.
 
 Defined cases: a null text has no words and is never taken; null sources are one source, the last;
-null ids and repeated rows are rows like others; without words all targets are 0. Extra columns are
+null ids are ids like others; rows that
+repeat id and text stand next to each other in the order; without words all targets are 0. Extra columns are
 carried when they are listed in ``carry``; one with the name of a result's column is then called
 ``document_<name>``.
 """
@@ -35,6 +37,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def random_order(row_id: Column, text: Column) -> Column:
+    """A hash of the id and of the text, so that rows without ids have an order, too; as hexadecimal digits."""
+    bare = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws("|", bare(row_id), F.md5(bare(text).cast("binary"))).cast("binary"))
+
+
 def source_targets(totals: DataFrame, schedules=SCHEDULES, most: int = 3) -> DataFrame:
     """From (source, source_size): rank, schedule (w0, w1, w) and target. One row a source in and out.
 
@@ -69,12 +77,13 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if any(min(a, b) < 0 or a + b <= 0 for a, b in schedules):
         raise ValueError("weights must not be negative, nor always 0")
     work = Workspace(docs.sparkSession)
-    ranges = max(1, math.isqrt(max(0, docs.count() - 1)) + 1)
+    ranges = max(1, math.isqrt(docs.count()))
     held = {c: free_name(["id", "source", "size", "order", "range", "rank", *carry], f"carried_{k}") for k, c in enumerate(carry)}
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(h) for c, h in held.items()])
-    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_order(F.col(id_col), F.col(text_col)).alias("order"), *[F.col(c).alias(h) for c, h in held.items()])
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(float(1 << 32))).cast("long"))
 
+    rows = work.table(rows, "rows")  # words are counted once
+
     parts = work.table(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "parts")
     sources = work.table(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, most), "sources")
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,8 +115,9 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed = placed.withColumn("position", F.get("positions", F.lit(0)))
     taken_names = [id_col, *results]
     called = {c: free_name([*taken_names, *carry], f"document_{c}") if c.lower() in [n.lower() for n in taken_names] else c for c in carry}
-    out = placed.select(F.col("id").alias(id_col), *[F.col(h).alias(called[c]) for c, h in held.items() if c != id_col], *results)
-    return out.orderBy(F.col("position").asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), *([F.col("copy")] if every_copy else []))
+    placed = placed.orderBy(F.col("position").asc_nulls_last(), "order", *(["copy"] if every_copy else []))
+    work.keep("rows", "starts", "sources")
+    return placed.select(F.col("id").alias(id_col), *[F.col(h).alias(called[c]) for c, h in held.items() if c != id_col], *results)
 
 
 def schedule_position(share: Column) -> Column:

@@ -65,7 +65,7 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-           md5(coalesce(doc_id::VARCHAR, '')) AS ord
+           md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS ord
     FROM documents
 ), totals AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
