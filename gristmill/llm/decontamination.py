@@ -15,8 +15,10 @@ that together weigh more than it may lack). Around each such shingle in a docume
 the similarity of every place from above, and the places whose bound reaches the threshold are
 verified. The two together find every place that the exact check accepts.
 
-Items go to the executors in blocks of at most BLOCK_ITEMS, with a pass over the documents each, so
-that what is sent is bounded. Defined cases: null texts count as empty; items without words match
+Items go to the executors in blocks of at most BLOCK_ITEMS, with a pass over the documents each whose
+result is written before the next, so that neither the driver nor a task holds more than a block of
+items. Documents of more than SEGMENT words are searched in segments that overlap by more than two
+items, so memory doesn't grow with a text's windows. Defined cases: null texts count as empty; items without words match
 nothing; items shorter than a shingle have their whole text as one; null ids and repeated rows are
 rows like others. Extra columns are ignored or, when filtering, kept. An empty benchmark or table
 gives no matches.
@@ -39,6 +41,8 @@ from .workspace import Workspace
 RADIUS = 4
 BLOCK_ITEMS = 2000
 BLOCK_BYTES = 16 << 20
+#: Words of a long document that are searched together.
+SEGMENT = 1 << 18
 #: Window sizes: all to 10, then each a tenth larger; counts of a window must fit into a byte.
 LADDER = [*range(1, 11)]
 while LADDER[-1] < 225:
@@ -147,7 +151,7 @@ class SharedShingles:
                 if b > a:
                     yield int(doc[a]), int(item[a]), int(at[a]), int(at[b - 1]), runs
 
-    def bounds(self, item: int, low: int, high: int, start: int, end: int, runs: np.ndarray):
+    def bounds(self, item: int, low: int, high: int, start: int, end: int, runs: np.ndarray, opens: bool, closes: bool):
         """First words (of places with needed shingles from low to high in a text of words start to end) and bounds that reach the threshold, highest first."""
         n, words = self.index.lengths[item], self.words
         if n < words:
@@ -159,7 +163,10 @@ class SharedShingles:
         values, weights, whole = self.weights[item]
         at = np.arange(max(low, start) - (n - words), min(high, end - words) + 1)
         a, b = np.maximum(at, start), np.minimum(at + n, end) - words + 1
-        at, a, b = (x[b > a] for x in (at, a, b))
+        fits = (b > a) & (opens | (at >= start)) & (closes | (at + n <= end))
+        if not fits.any():
+            return []
+        at, a, b = (x[fits] for x in (at, a, b))
         part = runs[a[0] : b[-1]]
         near = np.minimum(np.searchsorted(values, part), len(values) - 1)
         known = values[near] == part
@@ -183,10 +190,8 @@ def _words_of(column: pa.Array):
         yield row, end, *hashed_words(LOWER[data], offsets)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int, radius: int):
+def item_blocks(work: Workspace, benchmark: DataFrame, id_col: str, text_col: str, words: int, radius: int):
     """Yield an ItemIndex for each block of the benchmark; weights come from all its items."""
-    spark = benchmark.sparkSession
-    work = Workspace(spark)
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def split(batches):
@@ -220,42 +225,55 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int, ra
                 for _, prints in window_fingerprints(hashed[begin : begin + size + size // 10 + 1], [size]):
                     index.by_size.setdefault(size, []).extend((int(p), item, begin + at) for at, p in enumerate(prints))
         yield index
+    work.drop("items", "ready")
+
+
+def _segments(hashed: np.ndarray, first: np.ndarray, overlap: int):
+    """Yield (words, first, whether the document starts here, whether it ends here): a block, or the segments of one long text."""
+    if len(first) > 2 or len(hashed) <= SEGMENT + overlap:
+        yield hashed, first, True, True
+        return
+    for low in range(0, len(hashed) - overlap, SEGMENT):
+        part = hashed[low : low + SEGMENT + overlap]
+        yield part, np.array([0, len(part)]), low == 0, low + len(part) == len(hashed)
 
 
 def _matches(column: pa.Array, index: ItemIndex, tables: dict, shared: SharedShingles, threshold: float, words: int):
     """(row, item) -> the best similarity that reaches the threshold."""
     best: dict[tuple[int, int], float] = {}
-    for row, _, hashed, first in _words_of(column):
-        tried = set()
-        for size, prints in window_fingerprints(hashed, list(tables)):
-            known, items, offsets, blocks = tables[size]
-            for shift, mask, order, starts in blocks:
-                value = (prints >> shift & mask).astype(np.int32)
-                low = starts[value]
-                some = np.flatnonzero(starts[value + 1] > low)
-                if not len(some):
+    overlap = 2 * max(index.lengths) + 2 * max(LADDER)
+    for row, _, block, starts_of in _words_of(column):
+        for hashed, first, opens, closes in _segments(block, starts_of, overlap):
+            tried = set()
+            for size, prints in window_fingerprints(hashed, list(tables)):
+                known, items, offsets, blocks = tables[size]
+                for shift, mask, order, starts in blocks:
+                    value = (prints >> shift & mask).astype(np.int32)
+                    low = starts[value]
+                    some = np.flatnonzero(starts[value + 1] > low)
+                    if not len(some):
+                        continue
+                    count = starts[value[some] + 1] - low[some]
+                    window = np.repeat(some, count)
+                    entry = order[np.repeat(low[some] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+                    near = np.bitwise_count(prints[window] ^ known[entry]) <= index.radius
+                    tried.update(zip((window[near] - offsets[entry[near]]).tolist(), items[entry[near]].tolist(), window[near].tolist(), strict=True))
+            for start, item, window in tried:
+                doc = int(np.searchsorted(first, window, side="right")) - 1
+                a, b = max(start, int(first[doc])), min(start + index.lengths[item], int(first[doc + 1]))
+                if b <= a or window + 1 > b or not (opens or start >= 0) or not (closes or start + index.lengths[item] <= len(hashed)):
                     continue
-                count = starts[value[some] + 1] - low[some]
-                window = np.repeat(some, count)
-                entry = order[np.repeat(low[some] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
-                near = np.bitwise_count(prints[window] ^ known[entry]) <= index.radius
-                tried.update(zip((window[near] - offsets[entry[near]]).tolist(), items[entry[near]].tolist(), window[near].tolist(), strict=True))
-        for start, item, window in tried:
-            doc = int(np.searchsorted(first, window, side="right")) - 1
-            a, b = max(start, int(first[doc])), min(start + index.lengths[item], int(first[doc + 1]))
-            if b <= a or window + 1 > b:
-                continue
-            likeness = similarity(hashed[a:b], index.shingles[item], index.rare, words)
-            if likeness >= threshold and likeness > best.get((row + doc, item), 0):
-                best[row + doc, item] = likeness
-        for doc, item, low, high, runs in shared.places(hashed, first):
-            start, end = int(first[doc]), int(first[doc + 1])
-            for at, bound in shared.bounds(item, low, high, start, end, runs):
-                if bound <= best.get((row + doc, item), 0) + 1e-9:
-                    break
-                likeness = similarity(hashed[max(at, start) : min(at + index.lengths[item], end)], index.shingles[item], index.rare, words)
+                likeness = similarity(hashed[a:b], index.shingles[item], index.rare, words)
                 if likeness >= threshold and likeness > best.get((row + doc, item), 0):
                     best[row + doc, item] = likeness
+            for doc, item, low, high, runs in shared.places(hashed, first):
+                start, end = int(first[doc]), int(first[doc + 1])
+                for at, bound in shared.bounds(item, low, high, start, end, runs, opens, closes):
+                    if bound <= best.get((row + doc, item), 0) + 1e-9:
+                        break
+                    likeness = similarity(hashed[max(at, start) : min(at + index.lengths[item], end)], index.shingles[item], index.rare, words)
+                    if likeness >= threshold and likeness > best.get((row + doc, item), 0):
+                        best[row + doc, item] = likeness
     return best
 
 
@@ -276,10 +294,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item id, similarity), one row for each document row and benchmark item that it holds."""
     texts = docs.select(F.col(id_col).alias("a"), F.col(text_col).cast("string").alias("text"))
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField(item_id_col, benchmark.schema[item_id_col].dataType), StructField("similarity", DoubleType())])
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in item_blocks(benchmark, item_id_col, item_text_col, words, radius):
-        out = out.union(texts.mapInArrow(_finder(index, schema, threshold, words), schema))
-    return out
+    work, waiting, several = Workspace(docs.sparkSession), None, False
+    for index in item_blocks(work, benchmark, item_id_col, item_text_col, words, radius):
+        if waiting is not None:  # of several blocks each is searched and its finds written before the next one is made
+            work.append(waiting, "found")
+            several = True
+        waiting = texts.mapInArrow(_finder(index, schema, threshold, words), schema)
+    if waiting is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if not several:
+        return waiting
+    work.append(waiting, "found")
+    return work.appended("found", schema)
 
 
 def _finder(index: ItemIndex, schema: StructType, threshold: float, words: int):
@@ -300,7 +326,8 @@ def _finder(index: ItemIndex, schema: StructType, threshold: float, words: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, threshold: float = 0.8, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    for index in item_blocks(benchmark, item_id_col, item_text_col, words, radius):
+    work = Workspace(docs.sparkSession)
+    for k, index in enumerate(item_blocks(work, benchmark, item_id_col, item_text_col, words, radius)):
 
         def keep(batches, index=index):
             tables, shared = index.tables(), SharedShingles(index, threshold, words)
@@ -310,5 +337,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean[[r for r, _ in best]] = False
                 yield batch.filter(pa.array(clean))
 
+        if k:  # what earlier blocks leave is written before the next one is searched
+            docs = work.table(docs, f"kept-{k}")
+            if k > 1:
+                work.drop(f"kept-{k - 1}")
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

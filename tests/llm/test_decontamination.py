@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from gristmill.llm import decontamination
-from gristmill.llm.decontamination import contaminated, drop_contaminated, window_fingerprints
+from gristmill.llm.decontamination import SharedShingles, contaminated, drop_contaminated, item_blocks, window_fingerprints
+from gristmill.llm.workspace import Workspace
 
 
 def words(text):
@@ -116,3 +118,20 @@ def test_finds_long_items_whose_opening_differs(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in contaminated(d, b).collect()} == want
     assert [x.doc_id for x in drop_contaminated(d, b).collect()] == [5]
+
+
+def test_segments_of_a_long_document_find_the_same(spark, monkeypatch):
+    r = random.Random(12)
+    make = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    items = [(i, " ".join(make(15 + 3 * i))) for i in range(20)]
+    text = make(7)
+    for k in range(120):
+        text += edited(r, items[k % 20][1].split(), ("replace", "leave", "add", "cut")[k // 20 % 4]) + make(r.choice([0, 2, 90]))
+    work = Workspace(spark)
+    (index,) = item_blocks(work, spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 5, decontamination.RADIUS)
+    column, tables, shared = pa.array([" ".join(text)]), index.tables(), SharedShingles(index, 0.8, 5)
+    whole = decontamination._matches(column, index, tables, shared, 0.8, 5)
+    assert len(whole) >= 15
+    for segment in (50, 333, 1000):
+        monkeypatch.setattr(decontamination, "SEGMENT", segment)
+        assert decontamination._matches(column, index, tables, shared, 0.8, 5) == whole
