@@ -16,8 +16,9 @@ follows the global order of shingles, rare ones first, which is cut into fragmen
    share a prefix shingle with it, the one it shares most with. What links merges, so a group of
    thousands of near copies takes as many pairs as it has texts.
 4. *Blocks.* Then every two texts of different components that share a prefix shingle are compared,
-   blocks of texts at a time inside tasks, fragment by fragment as well; only links come out. Pairs
-   inside a component can't change components; no pair across components is left out.
+   blocks of texts at a time inside tasks, fragment by fragment as well; a link comes out for each
+   two components that a task finds to be one. Pairs inside a component can't change components; no
+   pair across components is left out.
 
 Defined cases: a null text counts as empty; a text without words has an empty set and is a component
 of its own. A null id is no smallest id: a component with null ids only has a null component_id.
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textblocks import LOWER, SHINGLE_WORDS, distinct, hashed_words, shingle_hashes, text_blocks
-from .workspace import Workspace, without
+from .workspace import Workspace, broadcast_if_small, without
 
 #: Texts of a batch that are counted together before their shingles are sent, and bytes of these.
 SUB_ROWS, SUB_BYTES = 16384, 6 << 20
 #: Shingles that a fragment of the hash space gets on average, at most.
 FRAGMENT_SHINGLES = 2_000_000
-#: Rows up to which a list of keys is broadcast (under 64 MB); a longer one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Texts that meet one copy of their centre's segments.
+STAR_TEXTS = 256
 #: Texts and shingles of a block of texts that are compared with another block in one task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 500_000
 #: The fragment of the global order that an entry (df, shingle) falls into.
@@ -102,23 +103,26 @@ def _send(fragments: int, words: int, id_type: pa.DataType):
                 block += 1
                 sets, own, sizes, signs, seen = [], [], [], [], {}
                 for s in shingle_sets(batch.column(1), words):
-                    sign = xxhash.xxh3_128_digest(s.tobytes())
+                    sign = xxhash.xxh3_128_digest(s)
                     signs.append(sign)
                     sizes.append(len(s))
                     if len(s) and sign not in seen:
                         seen[sign] = len(sets)
                         sets.append(s)
                     own.append(seen[sign] if len(s) else -1)
-                shared = np.zeros(len(sets), np.int64)
+                shared, many = np.zeros(len(sets), np.int64), len(sets)
                 if sets:
-                    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                    order = np.argsort(values)
-                    values, owner = values[order], owner[order]
+                    values, owner = sets[0], np.zeros(len(sets[0]), np.uint16)
+                    if len(sets) > 1:
+                        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+                        order = np.argsort(values)
+                        values, owner = values[order], owner[order]
+                    sets.clear()
                     new = np.r_[True, values[1:] != values[:-1]]
                     several = ~(new & np.r_[new[1:], True])
-                    shared += np.bincount(owner[several], minlength=len(sets))
+                    shared += np.bincount(owner[several], minlength=many)
                     owner[several] = _NO_ROW  # counted here already; sent once, for the other blocks
-                    values, owner = values[new], owner[new].astype(np.uint16)
+                    values, owner = values[new], owner[new]
                     edges = np.append(np.searchsorted(values, lows), len(values))
                     part = (values - np.repeat(lows, np.diff(edges))) * np.uint64(fragments) >> np.uint64(32)  # 32 bits inside the fragment
                     some = np.flatnonzero(np.diff(edges))
@@ -189,11 +193,6 @@ def _text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of few keys; a long one stays as it is and is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark)
@@ -213,14 +212,14 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     alive = work.table(alive.select("sign", F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")), "alive")
 
     # The sets of these texts, one for each distinct set.
-    pick = _small(alive.select("one_id", "one_key"))
+    pick = broadcast_if_small(alive.select("one_id", "one_key"), "one_id")
 
     def sets_of(batches):
         for batch in batches:
             sets, signs = [], []
             for s in shingle_sets(batch.column(0), words):
                 sets.append(s.view(np.int64))
-                signs.append(xxhash.xxh3_128_digest(s.tobytes()))
+                signs.append(xxhash.xxh3_128_digest(s))
             yield pa.RecordBatch.from_arrays([pa.array(signs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sign", "n", "shingles"])
 
     sets = texts.join(pick, texts["id"].eqNullSafe(pick["one_id"]) & (texts["key"] == pick["one_key"]), "left_semi").select("text").mapInArrow(sets_of, "sign binary, n long, shingles array<bigint>")
@@ -279,11 +278,15 @@ def _relabelled(work: Workspace, labels: DataFrame, links: DataFrame, name: str)
 
 def _linked(ordered: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Sum the partial overlaps of pairs (a, na, b, nb) over the fragments of the order; keep those that link."""
-    segments = ordered.select("node", F.explode("order").alias("e")).select("node", F.expr(BAND).alias("band"), F.col("e.shingle").alias("shingle"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    segments = ordered.join(ends, "node", "left_semi").select("node", F.explode("order").alias("e")).select("node", F.expr(BAND).alias("band"), F.col("e.shingle").alias("shingle"))
     segments = segments.groupBy("node", "band").agg(F.collect_list("shingle").alias("segment"))
+    # A centre of many texts has a copy of its segments for each STAR_TEXTS of them, so that they meet in several tasks.
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_TEXTS).cast("int").alias("copies"))
+    pairs = pairs.join(copies, "b").withColumn("copy", F.expr("int(pmod(xxhash64(a), copies))")).drop("copies")
     left = segments.select(F.col("node").alias("a"), "band", F.col("segment").alias("of_a"))
-    right = segments.select(F.col("node").alias("b"), "band", F.col("segment").alias("of_b"))
-    part = pairs.join(left, "a").join(right, ["b", "band"]).select("a", "na", "b", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
+    right = segments.join(copies, F.col("node") == F.col("b")).select("b", "band", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.col("segment").alias("of_b"))
+    part = pairs.join(left, "a").join(right, ["b", "band", "copy"]).select("a", "na", "b", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
     total = part.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap"))
     return total.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
 
@@ -316,8 +319,8 @@ def _across(work: Workspace, ordered: DataFrame, open_: DataFrame, stars: DataFr
 
 
 def _compare(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
-    """The linking pairs of different labels between the sides 0 and 1, or inside side 0 if it is alone."""
-    node, label, n, side = (np.asarray(table.column(c)) for c in ("node", "label", "n", "side"))
+    """Linking pairs between the sides 0 and 1, or inside side 0 if it is alone; one for each merge of labels is enough."""
+    node, label, n, side = (np.asarray(table.column(c)).copy() for c in ("node", "label", "n", "side"))
     lists = table.column("shingles").combine_chunks()
     sizes = np.diff(np.asarray(lists.offsets))
     _, tokens = np.unique(np.asarray(lists.flatten()), return_inverse=True)
@@ -337,8 +340,10 @@ def _compare(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
             partial = np.bincount(owner[some] * width + bands[some], minlength=len(node) * width).reshape(len(node), width)
             overlap = partial.sum(axis=1)  # over the fragments
             for j in np.flatnonzero(fits & (100 * overlap >= percent * (n + n[i] - overlap))):
-                found[0].append(int(node[i]))
-                found[1].append(int(node[j]))
+                if label[j] != label[i]:
+                    found[0].append(int(node[i]))
+                    found[1].append(int(node[j]))
+                    label[label == label[j]] = label[i]
     return found
 
 

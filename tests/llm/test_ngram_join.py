@@ -82,3 +82,15 @@ def test_drop_keeps_columns_ids_and_unlinked_rows(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["2", "8", "9"]
     assert ngram_components(df.limit(0)).count() == 0
     assert drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_many_unlinked_texts_that_share_a_passage(spark):
+    """One passage in 1,500 texts: none of the pairs links but two, each found once."""
+    r = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(30))
+    own = lambda k: " ".join(f"x{k}y{j}" for j in range(20))
+    rows = [(k, f"{passage} {own(k)}") for k in range(1500)]
+    rows += [(5000, f"{passage} {own(3)} z"), (5001, f"z {passage} {own(7)}")]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k for k in range(1500)} | {5000: 3, 5001: 7}
