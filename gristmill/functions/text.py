@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,12 +96,24 @@ _MONTH_FIRST = ("M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "M-d-yyyy", "M.d.y
 _DAY_FIRST = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy")
 
 
+_PARTS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3,4}", "SSSSSS": r"\d{1,6}", "XXX": r"(Z|[+-]\d{2}:\d{2})", "'T'": "T"} | dict.fromkeys("MdHms", r"\d{1,2}")
+
+
+def form_pattern(form: str) -> str:
+    """The regular expression of the cells that a date form can read."""
+    parts = [m.group() for m in re.finditer(r"'T'|([A-Za-z])\1*|.", form)]
+    return "^" + "".join(_PARTS.get(p) or re.escape(p) for p in parts) + "$"
+
+
 def moment_in(text: Column, day_first: bool) -> Column:
-    """The UTC timestamp that a cell shows, in any of the known forms; null if none fits."""
+    """The UTC timestamp that a cell shows, in any of the known forms; null if none fits.
+
+    A form is tried only on cells of its shape, so most cells are parsed once.
+    """
     order = (_DAY_FIRST, _MONTH_FIRST) if day_first else (_MONTH_FIRST, _DAY_FIRST)
-    forms = [*_ISO, *_NAMED, *order[0], *order[1]]
     cell = F.regexp_replace(without_missing(text), r"(?i)\s+(utc|gmt)$|(?<=:\d\d)z$", "")
-    return F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in forms])
+    read = lambda forms: F.coalesce(*[F.when(cell.rlike(form_pattern(f)), F.try_to_timestamp(cell, F.lit(f))) for f in forms])
+    return F.when(cell.rlike(r"^\d{4}"), read(_ISO)).when(cell.rlike("[A-Za-z]"), read(_NAMED)).otherwise(read([*order[0], *order[1]]))
 
 
 def has_clock(text: Column) -> Column:

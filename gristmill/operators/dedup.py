@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.names import is_identifier
+from ..session import materialized
 from .ordered import ROW, with_row_number
 from .profile import col
 
 # Fixed values of the fuzzy rule.
-LEAST_RATIO, MOST_TEXT_COLUMNS, MOST_ROWS = 0.94, 8, 5000
+LEAST_RATIO, MOST_TEXT_COLUMNS = 0.94, 8
+#: Characters of the pieces by which near texts are found.
+GRAM = 2
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:
@@ -28,37 +31,68 @@ def first_by_key(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     return one.select(*[col(k) if k in keys else F.col("__r")[k].alias(k) for k in df.columns])
 
 
-def fuzzy_distinct(df: DataFrame, order_by: list[str] | None = None, least_ratio: float = LEAST_RATIO, most_rows: int | None = MOST_ROWS) -> DataFrame:
-    """Drop rows whose texts are nearly those of an earlier kept row with equal other columns.
+def fuzzy_distinct(df: DataFrame, order_by: list[str] | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
+    """Drop rows whose texts are nearly those of an earlier kept row with equal other columns, in tables of any size.
 
-    Rows are compared only inside blocks of equal other columns. A table over ``most_rows`` is
-    returned as it is, as a block may be the whole table; None lifts that for tables known to have
-    small blocks. Rows without texts are kept.
+    Rows with equal texts and other columns leave first. Of the rest, near texts are found by
+    ``near_pairs``, and a row goes when an earlier row that stays is near; rows without texts stay.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and not is_identifier(f.name)][:MOST_TEXT_COLUMNS]
-    if not texts or (most_rows is not None and not 2 <= df.limit(most_rows + 1).count() <= most_rows):
+    if not texts:
         return df
     others = [c for c in df.columns if c not in texts]
     plain = [F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " ")) for c in texts]
     text = F.concat_ws(" | ", *[F.when(p != "", p) for p in plain])
-    exact = F.concat_ws("|", *[F.coalesce(F.lower(F.trim(col(c).cast("string"))), F.lit("<null>")) for c in others], F.lit(""))
-    rows = with_row_number(df, order_by).withColumn("__text", text).withColumn("__exact", exact)
+    exact = F.md5(F.concat_ws("|", *[F.coalesce(F.lower(F.trim(col(c).cast("string"))), F.lit("<null>")) for c in others], F.lit("")).cast("binary"))
+    rows = materialized(with_row_number(df, order_by).withColumn("__text", text).withColumn("__exact", exact))
+    nodes = materialized(rows.filter("__text <> ''").groupBy("__exact", "__text").agg(F.min(ROW).alias("node")).toDF("block", "text", "node"))
+    dropped = _after_kept(near_pairs(nodes, least_ratio))
+    stay = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(ROW), F.lit(True).alias("__stays"))
+    return rows.join(stay, ROW, "left").filter("__stays OR __text = ''").select(*[col(c) for c in df.columns])
 
-    def greedy(block: pd.DataFrame) -> pd.DataFrame:
-        kept, drop = [], []
-        for row, text in block.sort_values(ROW)[[ROW, "__text"]].itertuples(index=False):
-            if text and any(_ratio(text, k, least_ratio) for k in kept):
-                drop.append(row)
-            elif text:
-                kept.append(text)
-        return pd.DataFrame({ROW: drop}, dtype="int64")
 
-    dropped = rows.select(ROW, "__text", "__exact").groupBy("__exact").applyInPandas(greedy, f"{ROW} long")
-    return rows.join(dropped, ROW, "left_anti").select(*[col(c) for c in df.columns])
+def near_pairs(nodes: DataFrame, least_ratio: float) -> DataFrame:
+    """(later, earlier) nodes of one block whose texts reach the ratio, from (block, text, node).
+
+    A ratio r leaves at most ``(1 - r) * (length + length)`` characters unmatched. Each of them
+    changes at most GRAM grams, so of the rarest grams of either text, one more than can change, the
+    two share one; texts with no more grams than can change share the empty gram. Candidates are
+    verified by the matcher itself.
+    """
+    reach = F.floor((1 - least_ratio) * (1 + (2 - least_ratio) / least_ratio) * F.length("text") + 1e-9).cast("int") * GRAM
+    grams = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(text) - {GRAM - 1})), i -> substring(text, i, {GRAM})))")
+    held = nodes.withColumn("grams", grams).withColumn("reach", reach)
+    places = held.select("node", "block", "reach", F.length("text").alias("length"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    order = places.join(often, "gram").groupBy("node", "block", "reach", "length", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("order"))
+    few = F.expr("concat(transform(slice(order, 1, reach + 1), e -> e.gram), if(n <= reach, array(''), cast(array() AS array<string>)))")
+    heads = materialized(order.select("node", "block", "length", F.explode(few).alias("gram")))
+    a, b = (heads.select(F.col("node").alias(n), "block", "gram", F.col("length").alias(f"{n}_length")) for n in ("later", "earlier"))
+    apart = F.abs(F.col("later_length") - F.col("earlier_length")) <= (1 - least_ratio) * (F.col("later_length") + F.col("earlier_length")) + 1e-9
+    pairs = a.join(b, ["block", "gram"]).filter((F.col("later") > F.col("earlier")) & apart).select("later", "earlier").distinct()
+    both = pairs.join(nodes.select(F.col("node").alias("later"), F.col("text").alias("a")), "later").join(nodes.select(F.col("node").alias("earlier"), F.col("text").alias("b")), "earlier")
+
+    def verified(batches):
+        for batch in batches:
+            near = [_ratio(x, y, least_ratio) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return materialized(both.select("later", "earlier", "a", "b").mapInArrow(verified, "later long, earlier long"))
+
+
+def _after_kept(pairs: DataFrame) -> DataFrame:
+    """The nodes with an earlier near one that stays: rounds that decide all nodes without undecided earlier ones."""
+    dropped = pairs.select(F.col("later").alias("node")).limit(0)
+    while not pairs.isEmpty():
+        stay = pairs.select(F.col("earlier").alias("node")).distinct().join(pairs.select(F.col("later").alias("node")), "node", "left_anti")
+        gone = materialized(pairs.join(stay, pairs["earlier"] == stay["node"], "left_semi").select(F.col("later").alias("node")).distinct())
+        dropped = dropped.union(gone)
+        for end in ("later", "earlier"):
+            pairs = pairs.join(gone.withColumnRenamed("node", end), end, "left_anti")
+        pairs = materialized(pairs)
+    return dropped
 
 
 def _ratio(a: str, b: str, least: float) -> bool:
     match = difflib.SequenceMatcher(None, a, b)
     return match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
-
-

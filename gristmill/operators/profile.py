@@ -1,8 +1,7 @@
 """Column profiles: counts, moments, exact quantiles, date ranges, distinct and top values, correlations.
 
-All columns of a kind share a job. Quantiles are exact without gathering a column: approximate ones
-bracket each wanted rank, one more pass counts what lies below and inside the brackets, and only the
-inside (about a five-hundredth of the values, pre-aggregated by value) is ranked.
+All columns of a kind share a job. Quantiles are exact without gathering a column: sketches bracket
+each wanted rank and are narrowed until a bounded number of distinct values is left to rank.
 """
 
 from __future__ import annotations
@@ -38,50 +37,66 @@ def as_rows(one: DataFrame, structs: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.col(s) for s in structs])).alias("r")).select("r.*")
 
 
+#: Accuracy of the sketches that bracket ranks, and distinct values in all brackets that are ranked at last.
+ACCURACY, MOST_RANKED = 10_000, 200_000
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...], nearest: bool = False) -> dict[str, list[float | None]]:
-    """Exact quantiles of each column: interpolated between ranks, or of the nearest rank (halves to even)."""
-    wanted = [(c, p) for c in dict.fromkeys(columns) for p in probabilities]
-    if not wanted:
-        return {}
-    value = {c: col(c).cast("double") for c in columns}
-    margin = 0.001
-    first = [F.count(value[c]).alias(f"n{i}") for i, (c, _) in enumerate(wanted)]
-    first += [F.percentile_approx(value[c], [max(0.0, p - margin), min(1.0, p + margin)], 10_000).alias(f"b{i}") for i, (c, p) in enumerate(wanted)]
-    first += [F.struct(F.min(value[c]).alias("low"), F.max(value[c]).alias("high")).alias(f"e{i}") for i, (c, _) in enumerate(wanted)]
-    row = df.agg(*first).first()
-    ranks, low, high = {}, {}, {}
-    for i, (_, p) in enumerate(wanted):
-        if row[f"n{i}"]:
-            at = (row[f"n{i}"] - 1) * p
-            ranks[i] = (round(at),) * 2 if nearest else (math.floor(at), math.ceil(at))
-            low[i], high[i] = row[f"b{i}"]
-    if not ranks:
-        return {c: [None] * len(probabilities) for c in columns}
-    while True:
-        counts = df.agg(*[F.struct(F.count_if(value[wanted[i][0]] < low[i]).alias("below"), F.count_if(value[wanted[i][0]].between(low[i], high[i])).alias("inside")).alias(f"k{i}") for i in ranks]).first()
-        below = {i: counts[f"k{i}"]["below"] for i in ranks}
-        missed = [i for i in ranks if below[i] > ranks[i][0] or below[i] + counts[f"k{i}"]["inside"] <= ranks[i][1]]
-        if not missed:
-            break
-        for i in missed:  # the approximation was off; take the whole range
-            low[i], high[i] = row[f"e{i}"]["low"], row[f"e{i}"]["high"]
-    inside = [F.when(value[wanted[i][0]].between(low[i], high[i]), F.struct(F.lit(i).alias("i"), value[wanted[i][0]].alias("v"))) for i in ranks]
-    grouped = df.select(F.explode(F.array_compact(F.array(*inside))).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
-    start = F.element_at(F.create_map(*[F.lit(x) for i in ranks for x in (i, below[i])]), F.col("i"))
-    last = F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + start - 1
-    ends = F.element_at(F.create_map(*[x for i in ranks for x in (F.lit(i), F.array(F.lit(ranks[i][0]), F.lit(ranks[i][1])))]), F.col("i"))
-    covers = (F.col("last") >= F.element_at(ends, 1)) & (F.col("last") - F.col("n") < F.element_at(ends, 2))
-    found: dict[int, list[tuple[int, int, float]]] = {}
-    for r in grouped.withColumn("last", last).filter(covers).collect():  # one or two values a rank
-        found.setdefault(r["i"], []).append((r["last"] - r["n"] + 1, r["last"], r["v"]))
-    out: dict[str, list[float | None]] = {c: [] for c in columns}
-    for i, (c, p) in enumerate(wanted):
-        if i not in ranks:
-            out[c].append(None)
+    """Exact quantiles of each column: interpolated between ranks, or of the nearest rank (halves to even).
+
+    One sketch a column brackets all its ranks. Passes over the table count what lies below and inside
+    the brackets and narrow them by sketches of the inside, until few values are left to rank.
+    """
+    columns = list(dict.fromkeys(columns))
+    if not columns or not probabilities:
+        return {c: [] for c in columns}
+    value, margin = {c: col(c).cast("double") for c in columns}, 2 / ACCURACY
+    sides = [x for p in probabilities for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    row = df.agg(*[F.struct(F.count(value[c]).alias("n"), F.min(value[c]).alias("low"), F.max(value[c]).alias("high"), F.percentile_approx(value[c], sides, ACCURACY).alias("sides")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    facts = {c: row[f"c{i}"] for i, c in enumerate(columns)}
+    ranks, brackets, known = {}, {}, {}
+    for c in columns:
+        for k, p in enumerate(probabilities):
+            if facts[c]["n"]:
+                at = (facts[c]["n"] - 1) * p
+                ranks[c, k] = (round(at),) * 2 if nearest else (math.floor(at), math.ceil(at))
+                brackets[c, k] = tuple(facts[c]["sides"][2 * k : 2 * k + 2])
+    while brackets:
+        keys = list(brackets)
+        inside = {key: F.when(value[key[0]].between(*brackets[key]), value[key[0]]) for key in keys}
+        counts = df.agg(*[F.struct(F.count_if(value[key[0]] < brackets[key][0]).alias("below"), F.count(inside[key]).alias("inside"), F.approx_count_distinct(inside[key], 0.05).alias("distinct")).alias(f"k{i}") for i, key in enumerate(keys)]).first()
+        found = {key: counts[f"k{i}"] for i, key in enumerate(keys)}
+        missed = [key for key in keys if found[key]["below"] > ranks[key][0] or found[key]["below"] + found[key]["inside"] <= ranks[key][1]]
+        for key in missed:  # the sketch was off; take the whole range
+            brackets[key] = facts[key[0]]["low"], facts[key[0]]["high"]
+        if missed:
             continue
-        a, b = (next(v for x, y, v in found[i] if x <= k <= y) for k in ranks[i])
-        part = (row[f"n{i}"] - 1) * p - ranks[i][0]
-        out[c].append(a if a == b else a + (b - a) * part)
+        if sum(found[key]["distinct"] for key in keys) <= MOST_RANKED:
+            below = {key: found[key]["below"] for key in keys}
+            break
+        shares = {key: [min(1.0, max(0.0, (r - found[key]["below"]) / found[key]["inside"] + side)) for r, side in zip(ranks[key], (-margin, margin), strict=True)] for key in keys}
+        row = df.agg(*[F.percentile_approx(inside[key], shares[key], ACCURACY).alias(f"k{i}") for i, key in enumerate(keys)]).first()
+        brackets = {key: tuple(row[f"k{i}"]) for i, key in enumerate(keys)}
+    if brackets:
+        each = [F.when(value[c].between(*brackets[c, k]), F.struct(F.lit(i).alias("i"), value[c].alias("v"))) for i, (c, k) in enumerate(brackets)]
+        grouped = df.select(F.explode(F.array_compact(F.array(*each))).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
+        keys, last = list(brackets), {}
+        for r in grouped.orderBy("i", "v").toLocalIterator():  # MOST_RANKED rows or little more
+            key = keys[r["i"]]
+            low = last.get(key, below[key])
+            last[key] = low + r["n"]
+            for side, rank in enumerate(ranks[key]):
+                if low <= rank < last[key]:
+                    known[key, side] = r["v"]
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        out[c] = []
+        for k, p in enumerate(probabilities):
+            if (c, k) not in ranks:
+                out[c].append(None)
+                continue
+            a, b = known[(c, k), 0], known[(c, k), 1]
+            out[c].append(a if a == b else a + (b - a) * ((facts[c]["n"] - 1) * p - ranks[c, k][0]))
     return out
 
 

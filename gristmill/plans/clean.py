@@ -17,8 +17,10 @@ from ..operators.outliers import cap_outliers, exclude_outliers
 from ..operators.profile import col
 from ..session import materialized
 
-# Shares of a column's values that must read as dates or numbers; values sampled for a date's look.
-DATE_SHARE, NUMBER_SHARE, SAMPLED = 0.7, 0.85, 20
+# Shares of a column's values that must read as dates or numbers.
+DATE_SHARE, NUMBER_SHARE = 0.7, 0.85
+#: Changes of spelling that the report lists, the commonest first; it tells their number.
+LISTED_CHANGES = 100
 
 
 @dataclass(frozen=True)
@@ -48,30 +50,22 @@ def _texts(df: DataFrame) -> list[str]:
 def normalize_dates(df: DataFrame) -> tuple[DataFrame, list[dict]]:
     """Text columns that are dates by name or look, and of which 70 % parse, as dates or UTC timestamps.
 
-    Both orders of day and month are counted in one aggregate; the better one is taken, month first on a tie.
+    One aggregate over all values tells which columns look like dates; both orders of day and month
+    of these are counted in another, and the better one is taken, month first on a tie.
     """
     columns = _texts(df)
     if not columns:
         return df, []
-    head = df.select(*[T.without_missing(col(c)).alias(c) for c in columns])
-    looks = {}
-    for c in columns:
-        looks[c] = N.is_date_like(c)
-    open_ = [c for c in columns if not looks[c]]
-    if open_:
-        samples = [head.select(F.lit(c).alias("c"), col(c).alias("v")).filter("v IS NOT NULL").limit(SAMPLED) for c in open_]
-        union = samples[0]
-        for s in samples[1:]:
-            union = union.unionAll(s)
-        for r in union.groupBy("c").agg(F.avg(T.looks_like_date(F.col("v")).cast("int")).alias("share")).collect():
-            looks[r.c] = r.share >= DATE_SHARE
-    wanted = [c for c in columns if looks.get(c)]
+    clean = {c: T.without_missing(col(c)) for c in columns}
+    open_ = [c for c in columns if not N.is_date_like(c)]
+    shares = df.agg(*[F.avg(T.looks_like_date(clean[c]).cast("int")).alias(f"s{i}") for i, c in enumerate(open_)]).first() if open_ else {}
+    wanted = [c for c in columns if c not in open_ or (shares[f"s{open_.index(c)}"] or 0) >= DATE_SHARE]
     if not wanted:
         return df, []
-    clean = {c: T.without_missing(col(c)) for c in wanted}
+    moments = {(c, first): T.moment_in(clean[c], first) for c in wanted for first in (False, True)}
     counts = df.agg(
         *[
-            F.struct(F.count(clean[c]).alias("filled"), F.count(T.moment_in(clean[c], False)).alias("month_first"), F.count(T.moment_in(clean[c], True)).alias("day_first"), F.coalesce(F.max(T.has_clock(clean[c])), F.lit(False)).alias("clock")).alias(f"c{i}")
+            F.struct(F.count(clean[c]).alias("filled"), F.count(moments[c, False]).alias("month_first"), F.count(moments[c, True]).alias("day_first"), F.coalesce(F.max(T.has_clock(clean[c])), F.lit(False)).alias("clock")).alias(f"c{i}")
             for i, c in enumerate(wanted)
         ]
     ).first()
@@ -80,7 +74,7 @@ def normalize_dates(df: DataFrame) -> tuple[DataFrame, list[dict]]:
         n = counts[f"c{i}"]
         best = "day_first" if n["day_first"] > n["month_first"] else "month_first"
         if n["filled"] and n[best] >= DATE_SHARE * n["filled"]:
-            moment = T.moment_in(clean[c], best == "day_first")
+            moment = moments[c, best == "day_first"]
             changed[c] = moment.cast("timestamp_ntz") if n["clock"] else F.to_date(moment)
             report.append({"column": c, "strategy": best, "parsed_values": n[best], "failed_values": n["filled"] - n[best], "standard": "UTC datetime" if n["clock"] else "YYYY-MM-DD"})
     return (df.withColumns(changed) if changed else df), report
@@ -146,7 +140,10 @@ def clean(df: DataFrame, options: CleaningOptions | None = None, order_by: list[
     elif o.outlier_policy == "exclude":
         df = exclude_outliers(df)
     if o.semantic_categorical_merging:
-        df, report["categories"] = canonical_categories(df)
+        df, mapping = canonical_categories(df)
+        report["categories"], report["category_changes"] = {}, mapping.count() if mapping is not None else 0
+        for r in mapping.orderBy(F.col("rows").desc(), "column_name", "value").limit(LISTED_CHANGES).collect() if mapping is not None else ():
+            report["categories"].setdefault(r.column_name, {})[r.value] = r.canonical
         report["steps"].append("semantic_categorical_merging")
     report |= {"rows_after": df.count(), "columns_after": len(df.columns)}
     return df, report

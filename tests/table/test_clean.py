@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 
@@ -25,10 +27,33 @@ def test_whitespace(spark):
 
 
 def test_fuzzy_keeps_equal_names_with_other_measures(spark):
-    df = spark.createDataFrame([("Acme Corporation Ltd", 10.0), ("ACME Corporation, Ltd.", 10.0), ("Acme Corporation Ltd", 20.0), ("Acme Corporatoin Ltd", 10.0)], "Customer string, `Total Sales` double")
+    df = spark.createDataFrame([("Blue Heron Shipping", 7.5), ("BLUE HERON shipping!", 7.5), ("Blue Heron Shipping", 8.5), ("Blue Heron Shippign", 7.5), ("", 7.5), (None, 7.5)], "Shipper string, Weight double")
     out = dedup.fuzzy_distinct(df)
-    assert sorted(r["Total Sales"] for r in out.collect()) == [10.0, 20.0]
-    assert dedup.fuzzy_distinct(df, most_rows=3).count() == 4
+    assert sorted(str((r.Shipper or "-", r.Weight)) for r in out.collect()) == ["('-', 7.5)", "('-', 7.5)", "('Blue Heron Shipping', 7.5)", "('Blue Heron Shipping', 8.5)"]
+
+
+def test_fuzzy_over_many_rows_matches_plain_comparison(spark):
+    """6,000 rows: the same rows stay as by comparing each with all kept ones before it."""
+    r = random.Random(4)
+    names = ["".join(r.choice("abcdefghij ") for _ in range(r.choice([3, 12, 30, 60]))).strip() or "x" for _ in range(300)]
+    rows = []
+    for k in range(6000):
+        name = list(r.choice(names))
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+            name[r.randrange(len(name))] = r.choice("abcxyz")
+        rows.append((k, "".join(name), r.randrange(4)))
+    df = spark.createDataFrame(rows, "row_id long, name string, size int")
+    got = {(x.name, x["size"]) for x in dedup.fuzzy_distinct(df.select("name", "size"), order_by=["name", "size"]).collect()}
+    kept: dict = {}
+    for _, name, size in sorted(rows, key=lambda x: (x[1], x[2])):
+        text = re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+        if not text:
+            continue
+        block = kept.setdefault(size, {})
+        if text not in block and not any(dedup._ratio(text, k, 0.94) for k in block):
+            block[text] = name
+    want = {(re.sub("[^a-z0-9]+", " ", n.lower()).strip(), s) for s, block in kept.items() for n in block.values()}
+    assert {(re.sub("[^a-z0-9]+", " ", n.lower()).strip(), s) for n, s in got if n.strip()} == want and len(want) > 300
 
 
 def test_mixed_dates(spark):
@@ -88,11 +113,22 @@ def test_fill_in_order(spark):
     assert [r.v for r in out.orderBy("place_id").collect()] == [25.0, 10.0, 20.0, 30.0, 40.0, 40.0]
 
 
-@pytest.mark.parametrize(("values", "merged"), [(["USA", "United States", "U.S.A.", "us", "Canada"], {"United States", "Canada"}), (["NY", "N.Y.", "New York City", "new york", "Boston"], {"New York", "Boston"})])
+@pytest.mark.parametrize(("values", "merged"), [(["u.k.", "Great Britain", "UK", "gb", "Norway"], {"United Kingdom", "Norway"}), (["L.A.", "Los Angeles", "la", "Reno", "RENO", "Reno"], {"Los Angeles", "Reno"}), (["red-ish", "Red ish", "redish", "redish", "12", "2024-01-02"], {"redish", "12", "2024-01-02"})])
 def test_category_spellings(spark, values, merged):
     df = spark.createDataFrame([(v, 1) for v in values], "place string, n int")
     out, mapping = categories.canonical_categories(df)
-    assert {r.place for r in out.collect()} == merged and mapping
+    assert out.columns == df.columns and {r.place for r in out.collect()} == merged
+    assert {r.value for r in mapping.collect()} == set(values) - merged
+
+
+def test_every_category_column_changes(spark):
+    """Fourteen columns with spellings to merge: all of them do, unless a limit is given."""
+    names = [f"kind_{k}" for k in range(14)]
+    df = spark.createDataFrame([["a-b"] * 14, ["A b"] * 14, ["A b"] * 14], names)
+    out, _ = categories.canonical_categories(df)
+    assert {tuple(r) for r in out.collect()} == {("A b",) * 14}
+    few, mapping = categories.canonical_categories(df, most_changed=2)
+    assert {r.column_name for r in mapping.collect()} == {"kind_0", "kind_1"} and few.filter("kind_2 = 'a-b'").count() == 1
 
 
 def test_near_vectors_merge(spark):
