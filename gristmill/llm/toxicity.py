@@ -87,18 +87,20 @@ def _counts(batches):
 
 def _lists(batches):
     for batch in batches:
-        found = [x.astype(np.int32) for x in _features(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "features"])
+        found = [np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in _features(batch.column(0))]  # small steps take little space when written
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "steps"])
 
 
 def _slopes(scaled: np.ndarray, bias: float, share: tuple[float, float]):
-    """Map rows (label, features) of a task to one row: their loss, and its slopes for the bias and the weights of all places."""
+    """Map rows (label, steps from feature to feature) of a task to one row: their loss, and its slopes for the bias and the weights of all places."""
 
     def slopes(batches):
         loss, by_bias, by_place = 0.0, 0.0, np.zeros(1 << FEATURE_BITS)
         for batch in batches:
             label = np.asarray(batch.column(0)).astype(float)
-            places, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
+            steps, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
+            total = np.cumsum(steps, dtype=np.int64)
+            places = total - np.repeat(np.r_[0, total][np.cumsum(sizes) - sizes], sizes)
             z = np.clip(np.bincount(np.repeat(np.arange(len(label)), sizes), scaled[places], minlength=len(label)) + bias, -40, 40)
             each = np.where(label == 1, share[1], share[0])
             err = each * (1 / (1 + np.exp(-z)) - label)
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     base = math.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))
     each = [known.filter(F.col("label") == k).orderBy(F.xxhash64("of"), "of").limit(per_class) for k in (0, 1)]
     picked = F.broadcast(each[0].union(each[1]))  # 2 * per_class rows at most
-    sample = work.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("id") == F.col("of")).select("text", "label"), "sample")
+    sample = work.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("id") == F.col("of")).select("text", "label").repartition(FIT_TASKS), "sample")
     used = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(used) < 2:
         work.keep()
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     ratios[known_ratios["feature"].to_numpy()] = known_ratios["ratio"].to_numpy()
     # Rows of the sample stand for the classes' shares among all labels.
     share = tuple(shares[k] / used[k] * sum(used.values()) / sum(shares.values()) for k in (0, 1))
-    rows = work.table(sample.mapInArrow(_lists, "label int, features array<int>").repartition(FIT_TASKS), "lists")
+    rows = work.table(sample.mapInArrow(_lists, "label int, steps array<int>"), "lists", compression="zstd")
     total = sum(used.values())
 
     def slope(x: np.ndarray) -> tuple[float, np.ndarray]:

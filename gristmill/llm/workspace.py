@@ -39,10 +39,10 @@ class Workspace:
             spark.conf.set(*BATCH_BYTES)
         self.root = f"{shared_folder(spark)}/gristmill-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` and return the written table."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def append(self, df: DataFrame, name: str) -> None:
