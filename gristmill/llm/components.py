@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+COPIES = 32
+
 
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """``(v, root)`` for each vertex of ``edges`` (a, b; both long): root is the least vertex it reaches.
@@ -21,8 +23,11 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         step += 1
         heard = links.join(labels, links["b"] == labels["v"]).groupBy(links["a"].alias("v")).agg(F.min("root").alias("near"))
         least = labels.join(heard, "v", "left").select("v", "root", F.least("root", "near").alias("now"))
-        jump = least.select(F.col("v").alias("at"), F.col("now").alias("beyond"))
-        after = least.join(jump, least["now"] == jump["at"], "left").select("v", F.col("root").alias("was"), F.least("now", "beyond").alias("root"))
+        # A label that many vertices have stands in COPIES copies, so that these vertices don't meet in one task.
+        held = least.select(F.col("now").alias("at")).distinct()
+        jump = held.join(least.select(F.col("v").alias("at"), F.col("now").alias("beyond")), "at").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        spread = least.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(COPIES)).cast("int"))
+        after = spread.join(jump, (spread["now"] == jump["at"]) & (spread["part"] == jump["copy"]), "left").select("v", F.col("root").alias("was"), F.least("now", "beyond").alias("root"))
         after = work.table(after, f"{name}-{step}")
         done = after.filter("root <> was").isEmpty()
         work.drop(f"{name}-{step - 1}")
