@@ -12,10 +12,10 @@ WINS, DRAWS, LOSSES = ("w", "win", "won", "victory"), ("d", "draw", "drew", "tie
 TOP_GROUPS, TOP_PERFORMERS = 5, 10
 
 
-def top_groups(df: DataFrame, group: str, measure: str, most: int = TOP_GROUPS) -> DataFrame:
-    """(label, total): groups with the greatest sums, nulls last, ties by label."""
+def top_groups(df: DataFrame, group: str, measure: str, most: int = TOP_GROUPS, lowest: bool = False) -> DataFrame:
+    """(label, total): groups with the greatest sums, or the ``lowest``; nulls last, ties by label."""
     sums = df.filter(col(group).isNotNull()).groupBy(col(group).cast("string").alias("label")).agg(F.sum(col(measure).cast("double")).alias("total"))
-    return sums.orderBy(F.col("total").desc_nulls_last(), "label").limit(most)
+    return sums.orderBy(F.col("total").asc_nulls_last() if lowest else F.col("total").desc_nulls_last(), "label").limit(most)
 
 
 def performance(df: DataFrame, group: str, scored: str, conceded: str, result: str | Column, wins=WINS, draws=DRAWS, losses=LOSSES, most: int = TOP_PERFORMERS) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..functions.names import humanize
@@ -102,8 +105,11 @@ def analyze(df: DataFrame, name: str = "data", combined: bool = False) -> dict:
         drawn = []
         for chart in planned:
             chart["title"] = " by ".join(filter(None, [" and ".join(map(humanize, chart["measures"])), humanize(chart["x"])]))
-            rows = [r.asDict() for r in chart_data(df, chart).collect()]
-            drawn.append(chart | {"spec": visual_spec(chart, rows)})
+            try:
+                rows, failed = [r.asDict() for r in chart_data(df, chart).collect()], None
+            except PySparkException as error:  # one chart without data doesn't end the report
+                rows, failed = [], str(error).splitlines()[0]
+            drawn.append(chart | {"spec": visual_spec(chart, rows)} | ({"error": failed} if failed else {}))
         ahead, odd = forecasts(df, columns, kpis), anomalies(df, columns)
     finally:
         df.unpersist()
@@ -137,23 +143,50 @@ def insight_rows(spark: SparkSession, report: dict) -> DataFrame:
     return spark.createDataFrame(rows, INSIGHT_SCHEMA)
 
 
-# Words of a question, and of the columns that answer it.
-ASK_WORDS = ("top", "best", "most", "highest", "rank", "ranking", "leading", "lowest", "worst")
+# Words of a question for a ranking, and those of them that ask for its lower end.
+ASK_WORDS = ("top", "best", "most", "highest", "rank", "ranking", "leading", "lowest", "worst", "least", "bottom", "fewest")
+LOWEST_WORDS = {"lowest", "worst", "least", "bottom", "fewest"}
 
 
-def ask(df: DataFrame, question: str, columns: list[Column] | None = None) -> DataFrame | None:
-    """A ranking question ("top regions by sales") answered as a table; None where no columns fit."""
-    words = {w.rstrip("s") for w in question.lower().replace("?", " ").replace(",", " ").split()}
-    if not words & {w.rstrip("s") for w in ASK_WORDS}:
+def _stems(text: str) -> list[str]:
+    return [w.rstrip("s") for w in re.findall(r"[a-z0-9]+", text.lower())]
+
+
+def named_column(question: str, columns: list[Column]) -> Column | None:
+    """The column that a question names: by its whole name, the longest first; else by most of its words, at least one."""
+    asked = _stems(question)
+    parts = {c.name: _stems(humanize(c.name)) for c in columns}
+    whole = [c for c in columns if parts[c.name] and any(asked[k : k + len(parts[c.name])] == parts[c.name] for k in range(len(asked)))]
+    if whole:
+        return max(whole, key=lambda c: len(parts[c.name]))
+    shared = [c for c in columns if set(parts[c.name]) & set(asked)]
+    return max(shared, key=lambda c: len(set(parts[c.name]) & set(asked)) / len(parts[c.name])) if shared else None
+
+
+def answer(df: DataFrame, question: str, columns: list[Column] | None = None) -> dict | None:
+    """A ranking question ("top regions by sales", "lowest ...") answered by a text, a bar chart and a table; None where no columns fit.
+
+    Groups are columns that are neither numbers nor dates, measures are numbers; a measure that the
+    question doesn't name is the table's first key measure.
+    """
+    asked = set(re.findall(r"[a-z]+", question.lower()))
+    if not asked & set(ASK_WORDS):
         return None
     columns = columns or describe(df)[0]
+    group = named_column(question, [c for c in columns if not c.numeric and not c.temporal])
+    measures = [c for c in columns if c.numeric]
+    measure = named_column(question, measures) or next((c for k in detect_kpis(columns) for c in measures if c.name == k["column"]), None)
+    if group is None or measure is None:
+        return None
+    lowest = bool(asked & LOWEST_WORDS)
+    table = ranking.top_groups(df, group.name, measure.name, lowest=lowest)
+    rows = [r.asDict() for r in table.collect()]
+    chart = {"id": "answer", "type": "bar", "x": group.name, "measures": [measure.name]}
+    text = f"{'Lowest' if lowest else 'Top'} {humanize(group.name)} by {humanize(measure.name)}: " + ", ".join(f"{r['label']} ({r['total']:,.2f})" if r["total"] is not None else f"{r['label']} (no values)" for r in rows)
+    return {"text": text, "chart": chart | {"title": f"{humanize(measure.name)} by {humanize(group.name)}", "rows": rows}, "table": table}
 
-    def fit(c: Column) -> int:
-        parts = {p.rstrip("s") for p in humanize(c.name).lower().split()}
-        return 2 * (parts <= words) + len(parts & words)
 
-    groups = [c for c in columns if not c.numeric and not c.temporal and fit(c)]
-    measures = [c for c in columns if c.numeric and fit(c)]
-    if not groups or not measures:
-        return None
-    return ranking.top_groups(df, max(groups, key=fit).name, max(measures, key=fit).name)
+def ask(df: DataFrame, question: str, columns: list[Column] | None = None) -> DataFrame | None:
+    """The table that answers a ranking question; None where no columns fit."""
+    found = answer(df, question, columns)
+    return found["table"] if found else None

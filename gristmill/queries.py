@@ -396,6 +396,12 @@ def ask_ranking(spark, sf_dir):
     return analysis.ask(d, "Which are the top market segments by account balance?").withColumn("total", F.round("total", 2))
 
 
+@query("SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
+def ask_lowest(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("market_segment"), F.col("c_acctbal").alias("account_balance"))
+    return analysis.ask(d, "lowest market segments by account balance").withColumn("total", F.round("total", 2))
+
+
 @query()
 def anomaly_report(spark, sf_dir):
     d = read(spark, sf_dir, "orders")

@@ -120,7 +120,8 @@ def promote_header(df: DataFrame, row_number: str) -> DataFrame:
     """Name the columns of a grid of texts by its header row and drop what stands above; ``row_number`` orders the rows."""
     names = [c for c in df.columns if c != row_number]
     head = df.orderBy(row_number).limit(HEADER_ROWS + 7).collect()
-    at = find_header([[r[c] for c in names] for r in head])
+    wide = max((k for r in head for k, c in enumerate(names, 1) if r[c] is not None), default=0)  # wider rows further down don't count
+    at = find_header([[r[c] for c in names[:wide]] for r in head])
     if at is None:
         return df.dropna("all", subset=names).drop(row_number)
     rows = df.filter(F.col(row_number) > head[at][row_number]).select(*[col(c) for c in names])
@@ -151,28 +152,51 @@ def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
     return lines.mapInArrow(decode, "value string")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, max_rows: int | None = None) -> tuple[DataFrame, dict]:
+def measured_shape(spark: SparkSession, path: str, delimiter: str, encoding: str) -> tuple[int, bool]:
+    """Over all lines: the most cells of one, and whether a quoted cell holds a line break (a line with an odd number of quotes)."""
+    if encoding.startswith(("utf-16", "utf-32")):
+        lines = spark.read.schema("line string").options(encoding=encoding, sep="\u0001", quote="").csv(path)
+    else:  # quotes and delimiters are single bytes, however the rest is decoded
+        lines = spark.read.text(path).select(F.col("value").alias("line"))
+    bare = F.regexp_replace(F.col("line"), '"([^"]|"")*"', "")
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    width, broken = lines.agg(F.max(cells), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
+    return width or 1, broken
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, max_rows: int | None = None, multiline: bool | None = None) -> tuple[DataFrame, dict]:
     """A delimited file as a typed table, and what was detected.
 
     ``header`` False keeps ``column_1``...; None looks for the header row. Ragged rows are padded to
-    the widest of the head, empty cells are null. ``max_rows`` caps the rows read.
+    the widest of all rows, empty cells are null. Cells with line breaks are read where quotes show
+    them, or as ``multiline`` says; a file is then read by one task. ``max_rows`` caps the rows read.
     """
     head = head_bytes(spark, path)
     encoding = encoding or detect_encoding(head)
-    text = head.decode(encoding, "replace").lstrip("﻿")
+    text = head.decode(encoding, "replace").lstrip("\ufeff")
     delimiter = delimiter or detect_delimiter(text, "\t" if path.lower().endswith((".tsv", ".tsv.gz")) else ",")
-    seen = text.splitlines() if len(head) < HEAD_BYTES else text.splitlines()[:-1]
-    width = max((len(r) for r in csv.reader(seen, delimiter=delimiter)), default=1) or 1
-    schema = StructType([StructField(f"column_{k}", StringType()) for k in range(1, width + 1)])
-    options = {"sep": delimiter, "header": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": False}
-    if encoding in SPARK_ENCODINGS:
-        raw = spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
-    else:  # other encodings are decoded line by line from the bytes
-        lines = _decoded(spark.read.text(path).select(F.col("value").cast("binary")), encoding)
-        raw = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter}).alias("r")).select("r.*")
-    cells = raw.select(*[F.nullif(F.trim(F.replace(col(c), F.lit("﻿"), F.lit(""))), F.lit("")).alias(c) for c in raw.columns])
+    width, broken = measured_shape(spark, path, delimiter, encoding)
+    multiline = (broken if multiline is None else multiline) and encoding in SPARK_ENCODINGS
+    options = {"sep": delimiter, "header": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": multiline, "maxColumns": 1_000_000}
+
+    def grid(columns: int) -> DataFrame:
+        schema = StructType([StructField(f"column_{k}", StringType()) for k in range(1, columns + 1)])
+        if encoding in SPARK_ENCODINGS:
+            return spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
+        lines = _decoded(spark.read.text(path).select(F.col("value").cast("binary")), encoding)  # line by line from the bytes
+        return lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter}).alias("r")).select("r.*")
+
+    while multiline:  # a row may have more cells than any of its lines: widen until the last columns stay empty
+        spare = width + 8
+        used = [i for i, n in enumerate(grid(width + spare).agg(*[F.count(f"column_{k}") for k in range(1, width + spare + 1)]).first(), 1) if n]
+        width, more = max([1, *used]), bool(used) and used[-1] > width + spare - 8
+        if not more:
+            break
+    raw = grid(width)
+    cells = raw.select(*[F.nullif(F.trim(F.replace(col(c), F.lit("\ufeff"), F.lit(""))), F.lit("")).alias(c) for c in raw.columns])
     if max_rows:
         cells = cells.limit(max_rows)
     numbered = cells.withColumn("__row", F.monotonically_increasing_id())
     table = promote_header(numbered, "__row") if header is not False else cells.dropna("all")
-    return cast_numeric_like(table), {"type": "delimited", "encoding": encoding, "delimiter": delimiter, "header_scan_rows": HEADER_ROWS}
+    return cast_numeric_like(table), {"type": "delimited", "encoding": encoding, "delimiter": delimiter, "header_scan_rows": HEADER_ROWS, "multiline": multiline}

@@ -1,22 +1,28 @@
-"""A data source for .xlsx workbooks, from the standard library's zip and XML readers.
+"""Workbooks (.xlsx), from the standard library's zip and XML readers.
 
-One partition reads one sheet; rows stream out of the XML, so a sheet is never held whole but for
-the workbook's table of shared strings. Cells are texts, as in other grids.
+Spark lists and reads the files, each in one task, on any file system it knows; rows stream out of
+the XML, so a sheet is never held whole but for the workbook's table of shared strings. Cells are
+texts, as in other grids; dates are written as ISO dates or times, as the cells' number formats say,
+and booleans as TRUE or FALSE.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.combine import combine_sheets
+from ..operators.profile import col
+from ..session import materialized
 from .grid import cast_numeric_like, promote_header
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -43,8 +49,51 @@ def _place(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(book: zipfile.ZipFile, part: str, strings: list[str]):
+#: Number formats of dates and times among those that every workbook knows.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def date_styles(book: zipfile.ZipFile) -> set[int]:
+    """The numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "") for f in root.iter(f"{_MAIN}numFmt")}
+    shows = lambda k: bool(re.search("[ymdhs]", own[k].lower())) if k in own else k in DATE_FORMATS
+    formats = root.find(f"{_MAIN}cellXfs")
+    return {k for k, x in enumerate(formats if formats is not None else ()) if shows(int(x.get("numFmtId") or 0))}
+
+
+def first_day(book: zipfile.ZipFile) -> dt.datetime:
+    """Day 0 of the workbook's dates."""
+    kind = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}workbookPr")
+    return dt.datetime(1904, 1, 1) if kind is not None and kind.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
+
+
+def moment_text(days: str, zero: dt.datetime) -> str:
+    """A date, or date and time where the number has a fraction; the number itself where it is no date."""
+    try:
+        moment = zero + dt.timedelta(milliseconds=round(float(days) * 86_400_000))
+    except (ValueError, OverflowError):
+        return days
+    return moment.date().isoformat() if moment.time() == dt.time() else moment.replace(microsecond=0).isoformat(" ")
+
+
+def sheet_rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], zero: dt.datetime):
     """Yield the cells of each row as texts (None where empty)."""
+
+    def shown(c) -> str | None:
+        value, kind = c.find(f"{_MAIN}v"), c.get("t")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+        if value is None or value.text is None:
+            return None
+        if kind == "s":
+            return strings[int(value.text)]
+        if kind == "b":
+            return "TRUE" if value.text.strip() == "1" else "FALSE"
+        return moment_text(value.text, zero) if kind in (None, "n") and int(c.get("s") or 0) in dates else value.text
+
     with book.open(part) as stream:
         for _, row in ElementTree.iterparse(stream):
             if row.tag == f"{_MAIN}row":
@@ -52,63 +101,62 @@ def sheet_rows(book: zipfile.ZipFile, part: str, strings: list[str]):
                 for c in row.iter(f"{_MAIN}c"):
                     at = _place(c.get("r")) if c.get("r") else len(cells)
                     cells += [None] * (at + 1 - len(cells))
-                    value, kind = c.find(f"{_MAIN}v"), c.get("t")
-                    if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                    elif value is not None and value.text is not None:
-                        cells[at] = strings[int(value.text)] if kind == "s" else value.text
+                    cells[at] = shown(c)
                 yield cells
                 row.clear()
 
 
-class _Sheet(InputPartition):
-    def __init__(self, name: str, part: str, place: int):
-        self.name, self.part, self.place = name, part, place
-
+CELLS = "file string, sheet string, place int, row int, cells array<string>"
 
-class _Reader(DataSourceReader):
-    def __init__(self, data: bytes):
-        self.data = data
 
-    def partitions(self):
-        with zipfile.ZipFile(io.BytesIO(self.data)) as book:
-            return [_Sheet(n, p, k) for k, (n, p) in enumerate(sheet_files(book).items())]
+def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, place, row, cells) of the workbooks that a path or pattern names."""
 
-    def read(self, sheet: _Sheet):
-        with zipfile.ZipFile(io.BytesIO(self.data)) as book:
-            strings = shared_strings(book)
-            for k, cells in enumerate(sheet_rows(book, sheet.part, strings)):
-                yield sheet.name, sheet.place, k, cells
+    def read(batches):
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as book:
+                    strings, dates, zero = shared_strings(book), date_styles(book), first_day(book)
+                    for place, (name, part) in enumerate(sheet_files(book).items()):
+                        rows: list = []
+                        for k, cells in enumerate(sheet_rows(book, part, strings, dates, zero)):
+                            rows.append((file, name, place, k, cells))
+                            if len(rows) == 2000:
+                                yield _batch(rows)
+                                rows = []
+                        if rows:
+                            yield _batch(rows)
 
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, CELLS)
 
-class WorkbookSource(DataSource):
-    """``spark.read.format("workbook").load(path)``: (sheet, place, row, cells)."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
+def _batch(rows: list) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "sheet": pa.string(), "place": pa.int32(), "row": pa.int32(), "cells": pa.list_(pa.string())}
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
-    def schema(self) -> StructType:
-        return StructType([StructField("sheet", StringType()), StructField("place", IntegerType()), StructField("row", IntegerType()), StructField("cells", ArrayType(StringType()))])
 
-    def reader(self, schema) -> DataSourceReader:
-        path = self.options["path"]
-        with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
-            return _Reader(f.read())
+def cast_dates_and_flags(df: DataFrame) -> DataFrame:
+    """Text columns of ISO dates, times, or TRUE and FALSE only as dates, timestamps or booleans, in one aggregate."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if not texts:
+        return df
+    shapes = {"date": r"^\d{4}-\d{2}-\d{2}$", "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$", "boolean": "^(TRUE|FALSE)$"}
+    counts = df.agg(*[F.struct(F.count(col(c)).alias("n"), *[F.count_if(col(c).rlike(p)).alias(k) for k, p in shapes.items()]).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    kinds = {c: next((k for k in shapes if counts[f"c{i}"]["n"] and counts[f"c{i}"][k] == counts[f"c{i}"]["n"]), None) for i, c in enumerate(texts)}
+    return df.withColumns({c: col(c).try_cast(k) for c, k in kinds.items() if k}) if any(kinds.values()) else df
 
 
 def read_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Each sheet of a workbook as a typed table."""
-    spark.dataSource.register(WorkbookSource)
-    cells = spark.read.format("workbook").load(path)
+    """Each sheet of a workbook as a typed table, by its name; of several files by file and name."""
+    cells = materialized(workbook_cells(spark, path))
     out = {}
-    from pyspark.sql import functions as F
-
-    widths = cells.groupBy("place", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("place").collect()
-    for place, sheet, width in widths:
+    widths = cells.groupBy("file", "place", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("file", "place").collect()
+    several = len({r.file for r in widths}) > 1
+    for file, place, sheet, width in widths:
         if width > 0:
-            grid = cells.filter(F.col("place") == place).select("row", *[F.nullif(F.trim(F.get("cells", F.lit(k))), F.lit("")).alias(f"column_{k + 1}") for k in range(width)])
-            out[sheet] = cast_numeric_like(promote_header(grid, "row"))
+            own = cells.filter((F.col("file") == file) & (F.col("place") == place))
+            grid = own.select("row", *[F.nullif(F.trim(F.get("cells", F.lit(k))), F.lit("")).alias(f"column_{k + 1}") for k in range(width)])
+            out[f"{posixpath.basename(file)}:{sheet}" if several else sheet] = cast_dates_and_flags(cast_numeric_like(promote_header(grid, "row")))
     return out
 
 

@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from gristmill.plans.analyze import analyze, ask, combined_quality, insight_rows
+from gristmill.plans.analyze import analyze, answer, ask, combined_quality, insight_rows
 from gristmill.sources.grid import detect_delimiter, detect_encoding, find_header, header_names, read_delimited
 from gristmill.sources.readers import profile_json, read_dataset, write_outputs
 from gristmill.streaming.monthly import months_of, stream_windows
@@ -29,6 +29,18 @@ def test_normal_header_delimiters_and_encodings(spark, tmp_path):
     assert find_header([["Title", None], ["note", None], ["x", None]]) is None and find_header([["a"], ["b"]]) is None
 
 
+def test_late_wide_rows_and_quoted_breaks(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("Item Name,Item Count\n" + "a,1\n" * 30000 + "b,2,late\n")
+    df, info = read_delimited(spark, str(path))
+    assert df.count() == 30001 and df.filter("column_3 = 'late'").count() == 1 and df.columns[:2] == ["Item Name", "Item Count"] and not info["multiline"]
+    path = tmp_path / "breaks.csv"
+    path.write_text('Item Name,Item Count,Note\n"a\nb",1,x\nc,2,"y, ""z"""\nd,3,"1\n2",more\n')
+    df, info = read_delimited(spark, str(path))
+    assert info["multiline"] and sorted(tuple(r)[:3] for r in df.collect()) == [("a\nb", 1.0, "x"), ("c", 2.0, 'y, "z"'), ("d", 3.0, "1\n2")]
+    assert len(df.columns) == 4 and df.filter("`column_4` = 'more'").count() == 1
+
+
 def test_formats_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", [1, 2]), (2, None, [3])], "id long, name string, parts array<int>")
     write_outputs(df, f"{tmp_path}/a.parquet", f"{tmp_path}/a.csv")
@@ -71,6 +83,25 @@ def test_workbook(spark, tmp_path):
     assert sorted(map(str, df.collect())) == ["Row(Organisation Name='A', COS Used=3.0, Sheet='Table 1')", "Row(Organisation Name='A', COS Used=3.0, Sheet='Table 2')", "Row(Organisation Name='B', COS Used=None, Sheet='Table 1')", "Row(Organisation Name='C', COS Used=5.5, Sheet='Table 1')"]
 
 
+def test_workbook_dates_and_flags(spark, tmp_path):
+    path = f"{tmp_path}/d.xlsx"
+    workbook(path, {"T": [["Item Name", "Sold Date", "Seen Time", "Is Open"], ["A", 1, 1, 1], ["B", 1, 1, 1]]})
+    rows = '<row r="1">' + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABCD", ("Item Name", "Sold Date", "Seen Time", "Is Open"))) + "</row>"
+    for r, (name, day, time, flag) in enumerate([("A", 45123, 45123.5, 1), ("B", 45124, 45124.25, 0)], 2):
+        rows += f'<row r="{r}"><c r="A{r}" t="inlineStr"><is><t>{name}</t></is></c><c r="B{r}" s="1"><v>{day}</v></c><c r="C{r}" s="2"><v>{time}</v></c><c r="D{r}" t="b"><v>{flag}</v></c></row>'
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    parts["xl/worksheets/sheet1.xml"] = f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>"
+    parts["xl/styles.xml"] = f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yy\\ hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+    with zipfile.ZipFile(path, "w") as z:
+        for n, content in parts.items():
+            z.writestr(n, content)
+    df, _ = read_dataset(spark, path)
+    assert [t for _, t in df.dtypes] == ["string", "date", "timestamp_ntz", "boolean"]
+    assert sorted(map(tuple, df.collect())) == [("A", dt.date(2023, 7, 16), dt.datetime(2023, 7, 16, 12), True), ("B", dt.date(2023, 7, 17), dt.datetime(2023, 7, 17, 6), False)]
+
+
 def test_report_of_orders(spark, sf_dir):
     report = analyze(spark.read.parquet(f"{sf_dir}/orders.parquet"), "orders")
     assert report["dataset"]["row_count"] == 1500 and report["metrics"]["kpis"][0]["column"] == "o_totalprice"
@@ -87,6 +118,9 @@ def test_combined_quality_and_questions(spark):
     df = spark.createDataFrame([("North", 5.0, "x"), ("South", 9.0, "x"), ("North", 1.0, "y")], "region string, total_sales double, kind string")
     assert [tuple(r) for r in ask(df, "Which are the top regions by sales?").collect()] == [("South", 9.0), ("North", 6.0)]
     assert ask(df, "hello") is None
+    assert [tuple(r) for r in ask(df, "lowest regions by total sales").collect()] == [("North", 6.0), ("South", 9.0)]
+    said = answer(df, "worst kind by sales")
+    assert said["text"] == "Lowest Kind by Total Sales: y (1.00), x (14.00)" and said["chart"]["rows"][0] == {"label": "y", "total": 1.0}
 
 
 def test_streamed_windows_match_batch(spark, tmp_path, sf_dir):
