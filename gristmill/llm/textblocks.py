@@ -67,7 +67,7 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         row = end
 
 
-def _word_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+def word_end(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
     """The first place from ``at`` where no word goes on: white space, or the start of a row."""
     stop, step = int(offsets[np.searchsorted(offsets, at)]), 256
     while at < stop:
@@ -82,7 +82,7 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
     """Yield (low, high, starts, ends): the words between two places of a block, counted from ``low``; no piece cuts a word."""
     low = 0
     while low < len(data):
-        high = len(data) if low + PIECE >= len(data) else _word_end(data, offsets, low + PIECE)
+        high = len(data) if low + PIECE >= len(data) else word_end(data, offsets, low + PIECE)
         inside = ~SPACE[data[low:high]]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]

@@ -11,7 +11,7 @@ ancestors one piece back. Terminal nodes keep the counts, which are summed by te
 more than LEVELS characters would make levels of one node each; their pieces are looked up for all
 places of a segment at once, then the scores run along it, and a pre-token starts from the segment up
 to which it has the same characters as the one before. Nothing is shuffled, and memory is bounded by
-the part (PART_BYTES, or the longest text).
+the part (PART_BYTES, or the longest pre-token).
 
 Defined cases: null and empty texts and texts of white space count 0; very long words are words
 like others; null ids and repeated rows are rows like others; extra columns are ignored.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import mix64, text_blocks, word_bounds, word_hashes
+from .textblocks import mix64, text_blocks, word_bounds, word_end, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PART_BYTES = 8 << 20
@@ -171,8 +171,20 @@ def long_counts(words: list[str], table: PieceTable) -> list[int]:
     return out
 
 
-def block_counts(data: np.ndarray, offsets: np.ndarray, table: PieceTable) -> np.ndarray:
-    """Tokens of each text of a block."""
+def parts(data: np.ndarray, offsets: np.ndarray):
+    """A block as it is, but a longer text in parts of about PART_BYTES that cut no word."""
+    if len(offsets) > 2 or len(data) <= PART_BYTES:
+        yield data, offsets
+        return
+    low = 0
+    while low < len(data):
+        high = len(data) if low + PART_BYTES >= len(data) else word_end(data, offsets, low + PART_BYTES)
+        yield data[low:high], np.array([0, high - low])
+        low = high
+
+
+def block_counts(data: np.ndarray, offsets: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """Words and tokens of each text of a block."""
     starts, ends, first = word_bounds(data, offsets)
     _, one, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     words = [MARK + data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
@@ -181,7 +193,7 @@ def block_counts(data: np.ndarray, offsets: np.ndarray, table: PieceTable) -> np
     for some, count in (([i for i in order if len(words[i]) <= LEVELS], trie_counts), ([i for i in order if len(words[i]) > LEVELS], long_counts)):
         counts[some] = count([words[i] for i in some], table)
     total = np.r_[0, np.cumsum(counts[inverse])]
-    return total[first[1:]] - total[first[:-1]]
+    return np.diff(first), total[first[1:]] - total[first[:-1]]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -193,8 +205,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             tokens, words = [], []
             for _, _, data, offsets in text_blocks(batch.column(1), PART_BYTES):
-                tokens.append(block_counts(data, offsets, table))
-                words.append(np.diff(word_bounds(data, offsets)[2]))
+                both = [block_counts(*part, table) for part in parts(data, offsets)]
+                words.append(sum(n for n, _ in both))
+                tokens.append(sum(n for _, n in both))
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([none, *words])), pa.array(np.concatenate([none, *tokens]))], ["id", "n_words", "n_tokens"])
 

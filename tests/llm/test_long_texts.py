@@ -26,7 +26,7 @@ RUN = {
     "op2": "from gristmill.llm.textblocks import text_blocks\nfrom gristmill.llm.quality import block_statistics\nfor _, _, d, o in text_blocks(batch.column(1)):\n    block_statistics(d, o)",
     "op3": "from gristmill.llm import pii\nfor b in pii._scan([batch]):\n    pass",
     "op5": "from gristmill.llm import decontamination as m\nfrom gristmill.llm.textblocks import distinct\nimport numpy as np\nindex = m.ItemIndex([1], [40], [{}], 1.0)\n((_, _, h, _),) = m._words_of(pa.array([' '.join(words[:40])]))\nindex.shingles = [{int(s): (int(c), 1.0) for s, c in zip(*m._shingle_counts(h, 5))}]\nfor size, prints in m.window_fingerprints(h, [39]):\n    index.by_size[size] = [(int(p), 0, k) for k, p in enumerate(prints)]\nm._matches(batch.column(1), index, index.tables(), m.SharedShingles(index, 0.8, 5), 0.8, 5)",
-    "op6": "from gristmill.llm.textblocks import text_blocks\nfrom gristmill.llm import token_counts as m\ntable = m.piece_table(m.VOCABULARY)\nfor _, _, d, o in text_blocks(batch.column(1), m.PART_BYTES):\n    m.block_counts(d, o, table)",
+    "op6": "from gristmill.llm.textblocks import text_blocks\nfrom gristmill.llm import token_counts as m\ntable = m.piece_table(m.VOCABULARY)\nfor _, _, d, o in text_blocks(batch.column(1), m.PART_BYTES):\n    for part in m.parts(d, o):\n        m.block_counts(*part, table)",
     "op7": "from gristmill.llm import secrets as m\nfor b in m._samples(2000)([batch.select(['text'])]):\n    pass",
     "op8": "from gristmill.llm.ngram_join import shingle_sets\nfor s in shingle_sets(batch.column(1)):\n    pass",
     "op10": "from gristmill.llm.toxicity import _features\nfor f in _features(batch.column(1)):\n    pass",

@@ -56,7 +56,7 @@ def test_ties_take_fewest_tokens():
     table = PieceTable({"a": -1, "aa": -2, "b": -1})
     column = pa.array(["aa", "aab a", ""])
     for _, _, data, offsets in text_blocks(column):
-        got = block_counts(data, offsets, table)
+        got = block_counts(data, offsets, table)[1]
     assert got.tolist() == [3 + 1, 3 + 1 + 1 + 3 + 1, 0]  # the mark falls back to three bytes
 
 
@@ -72,3 +72,14 @@ def test_long_words_in_segments(monkeypatch):
         monkeypatch.setattr(module, "SEGMENT", segment)
         assert long_counts(words, PieceTable(scores)) == want
     assert trie_counts(words, PieceTable(scores)).tolist() == want
+
+
+def test_parts_of_a_long_text(monkeypatch):
+    table = PieceTable(zipf_scores(read_pieces(VOCABULARY)))
+    column = pa.array([" ".join(t for t in texts() if t)])
+    ((_, _, data, offsets),) = text_blocks(column)
+    whole = [n.tolist() for n in block_counts(data, offsets, table)]
+    for size in (1, 100, 5000):
+        monkeypatch.setattr(module, "PART_BYTES", size)
+        both = [block_counts(*part, table) for part in module.parts(data, offsets)]
+        assert [sum(n).tolist() for n in zip(*both)] == whole and len(both) > 1
