@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -85,28 +84,52 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(c[some]) for c in counts]], ["feature", "clean", "toxic"])
 
 
+#: Packed features that are unpacked together, and the step that only leads on to the next one.
+UNPACKED, ON = 1 << 18, 0xFFFF
+
+
+def packed(features: np.ndarray) -> bytes:
+    """Ascending features as steps of two bytes; a longer step goes over ONs, which stand for no feature."""
+    steps = np.diff(features, prepend=0)
+    far = np.repeat(np.arange(len(steps)), steps // ON)
+    return np.insert(steps % ON, far, ON).astype(np.uint16).tobytes()
+
+
+def unpacked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (first row, end row, features, number of each row's features), some rows of packed features at a time."""
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1] // 2
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint16)
+    row = 0
+    while row < n:
+        end = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + UNPACKED, side="right")) - 1))
+        steps, edges = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        total, real = np.r_[0, np.cumsum(steps, dtype=np.int64)], steps != ON
+        places = (total[1:] - np.repeat(total[edges[:-1]], np.diff(edges)))[real]
+        yield row, end, places, np.diff(np.r_[0, np.cumsum(real)][edges])
+        row = end
+
+
 def _lists(batches):
     for batch in batches:
-        found = [np.diff(x.astype(np.int32), prepend=np.int32(0)) for x in _features(batch.column(0))]  # small steps take little space when written
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "steps"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([packed(x) for x in _features(batch.column(0))], pa.binary())], ["label", "features"])
 
 
 def _slopes(scaled: np.ndarray, bias: float, share: tuple[float, float]):
-    """Map rows (label, steps from feature to feature) of a task to one row: their loss, and its slopes for the bias and the weights of all places."""
+    """Map rows (label, packed features) of a task to one row: their loss, and its slopes for the bias and the weights of all places."""
 
     def slopes(batches):
         loss, by_bias, by_place = 0.0, 0.0, np.zeros(1 << FEATURE_BITS)
         for batch in batches:
-            label = np.asarray(batch.column(0)).astype(float)
-            steps, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
-            total = np.cumsum(steps, dtype=np.int64)
-            places = total - np.repeat(np.r_[0, total][np.cumsum(sizes) - sizes], sizes)
-            z = np.clip(np.bincount(np.repeat(np.arange(len(label)), sizes), scaled[places], minlength=len(label)) + bias, -40, 40)
-            each = np.where(label == 1, share[1], share[0])
-            err = each * (1 / (1 + np.exp(-z)) - label)
-            loss += float((each * (np.logaddexp(0, z) - label * z)).sum())
-            by_bias += float(err.sum())
-            by_place += np.bincount(places, np.repeat(err, sizes), minlength=1 << FEATURE_BITS)
+            labels = np.asarray(batch.column(0)).astype(float)
+            for row, end, places, sizes in unpacked(batch.column(1)):
+                label = labels[row:end]
+                z = np.clip(np.bincount(np.repeat(np.arange(end - row), sizes), scaled[places], minlength=end - row) + bias, -40, 40)
+                each = np.where(label == 1, share[1], share[0])
+                err = each * (1 / (1 + np.exp(-z)) - label)
+                loss += float((each * (np.logaddexp(0, z) - label * z)).sum())
+                by_bias += float(err.sum())
+                by_place += np.bincount(places, np.repeat(err, sizes), minlength=1 << FEATURE_BITS)
         yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_place.tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
 
     return slopes
@@ -164,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     ratios[known_ratios["feature"].to_numpy()] = known_ratios["ratio"].to_numpy()
     # Rows of the sample stand for the classes' shares among all labels.
     share = tuple(shares[k] / used[k] * sum(used.values()) / sum(shares.values()) for k in (0, 1))
-    rows = work.table(sample.mapInArrow(_lists, "label int, steps array<int>"), "lists", compression="zstd")
+    rows = work.table(sample.mapInArrow(_lists, "label int, features binary"), "lists", compression="zstd")
     total = sum(used.values())
 
     def slope(x: np.ndarray) -> tuple[float, np.ndarray]:

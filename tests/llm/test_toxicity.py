@@ -46,6 +46,18 @@ def test_features_are_the_distinct_grams_of_each_text():
     assert found[0].tolist() == found[3].tolist()
 
 
+def test_packed_features_come_back(monkeypatch):
+    r = np.random.default_rng(3)
+    lists = [np.sort(r.choice(1 << FEATURE_BITS, n, replace=False)) for n in (0, 1, 3, 2000, 0, 7)] + [np.array([0, 65534, 65535, 262143]), np.array([262143])]
+    import pyarrow as pa
+
+    column = pa.array([b"x\0", *map(toxicity.packed, lists)], pa.binary()).slice(1)
+    for size in (1, 100, 1 << 18):
+        monkeypatch.setattr(toxicity, "UNPACKED", size)
+        got = [x for row, end, places, sizes in toxicity.unpacked(column) for x in np.split(places, np.cumsum(sizes)[:-1])]
+        assert [g.tolist() for g in got] == [x.tolist() for x in lists]
+
+
 def test_features_in_pieces(monkeypatch):
     text = "the quick brown fox jumps over the lazy dog é ü " * 5
     data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
