@@ -244,7 +244,7 @@ def _matches(column: pa.Array, index: ItemIndex, tables: dict, shared: SharedShi
     overlap = 2 * max(index.lengths) + 2 * max(LADDER)
     for row, _, block, starts_of in _words_of(column):
         for hashed, first, opens, closes in _segments(block, starts_of, overlap):
-            tried = set()
+            tried: dict[tuple[int, int], int] = {}  # place and item -> a window there
             for size, prints in window_fingerprints(hashed, list(tables)):
                 known, items, offsets, blocks = tables[size]
                 for shift, mask, order, starts in blocks:
@@ -257,23 +257,36 @@ def _matches(column: pa.Array, index: ItemIndex, tables: dict, shared: SharedShi
                     window = np.repeat(some, count)
                     entry = order[np.repeat(low[some] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
                     near = np.bitwise_count(prints[window] ^ known[entry]) <= index.radius
-                    tried.update(zip((window[near] - offsets[entry[near]]).tolist(), items[entry[near]].tolist(), window[near].tolist(), strict=True))
-            for start, item, window in tried:
-                doc = int(np.searchsorted(first, window, side="right")) - 1
-                a, b = max(start, int(first[doc])), min(start + index.lengths[item], int(first[doc + 1]))
-                if b <= a or window + 1 > b or not (opens or start >= 0) or not (closes or start + index.lengths[item] <= len(hashed)):
-                    continue
-                likeness = similarity(hashed[a:b], index.shingles[item], index.rare, words)
-                if likeness >= threshold and likeness > best.get((row + doc, item), 0):
-                    best[row + doc, item] = likeness
-            for doc, item, low, high, runs in shared.places(hashed, first):
+                    places = zip((window[near] - offsets[entry[near]]).tolist(), items[entry[near]].tolist(), strict=True)
+                    tried.update(zip(places, window[near].tolist(), strict=True))
+
+            def judge(doc: int, item: int, at: int) -> None:
+                a, b = max(at, int(first[doc])), min(at + index.lengths[item], int(first[doc + 1]))
+                if b > a and (opens or at >= 0) and (closes or at + index.lengths[item] <= len(hashed)):
+                    likeness = similarity(hashed[a:b], index.shingles[item], index.rare, words)
+                    if likeness >= threshold and likeness > best.get((row + doc, item), 0):
+                        best[row + doc, item] = likeness
+
+            found: dict[tuple[int, int], list[int]] = {}
+            for (at, item), window in tried.items():
+                found.setdefault((int(np.searchsorted(first, window, side="right")) - 1, item), []).append(at)
+            searched = list(shared.places(hashed, first))
+            runs = next(shingle_hashes(hashed, np.array([0, len(hashed)]), words)) if found else None
+            for (doc, item), places in found.items():
+                room = index.lengths[item] - words
+                if room < 0:
+                    for at in places:
+                        judge(doc, item, at)
+                else:  # the places between the first and the last of each run of near ones
+                    places.sort()
+                    cuts = [0, *[k for k in range(1, len(places)) if places[k] - places[k - 1] > index.lengths[item]], len(places)]
+                    searched += [(doc, item, places[x] + room, places[y - 1], runs) for x, y in zip(cuts, cuts[1:], strict=False)]
+            for doc, item, low, high, runs in searched:
                 start, end = int(first[doc]), int(first[doc + 1])
                 for at, bound in shared.bounds(item, low, high, start, end, runs, opens, closes):
                     if bound <= best.get((row + doc, item), 0) + 1e-9:
                         break
-                    likeness = similarity(hashed[max(at, start) : min(at + index.lengths[item], end)], index.shingles[item], index.rare, words)
-                    if likeness >= threshold and likeness > best.get((row + doc, item), 0):
-                        best[row + doc, item] = likeness
+                    judge(doc, item, at)
     return best
 
 
