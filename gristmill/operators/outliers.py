@@ -11,7 +11,7 @@ from ..functions.names import is_identifier, is_year
 from .profile import as_rows, col, columns_of, exact_quantiles
 
 # Fixed values of the rules.
-OUTLIER_FROM, LEAST_VALUES, MOST_COLUMNS = 3.0, 8, 20
+OUTLIER_FROM, LEAST_VALUES = 3.0, 8
 
 
 def distribution_outliers(df: DataFrame, columns: list[str], least: float = OUTLIER_FROM) -> DataFrame:
@@ -35,7 +35,7 @@ def fences(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[f
     Columns are numeric ones that are no identifier or year, with eight values or more and quartiles
     apart; quantiles are those of the nearest rank.
     """
-    columns = columns or [c for c in columns_of(df, "numeric") if not is_identifier(c) and not is_year(c)][:MOST_COLUMNS]
+    columns = columns or [c for c in columns_of(df, "numeric") if not is_identifier(c) and not is_year(c)]
     if not columns:
         return {}
     counts = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()

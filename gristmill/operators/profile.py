@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-# How many columns of a kind a profile covers, and what it lists of them.
-MOST_NUMERIC, MOST_DATES, MOST_CATEGORICAL, MOST_CORRELATED = 20, 5, 50, 10
+# What a profile lists of a column, and which correlations.
 TOP_VALUES, TOP_VALUES_UP_TO, LEAST_CORRELATION = 10, 50, 0.3
+#: Pairs of columns whose correlations come from one pass.
+PAIRS_AT_ONCE = 200
 
 
 def columns_of(df: DataFrame, kind: str) -> list[str]:
@@ -100,7 +101,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[floa
     return out
 
 
-def numeric_profile(df: DataFrame, columns: list[str] | None = None, most: int = MOST_NUMERIC) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
     """(column_name, count, null_count, min, max, mean, std, p25, p50, p75, total), a row a numeric column."""
     columns = (columns or columns_of(df, "numeric"))[:most]
     quantiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
@@ -114,7 +115,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, most: int =
     return as_rows(df.agg(*[one(c).alias(f"c{i}") for i, c in enumerate(columns)]), [f"c{i}" for i in range(len(columns))])
 
 
-def date_range_profile(df: DataFrame, columns: list[str] | None = None, most: int = MOST_DATES) -> DataFrame:
+def date_range_profile(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
     """(column_name, min_date, max_date), a row a temporal column."""
     columns = (columns or columns_of(df, "temporal"))[:most]
     parts = [F.struct(F.lit(c).alias("column_name"), F.min(col(c)).cast("timestamp_ntz").alias("min_date"), F.max(col(c)).cast("timestamp_ntz").alias("max_date")).alias(f"c{i}") for i, c in enumerate(columns)]
@@ -129,7 +130,8 @@ def missing_and_distinct(df: DataFrame, columns: list[str] | None = None) -> Dat
     """
     columns = columns or df.columns
     missing = as_rows(df.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("row_count"), F.count_if(col(c).isNull()).alias("missing")).alias(f"c{i}") for i, c in enumerate(columns)]), [f"c{i}" for i in range(len(columns))])
-    values = values_by_column(df, columns).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
+    digest = F.md5(F.col("value").cast("binary")).alias("value")  # whole texts needn't move
+    values = values_by_column(df, columns).select("column_name", digest).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
     distinct = values.groupBy("column_name").agg(F.count("one").alias("distinct_count"))
     return missing.join(distinct, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
 
@@ -144,7 +146,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return values_by_column(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALUES, up_to: int = TOP_VALUES_UP_TO, most: int = MOST_CATEGORICAL, distinct: dict[str, int] | None = None) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_VALUES, up_to: int = TOP_VALUES_UP_TO, most: int | None = None, distinct: dict[str, int] | None = None) -> DataFrame:
     """(column_name, value, count, place) of columns with at most ``up_to`` distinct values (counted here unless given); ties by value."""
     columns = (columns or columns_of(df, "categorical"))[:most]
     if distinct is None:
@@ -155,8 +157,8 @@ def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_V
     return counts.withColumn("place", place).filter(F.col("place") <= top)
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_CORRELATION, most: int = MOST_CORRELATED) -> DataFrame:
-    """(left_column, right_column, correlation) where its size exceeds ``least``, in one aggregate; constant columns have none."""
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_CORRELATION, most: int | None = None) -> DataFrame:
+    """(left_column, right_column, correlation) where its size exceeds ``least``; PAIRS_AT_ONCE in one aggregate; constant columns have none."""
     columns = (columns or columns_of(df, "numeric"))[:most]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
@@ -168,7 +170,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: fl
         spread = F.stddev_pop(x) * F.stddev_pop(y)
         return F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.round(F.when(spread > 0, F.covar_pop(x, y) / spread), 3).alias("correlation"))
 
-    rows = as_rows(df.agg(*[one(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), [f"c{i}" for i in range(len(pairs))])
+    parts = [pairs[k : k + PAIRS_AT_ONCE] for k in range(0, len(pairs), PAIRS_AT_ONCE)]
+    rows = union([as_rows(df.agg(*[one(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)]), [f"c{i}" for i in range(len(part))]) for part in parts])
     return rows.filter(F.abs("correlation") > least)
 
 

@@ -29,9 +29,14 @@ def with_moments(df: DataFrame, value: str) -> DataFrame:
 
 def monthly_spikes(df: DataFrame, date: str, measure: str, least: float = SPIKE_FROM, most: int = MOST_SPIKES) -> DataFrame:
     """(period, value, z_score) of the months farthest from the mean, from ``least`` deviations on."""
+    return spikes_and_mean(df, date, measure, least, most).select("period", "value", "z_score")
+
+
+def spikes_and_mean(df: DataFrame, date: str, measure: str, least: float = SPIKE_FROM, most: int = MOST_SPIKES) -> DataFrame:
+    """As monthly_spikes, with avg_value, the mean of all months."""
     scored = with_moments(monthly_series(df, date, measure), "value").filter("std_value > 0")
     scored = scored.withColumn("z_score", F.abs((F.col("value") - F.col("avg_value")) / F.col("std_value"))).filter(F.col("z_score") >= least)
-    return scored.orderBy(F.col("z_score").desc(), "period").limit(most).select("period", "value", "z_score")
+    return scored.orderBy(F.col("z_score").desc(), "period").limit(most).select("period", "value", "avg_value", "z_score")
 
 
 def linear_forecast(df: DataFrame, date: str, measure: str) -> DataFrame:

@@ -28,7 +28,7 @@ def describe(df: DataFrame) -> tuple[list[Column], dict]:
     """Columns with meaning and role, and table facts, from a few jobs over all columns each."""
     numeric, temporal = profile.columns_of(df, "numeric"), profile.columns_of(df, "temporal")
     stats = {r.column_name: r.asDict() for r in profile.numeric_profile(df).collect()} if numeric else {}
-    others = profile.columns_of(df, "categorical")[: profile.MOST_CATEGORICAL]
+    others = profile.columns_of(df, "categorical")
     counts = {r.column_name: r for r in profile.missing_and_distinct(df, others).collect()} if others else {}
     top: dict[str, list] = {}
     if others:
@@ -82,8 +82,7 @@ def anomalies(df: DataFrame, columns: list[Column], most: int = MOST_ANOMALIES)
         if m in far:
             found.append({"type": "distribution", "column": m, "value": far[m].value, "expected": far[m]["mean"], "score": far[m].z_score})
         if date:
-            mean = series.monthly_series(df, date, m)
-            found += [{"type": "monthly", "column": m, "period": r.period, "value": r.value, "expected": r.avg_value, "score": r.z_score} for r in series.monthly_spikes(df, date, m).join(series.with_moments(mean, "value").select("period", "avg_value"), "period").collect()]
+            found += [{"type": "monthly", "column": m, "period": r.period, "value": r.value, "expected": r.avg_value, "score": r.z_score} for r in series.spikes_and_mean(df, date, m).collect()]
     return sorted(found, key=lambda a: -a["score"])[:most]
 
 

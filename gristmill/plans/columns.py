@@ -49,9 +49,8 @@ def plain(name: str) -> str:
     return re.sub(r"[^a-z0-9_]+", "_", name.lower())
 
 
-def _between_years(column: Column, default: bool) -> bool:
-    low, high = column.stats.get("min"), column.stats.get("max")
-    return default if low is None or high is None else YEARS[0] <= low <= high <= YEARS[1]
+def _no_other_numbers_than_years(column: Column) -> bool:
+    return column.stats.get("min") is None or _within(column, *YEARS)
 
 
 def _by_name(column: Column) -> tuple[str, float, str] | None:
@@ -63,7 +62,7 @@ def _by_name(column: Column) -> tuple[str, float, str] | None:
         return "date", 0.9, "temporal_dimension"
     if name in ("source_file", "sheet"):
         return "source", 0.96, "dimension"
-    if re.search(r"(^(fiscal_|calendar_)?|_)year$", name) and (not column.numeric or _between_years(column, True)):
+    if re.search(r"(^(fiscal_|calendar_)?|_)year$", name) and (not column.numeric or _no_other_numbers_than_years(column)):
         return "year", 0.94, "temporal_dimension"
     if re.search(r"^(id|uuid|guid)$|_(id|uuid|guid)$|^id_", name):
         return "identifier", 0.9, "identifier"
@@ -77,32 +76,41 @@ def _by_name(column: Column) -> tuple[str, float, str] | None:
     return None
 
 
-def _by_numbers(column: Column) -> tuple[str, float, str]:
+def _named_like_attribute(column: Column) -> bool:
     name = plain(column.name)
-    parts = set(name.split("_"))
-    named = bool(parts & set(ATTRIBUTE_WORDS)) or "shirt_number" in name or "squad_number" in name or "id" in parts
-    if "market_value" not in name and (named or _between_years(column, False)):
-        return "numeric_attribute", 0.84, "attribute"
-    if any(w in name for w in AVERAGE_WORDS):
-        return "average_metric", 0.78, "metric"
-    low, high = column.stats.get("min"), column.stats.get("max")
-    if low is not None and high is not None and 0 <= low <= high <= 1:
-        return "percentage", 0.72, "metric"
-    return "numeric_metric", 0.7, "metric"
-
-
-def _by_values(column: Column) -> tuple[str, float, str]:
-    values = [v for v, _ in column.top]
-    for meaning, pattern, confidence in (("email", EMAIL, 0.9), ("phone", PHONE, 0.86)):
-        if values and sum(bool(pattern.fullmatch(v)) for v in values) >= max(1, len(values) // 2):
-            return meaning, confidence, "identifier"
-    if 1 <= column.distinct <= 2:
-        return "boolean", 0.72, "flag"
-    return ("categorical_dimension", 0.66, "dimension") if column.distinct else ("unknown", 0.4, "unknown")
+    words = {*name.split("_"), *(w for w in ("shirt_number", "squad_number") if w in name)}
+    return "market_value" not in name and bool(words & {*ATTRIBUTE_WORDS, "id"})
+
+
+def _share_of_values(column: Column, pattern: re.Pattern) -> float:
+    """How many of the listed values have a form, of at least two."""
+    return sum(bool(pattern.fullmatch(v)) for v, _ in column.top) / max(2, len(column.top) - len(column.top) % 2)
+
+
+def _within(column: Column, low: float, high: float) -> bool:
+    ends = [column.stats.get(k) for k in ("min", "max")]
+    return None not in ends and low <= ends[0] and ends[1] <= high
+
+
+#: Tests in order: of numeric columns, then of others; the first that holds gives meaning, confidence and role.
+NUMBER_TESTS = (
+    (_named_like_attribute, ("numeric_attribute", 0.84, "attribute")),
+    (lambda c: "market_value" not in plain(c.name) and _within(c, *YEARS), ("numeric_attribute", 0.84, "attribute")),
+    (lambda c: any(w in plain(c.name) for w in AVERAGE_WORDS), ("average_metric", 0.78, "metric")),
+    (lambda c: _within(c, 0, 1), ("percentage", 0.72, "metric")),
+    (lambda c: True, ("numeric_metric", 0.7, "metric")),
+)
+VALUE_TESTS = (
+    (lambda c: _share_of_values(c, EMAIL) >= 0.5, ("email", 0.9, "identifier")),
+    (lambda c: _share_of_values(c, PHONE) >= 0.5, ("phone", 0.86, "identifier")),
+    (lambda c: 1 <= c.distinct <= 2, ("boolean", 0.72, "flag")),
+    (lambda c: c.distinct > 0, ("categorical_dimension", 0.66, "dimension")),
+    (lambda c: True, ("unknown", 0.4, "unknown")),
+)
 
 
 def with_meaning(columns: list[Column]) -> list[Column]:
     """Set meaning, confidence and role: by name first, then by numbers or values."""
     for c in columns:
-        c.meaning, c.confidence, c.role = _by_name(c) or (_by_numbers(c) if c.numeric else _by_values(c))
+        c.meaning, c.confidence, c.role = _by_name(c) or next(found for holds, found in (NUMBER_TESTS if c.numeric else VALUE_TESTS) if holds(c))
     return columns
