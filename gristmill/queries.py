@@ -346,9 +346,13 @@ def relationship_suggestions(spark, sf_dir):
     return spark.createDataFrame(rows, "type string, confidence double, columns array<string>, files array<string>")
 
 
-@query()
+CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) + (count(*) > count({c}))::INTEGER AS unique_count FROM customer" for c, t in CUSTOMER_TYPES.items()))
 def frame_profile(spark, sf_dir):
-    return profile.frame_profile(read(spark, sf_dir, "customer"))
+    """Without the sample values, which are any of a column's."""
+    return profile.frame_profile(read(spark, sf_dir, "customer")).drop("sample_values")
 
 
 @query()
@@ -402,11 +406,24 @@ def ask_lowest(spark, sf_dir):
     return analysis.ask(d, "lowest market segments by account balance").withColumn("total", F.round("total", 2))
 
 
-@query()
+_ODD_MEASURES = ["o_orderkey", "o_custkey", "o_totalprice"]
+_ODD_SQL = (
+    "WITH s AS (" + _each(_ODD_MEASURES, "SELECT '{c}' AS column_name, date_trunc('month', o_orderdate) AS p, sum({c})::DOUBLE AS v FROM orders WHERE o_orderdate IS NOT NULL AND {c} IS NOT NULL GROUP BY 2") + "), "
+    "z AS (SELECT column_name, p, v, avg(v) OVER w AS mean, stddev_samp(v) OVER w AS dev FROM s WINDOW w AS (PARTITION BY column_name)), "
+    "months AS (SELECT *, abs((v - mean) / dev) AS score, row_number() OVER (PARTITION BY column_name ORDER BY abs((v - mean) / dev) DESC, p) AS place FROM z WHERE dev > 0 AND abs((v - mean) / dev) >= 2.5), "
+    "d AS (" + _each(_ODD_MEASURES, "SELECT '{c}' AS column_name, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS dev, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM orders") + "), "
+    "far AS (SELECT *, CASE WHEN high - mean >= mean - low THEN high ELSE low END AS v FROM d WHERE dev > 0), "
+    "every AS (SELECT 'monthly' AS type, column_name, v, mean, score FROM months WHERE place <= 2 UNION ALL SELECT 'distribution', column_name, v, mean, abs((v - mean) / dev) FROM far WHERE abs((v - mean) / dev) >= 3) "
+    "SELECT type, column_name, round(v, 2) AS value, round(mean, 2) AS expected, round(score, 4) AS score FROM every ORDER BY every.score DESC LIMIT 8"
+)
+
+
+@query(_ODD_SQL)
 def anomaly_report(spark, sf_dir):
     d = read(spark, sf_dir, "orders")
     rows = [(a["type"], a["column"], float(a["value"]), float(a["expected"]), float(a["score"])) for a in analysis.anomalies(d, analysis.describe(d)[0])]
-    return spark.createDataFrame(rows, "type string, column_name string, value double, expected double, score double")
+    found = spark.createDataFrame(rows, "type string, column_name string, value double, expected double, score double")
+    return found.select("type", "column_name", F.round("value", 2).alias("value"), F.round("expected", 2).alias("expected"), F.round("score", 4).alias("score"))
 
 
 @query()
