@@ -10,7 +10,7 @@ ways). Masses are whole numbers out of UNITS, and each edge's share is rounded d
 don't depend on the order of rows and reruns agree.
 
 Defined cases: a null url and one without ``://`` have an empty host and path; an empty host has no
-links and gets "allow". A null page is a page without links; null ids and repeated rows are rows
+links and gets "allow". More than MAX_RULES rules are refused: they are compiled into one expression. A null page is a page without links; null ids and repeated rows are rows
 like others (a repeated page counts its links and seeds twice). Extra columns are ignored.
 """
 

@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 
@@ -5,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gristmill.llm.pii import KINDS, base_spans, luhn, personal_data, wide_spans
+from gristmill.llm.pii import confident_patterns
+from gristmill.llm.workspace import Workspace
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -86,3 +89,39 @@ def test_slots_give_masked_addresses_and_grouped_numbers(spark):
 def test_wide_spans_of_long_texts_take_little_time():
     text = "a" * 200_000 + " (at) " + "9" * 200_000 + " 12" * 60_000 + " [" * 50_000 + "a@" * 50_000
     assert wide_spans(text, [])
+
+
+def test_graph_scores_match_a_plain_version(spark):
+    """Confidences after three rounds, against dictionaries."""
+    from math import exp, log
+
+    r = random.Random(6)
+    kinds = ("email", "phone")
+    rows = set()
+    for i in range(60):
+        seed, kind = r.random() < 0.5, r.choice(kinds)
+        for p in r.sample(range(8), r.randint(1, 3)):
+            rows.add((kind if seed or r.random() < 0.8 else None, seed, f"i{i}", f"p{p if kind == 'email' else p // 2}"))
+    found = spark.createDataFrame(sorted(rows, key=str), "kind string, seed boolean, instance string, pattern string")
+    got = {(x.pattern, x.kind): x.confidence for x in confident_patterns(Workspace(spark), found, 3, 1.0, 0.2).collect()}
+
+    edges: dict = {}
+    for _, seed, i, p in rows:
+        edges[p, i] = edges.get((p, i), False) or seed
+    seeds = {(i, k): 1.0 for k, seed, i, _ in rows if seed}
+    shapes = {(i, k) for k, seed, i, _ in rows if not seed and k and i not in {x for x, _ in seeds}}
+    wide = {p: sum(q == p for q, _ in edges) for p, _ in edges}
+    mass = dict(seeds)
+    for _ in range(3):
+        patterns = {}
+        for p in wide:
+            for k in kinds:
+                m = sum(mass.get((i, k), 0) for q, i in edges if q == p)
+                if m >= 1.0 and m / (wide[p] + 1) >= 0.2:
+                    patterns[p, k] = m / (wide[p] + 1)
+        mass = dict(seeds)
+        for i, k in shapes:
+            doubts = [log(1 - min(c, 0.999)) for (p, kind), c in patterns.items() if kind == k and (p, i) in edges and not edges[p, i]]
+            if doubts:
+                mass[i, k] = 1 - exp(sum(doubts))
+    assert got.keys() == patterns.keys() and all(abs(got[x] - patterns[x]) < 1e-9 for x in got) and len(got) >= 4
