@@ -38,15 +38,15 @@ def as_rows(one: DataFrame, structs: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.col(s) for s in structs])).alias("r")).select("r.*")
 
 
-#: Accuracy of the sketches that bracket ranks, and distinct values in all brackets that are ranked at last.
-ACCURACY, MOST_RANKED = 10_000, 200_000
+#: Accuracy of the sketches that bracket ranks, and values in all brackets that are ranked at last.
+ACCURACY, MOST_RANKED = 1_000, 200_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...], nearest: bool = False) -> dict[str, list[float | None]]:
     """Exact quantiles of each column: interpolated between ranks, or of the nearest rank (halves to even).
 
     One sketch a column brackets all its ranks. Passes over the table count what lies below and inside
-    the brackets and narrow them by sketches of the inside, until few values are left to rank.
+    the brackets and narrow them by sketches of the inside, until few values, or few tied ones, are left.
     """
     columns = list(dict.fromkeys(columns))
     if not columns or not probabilities:
@@ -62,27 +62,32 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[floa
                 at = (facts[c]["n"] - 1) * p
                 ranks[c, k] = (round(at),) * 2 if nearest else (math.floor(at), math.ceil(at))
                 brackets[c, k] = tuple(facts[c]["sides"][2 * k : 2 * k + 2])
+    before = None
     while brackets:
         keys = list(brackets)
         inside = {key: F.when(value[key[0]].between(*brackets[key]), value[key[0]]) for key in keys}
-        counts = df.agg(*[F.struct(F.count_if(value[key[0]] < brackets[key][0]).alias("below"), F.count(inside[key]).alias("inside"), F.approx_count_distinct(inside[key], 0.05).alias("distinct")).alias(f"k{i}") for i, key in enumerate(keys)]).first()
+        counts = df.agg(*[F.struct(F.count_if(value[key[0]] < brackets[key][0]).alias("below"), F.count(inside[key]).alias("inside")).alias(f"k{i}") for i, key in enumerate(keys)]).first()
         found = {key: counts[f"k{i}"] for i, key in enumerate(keys)}
         missed = [key for key in keys if found[key]["below"] > ranks[key][0] or found[key]["below"] + found[key]["inside"] <= ranks[key][1]]
         for key in missed:  # the sketch was off; take the whole range
             brackets[key] = facts[key[0]]["low"], facts[key[0]]["high"]
         if missed:
             continue
-        if sum(found[key]["distinct"] for key in keys) <= MOST_RANKED:
+        for key in [key for key in keys if brackets[key][0] == brackets[key][1]]:  # one value holds both ranks
+            known[key, 0] = known[key, 1] = brackets.pop(key)[0]
+        keys = list(brackets)
+        if sum(found[key]["inside"] for key in keys) <= MOST_RANKED or brackets == before:  # or only a few tied values are left
             below = {key: found[key]["below"] for key in keys}
             break
         shares = {key: [min(1.0, max(0.0, (r - found[key]["below"]) / found[key]["inside"] + side)) for r, side in zip(ranks[key], (-margin, margin), strict=True)] for key in keys}
         row = df.agg(*[F.percentile_approx(inside[key], shares[key], ACCURACY).alias(f"k{i}") for i, key in enumerate(keys)]).first()
-        brackets = {key: tuple(row[f"k{i}"]) for i, key in enumerate(keys)}
+        before, brackets = brackets, {key: tuple(row[f"k{i}"]) for i, key in enumerate(keys)}
     if brackets:
         each = [F.when(value[c].between(*brackets[c, k]), F.struct(F.lit(i).alias("i"), value[c].alias("v"))) for i, (c, k) in enumerate(brackets)]
-        grouped = df.select(F.explode(F.array_compact(F.array(*each))).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
+        some = reduce(lambda a, b: a | b, [value[c].between(*ends) for (c, _), ends in brackets.items()])
+        grouped = df.filter(some).select(F.explode(F.array_compact(F.array(*each))).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
         keys, last = list(brackets), {}
-        for r in grouped.orderBy("i", "v").toLocalIterator():  # MOST_RANKED rows or little more
+        for r in grouped.orderBy("i", "v").toLocalIterator():  # MOST_RANKED rows, or the tied values
             key = keys[r["i"]]
             low = last.get(key, below[key])
             last[key] = low + r["n"]
