@@ -191,8 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     total = sum(used.values())
 
     def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        parts = rows.mapInArrow(_slopes((x[:-1] * ratios).astype(np.float32), float(x[-1]), share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
-        by_place = sum(np.frombuffer(p["by_place"]) for p in parts) * ratios / total + penalty * x[:-1]
+        parts = rows.coalesce(FIT_TASKS).mapInArrow(_slopes((x[:-1] * ratios).astype(np.float32), float(x[-1]), share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
+        by_place = np.zeros(1 << FEATURE_BITS)
+        for p in parts:
+            by_place += np.frombuffer(p["by_place"])
+        by_place = by_place * ratios / total + penalty * x[:-1]
         return sum(p["loss"] for p in parts) / total + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_place, sum(p["by_bias"] for p in parts) / total)
 
     found = minimised(slope, np.append(np.zeros(1 << FEATURE_BITS), base), steps)
