@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .pii import KINDS as PII_KINDS
 from .pii import personal_data
 from .quality import quality
+from .resampling import resampled
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secrets
 from .token_counts import token_counts
@@ -139,6 +140,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 by its rule: 256 steps of the reflected polynomial, then a word's bytes one by one.
+OP11_SQL = """
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) ORDER BY i) AS steps
+    FROM range(256) r(i)
+), texts AS (
+    SELECT 'd' AS side, doc_id, row_number() OVER () AS place, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    UNION ALL
+    SELECT 'b', NULL, row_number() OVER (), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), split AS (
+    SELECT side, doc_id, place, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts
+), features AS (
+    SELECT side, place, word, count(*) AS n FROM (SELECT side, place, unnest(words) AS word FROM split) GROUP BY ALL
+), hashed AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(word)), lambda k: ('0x' || substr(hex(encode(word)), (2 * k + 1)::INTEGER, 2))::BIGINT)),
+                                 lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM features), crc_table
+), sums AS (
+    SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM features JOIN hashed USING (word) GROUP BY bucket
+), sizes AS (
+    SELECT count(*) FILTER (side = 'd') AS all_s, count(*) FILTER (side = 'b') AS all_t FROM (SELECT side, unnest(words) FROM split)
+), gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM sums, sizes
+), weights AS (
+    SELECT place, sum(n * gain)::BIGINT AS total, sum(n)::BIGINT AS features
+    FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY place
+), scored AS (
+    SELECT doc_id, coalesce(features, 0) AS n_features,
+           CASE WHEN features > 0 THEN (total - ((total % features) + features) % features) // features ELSE 0 END AS weight,
+           ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM split LEFT JOIN weights USING (place) WHERE side = 'd'
+), noisy AS (
+    SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST) AS turn,
+           count(*) FILTER (n_features >= 20) OVER () AS n
+    FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND turn <= 10 * n // 100 THEN turn END AS rank FROM placed
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -150,9 +198,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_curriculum_mix": OP4_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
