@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clusters import CLUSTERS, ROUNDS, centroid_clusters
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .mixing import curriculum_mix
@@ -187,6 +188,31 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND turn <=
 """
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(read(spark, sf_dir, "embeddings"))
+
+
+def clustering_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
+    """Every round as two CTEs: the nearest centroid of each vector over all centroids, and the centroids after it."""
+    away = "list_sum(list_transform(range(1, 65), lambda j: (v[j] - p[j]) * (v[j] - p[j])))::BIGINT"
+    parts = [
+        "scaled AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "vectors AS (SELECT row_number() OVER () AS place, vec_id, v::BIGINT[] AS v FROM scaled)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS number, v AS p FROM vectors ORDER BY number LIMIT {clusters})",
+    ]
+    for turn in range(rounds + 1):
+        parts.append(f"a{turn} AS (SELECT place, vec_id, v, min(struct_pack(away := {away}, number := number)) AS near FROM vectors, c{turn} GROUP BY place, vec_id, v)")
+        if turn < rounds:
+            parts.append(f"m{turn} AS (SELECT number, list((total - ((total % n) + n) % n) // n ORDER BY j)::BIGINT[] AS p FROM (SELECT near.number AS number, j, sum(v[j])::BIGINT AS total, count(*) AS n FROM a{turn}, range(1, 65) r(j) GROUP BY ALL) GROUP BY number)")
+            parts.append(f"c{turn + 1} AS (SELECT c.number, coalesce(m.p, c.p) AS p FROM c{turn} c LEFT JOIN m{turn} m ON c.number = m.number)")
+    return "WITH " + ",\n".join(parts) + f"""
+    SELECT vec_id, near.number::INTEGER AS cluster, near.away AS distance, sum(near.away) OVER (PARTITION BY near.number)::BIGINT AS cluster_inertia,
+           sum(near.away) OVER ()::BIGINT AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} c ON near.number = c.number
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -199,10 +225,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_curriculum_mix": OP4_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op13_centroid_clusters": clustering_sql(),
 }
