@@ -36,7 +36,7 @@ FEATURE_BITS = 18
 PER_CLASS = 10_000
 PENALTY, STEPS = 1e-5, 25
 #: Tasks that the sample's slopes come from, a row of fixed size each, at every step.
-FIT_TASKS = 12
+FIT_TASKS = 6
 #: Texts that are added to the counts of each place, divided by the shares of the classes: what stands in few texts gets a ratio near 1.
 SMOOTHING = 100.0
 REJECT_FROM = 0.7
@@ -130,7 +130,7 @@ def _slopes(scaled: np.ndarray, bias: float, share: tuple[float, float]):
                 loss += float((each * (np.logaddexp(0, z) - label * z)).sum())
                 by_bias += float(err.sum())
                 by_place += np.bincount(places, np.repeat(err, sizes), minlength=1 << FEATURE_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_place.tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([by_bias]), pa.array([by_place.astype(np.float32).tobytes()], pa.binary())], ["loss", "by_bias", "by_place"])
 
     return slopes
 
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     counts = sample.mapInArrow(_counts, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     mean = {k: n / sum(used.values()) for k, n in used.items()}
     ratio = F.log(F.col("toxic") / F.lit(mean[1]) + SMOOTHING) - F.log(F.col("clean") / F.lit(mean[0]) + SMOOTHING)
-    known_ratios = counts.select("feature", ratio.alias("ratio")).toPandas()  # one row a place
+    known_ratios = counts.select("feature", ratio.alias("ratio")).toArrow()  # one row a place
     ratios = np.zeros(1 << FEATURE_BITS)
     ratios[known_ratios["feature"].to_numpy()] = known_ratios["ratio"].to_numpy()
     # Rows of the sample stand for the classes' shares among all labels.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         parts = rows.coalesce(FIT_TASKS).mapInArrow(_slopes((x[:-1] * ratios).astype(np.float32), float(x[-1]), share), "loss double, by_bias double, by_place binary").toArrow().to_pylist()
         by_place = np.zeros(1 << FEATURE_BITS)
         for p in parts:
-            by_place += np.frombuffer(p["by_place"])
+            by_place += np.frombuffer(p["by_place"], np.float32)
         by_place = by_place * ratios / total + penalty * x[:-1]
         return sum(p["loss"] for p in parts) / total + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_place, sum(p["by_bias"] for p in parts) / total)
 
