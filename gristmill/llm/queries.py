@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .centroid_clusters import CLUSTERS, ROUNDS, centroid_clusters
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_fingerprints
 from .mixing import curriculum_mix
 from .ngram_join import ngram_components
 from .pii import KINDS as PII_KINDS
@@ -188,6 +189,10 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND turn <=
 """
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(read(spark, sf_dir, "embeddings"))
 
@@ -225,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 

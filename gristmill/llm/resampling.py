@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, ranked
 
 #: What is no word character, after lower-casing A-Z: ASCII but 0-9 and a-z.
 GAP = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -181,16 +181,6 @@ def gumbel(row_id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def ranked(work: Workspace, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows`` with ``rank`` (1, 2, ... in ``order``), from each row's place in its range and the rows of the ranges before."""
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = work.table(sorted_rows.withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at") + 1).drop("part", "at", "start")
-
-
 def resampled(
     docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text",
     *, max_words: int = 1, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED,
