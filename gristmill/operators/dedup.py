@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType
 
 from ..functions.names import is_identifier
 from ..session import materialized
-from .ordered import ROW, with_row_number
-from .profile import col
+from .ordered import with_row_number
+from .profile import BLOCK, ROW, col, data_columns
 
 # Fixed values of the fuzzy rule.
 LEAST_RATIO, MOST_TEXT_COLUMNS = 0.94, 8
@@ -21,7 +21,12 @@ GRAM = 2
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """Of equal rows one; where rows are numbered, the first."""
+    columns = data_columns(df)
+    if len(columns) == len(df.columns):
+        return df.dropDuplicates()
+    first = df.groupBy(*[col(c) for c in columns]).agg(F.min(F.struct(ROW, BLOCK)).alias("__first"))
+    return first.select(*[col(c) for c in columns], "__first.*")
 
 
 def first_by_key(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
@@ -37,18 +42,29 @@ def fuzzy_distinct(df: DataFrame, order_by: list[str] | None = None, least_ratio
     Rows with equal texts and other columns leave first. Of the rest, near texts are found by
     ``near_pairs``, and a row goes when an earlier row that stays is near; rows without texts stay.
     """
+    return fuzzy_report(df, order_by, least_ratio)[0]
+
+
+def fuzzy_report(df: DataFrame, order_by: list[str] | None = None, least_ratio: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``fuzzy_distinct`` keeps, and (dropped_row, matched_row, text) of the others; rows count from 0 in their order."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and not is_identifier(f.name)][:MOST_TEXT_COLUMNS]
     if not texts:
-        return df
-    others = [c for c in df.columns if c not in texts]
+        return df, df.sparkSession.createDataFrame([], "dropped_row long, matched_row long, text string")
+    others = [c for c in data_columns(df) if c not in texts]
     plain = [F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " ")) for c in texts]
     text = F.concat_ws(" | ", *[F.when(p != "", p) for p in plain])
     exact = F.md5(F.concat_ws("|", *[F.coalesce(F.lower(F.trim(col(c).cast("string"))), F.lit("<null>")) for c in others], F.lit("")).cast("binary"))
     rows = materialized(with_row_number(df, order_by).withColumn("__text", text).withColumn("__exact", exact))
     nodes = materialized(rows.filter("__text <> ''").groupBy("__exact", "__text").agg(F.min(ROW).alias("node")).toDF("block", "text", "node"))
-    dropped = _after_kept(near_pairs(nodes, least_ratio))
-    stay = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(ROW), F.lit(True).alias("__stays"))
-    return rows.join(stay, ROW, "left").filter("__stays OR __text = ''").select(*[col(c) for c in df.columns])
+    pairs = near_pairs(nodes, least_ratio)
+    dropped = _after_kept(pairs)
+    near = pairs.join(dropped.withColumnRenamed("node", "later"), "later", "left_semi").join(dropped.withColumnRenamed("node", "earlier"), "earlier", "left_anti")
+    near = near.groupBy(F.col("later").alias("node")).agg(F.min("earlier").alias("kept"))
+    # Each text's first row, and the row that stands for it.
+    stands = materialized(nodes.join(near, "node", "left").select(F.col("block").alias("__exact"), F.col("text").alias("__text"), "node", F.coalesce("kept", "node").alias("kept")))
+    marked = rows.join(stands, ["__exact", "__text"], "left")
+    gone = marked.filter(F.col(ROW) != F.col("kept")).select(F.col(ROW).alias("dropped_row"), F.col("kept").alias("matched_row"), F.col("__text").alias("text"))
+    return marked.filter((F.col(ROW) == F.col("kept")) | F.col("kept").isNull()).select(*[col(c) for c in df.columns]), gone
 
 
 def near_pairs(nodes: DataFrame, least_ratio: float) -> DataFrame:
@@ -80,17 +96,27 @@ def near_pairs(nodes: DataFrame, least_ratio: float) -> DataFrame:
     return materialized(both.select("later", "earlier", "a", "b").mapInArrow(verified, "later long, earlier long"))
 
 
+#: Pairs that are decided at once on the driver; with more, a round of Spark jobs first decides those that can be.
+FEW_PAIRS = 200_000
+
+
 def _after_kept(pairs: DataFrame) -> DataFrame:
-    """The nodes with an earlier near one that stays: rounds that decide all nodes without undecided earlier ones."""
-    dropped = pairs.select(F.col("later").alias("node")).limit(0)
-    while not pairs.isEmpty():
+    """The nodes with an earlier near one that stays: rounds that decide all nodes without undecided earlier ones, until few pairs are left."""
+    spark = pairs.sparkSession
+    dropped = spark.createDataFrame([], "node long")
+    while pairs.count() > FEW_PAIRS:
         stay = pairs.select(F.col("earlier").alias("node")).distinct().join(pairs.select(F.col("later").alias("node")), "node", "left_anti")
         gone = materialized(pairs.join(stay, pairs["earlier"] == stay["node"], "left_semi").select(F.col("later").alias("node")).distinct())
-        dropped = dropped.union(gone)
+        dropped = materialized(dropped.union(gone))
         for end in ("later", "earlier"):
             pairs = pairs.join(gone.withColumnRenamed("node", end), end, "left_anti")
+        # What has only earlier ones that went, or none, stays and decides in the next round.
         pairs = materialized(pairs)
-    return dropped
+    rest: set[int] = set()
+    for later, earlier in sorted(zip(*(c.to_pylist() for c in pairs.select("later", "earlier").toArrow().columns), strict=True)):
+        if earlier not in rest:
+            rest.add(later)
+    return dropped.union(spark.createDataFrame([(n,) for n in sorted(rest)], "node long"))
 
 
 def _ratio(a: str, b: str, least: float) -> bool:

@@ -48,9 +48,9 @@ def fences(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[f
     return out
 
 
-def cap_outliers(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, tuple[float, float, float, float]]]:
+def cap_outliers(df: DataFrame, columns: list[str] | None = None, known: dict | None = None) -> tuple[DataFrame, dict[str, tuple[float, float, float, float]]]:
     """Values outside the fences replaced, and the fences used; capped columns become doubles."""
-    known = fences(df, columns)
+    known = fences(df, columns) if known is None else known
     changed = {}
     for c, (low, high, least, most) in known.items():
         v = col(c).cast("double")
@@ -58,7 +58,8 @@ def cap_outliers(df: DataFrame, columns: list[str] | None = None) -> tuple[DataF
     return df.withColumns(changed) if changed else df, known
 
 
-def exclude_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows whose values are all inside the fences or null."""
-    tests = [col(c).isNull() | col(c).between(low, high) for c, (low, high, _, _) in fences(df, columns).items()]
+def exclude_outliers(df: DataFrame, columns: list[str] | None = None, known: dict | None = None) -> DataFrame:
+    """Rows whose values are all inside the fences (``known`` or computed) or null."""
+    known = fences(df, columns) if known is None else known
+    tests = [col(c).isNull() | col(c).between(low, high) for c, (low, high, _, _) in known.items()]
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df

@@ -19,10 +19,19 @@ TOP_VALUES, TOP_VALUES_UP_TO, LEAST_CORRELATION = 10, 50, 0.3
 PAIRS_AT_ONCE = 200
 
 
+#: Columns that carry the row order through a chain of steps; no step takes them for data.
+BLOCK, ROW = "__block", "__row"
+
+
+def data_columns(df: DataFrame) -> list[str]:
+    """All columns but those of the row order."""
+    return [c for c in df.columns if c not in (BLOCK, ROW)]
+
+
 def columns_of(df: DataFrame, kind: str) -> list[str]:
     """Names of the "numeric", "temporal" or "categorical" (other) columns, in order."""
     temporal = (DateType, TimestampType, TimestampNTZType)
-    return [f.name for f in df.schema.fields if kind == ("numeric" if isinstance(f.dataType, NumericType) else "temporal" if isinstance(f.dataType, temporal) else "categorical")]
+    return [f.name for f in df.schema.fields if f.name not in (BLOCK, ROW) and kind == ("numeric" if isinstance(f.dataType, NumericType) else "temporal" if isinstance(f.dataType, temporal) else "categorical")]
 
 
 def col(name: str) -> Column:

@@ -11,16 +11,19 @@ from pyspark.sql.types import StringType
 from ..functions import names as N
 from ..functions import text as T
 from ..operators.categories import canonical_categories
-from ..operators.dedup import exact_distinct, fuzzy_distinct
+from ..operators.dedup import exact_distinct, fuzzy_report
 from ..operators.missing import drop_empty, fill_missing
-from ..operators.outliers import cap_outliers, exclude_outliers
-from ..operators.profile import col
-from ..session import materialized
+from ..operators.ordered import with_row_number
+from ..operators.outliers import cap_outliers, exclude_outliers, fences
+from ..operators.profile import BLOCK, ROW, col
+from ..session import counted, materialized
 
 # Shares of a column's values that must read as dates or numbers.
 DATE_SHARE, NUMBER_SHARE = 0.7, 0.85
 #: Changes of spelling that the report lists, the commonest first; it tells their number.
 LISTED_CHANGES = 100
+#: Rows dropped as near copies that the report lists.
+LISTED_EXAMPLES = 5
 
 
 @dataclass(frozen=True)
@@ -96,15 +99,18 @@ def parse_numbers(df: DataFrame, strict: bool = False) -> tuple[DataFrame, list[
     return (df.withColumns(changed) if changed else df), report
 
 
-def clean(df: DataFrame, options: CleaningOptions | None = None, order_by: list[str] | None = None) -> tuple[DataFrame, dict]:
+def clean(df: DataFrame, options: CleaningOptions | None = None, order_by: list[str] | None = None, row_column: str | None = None) -> tuple[DataFrame, dict]:
     """Names, text, empties, dates, numbers, missing values, duplicates, outliers, categories, in this order; with a report.
 
     Every step that decides by the data is preceded by a written table, so that its input isn't
-    computed again for each decision. ``order_by`` gives the row order that filling and fuzzy
-    deduplication follow; without it rows keep the order in which they are read.
+    computed again for each decision. ``order_by`` gives the row order that filling and both
+    deduplications follow; without it that is the order of the rows in the files that ``df`` reads, which are
+    numbered first and carry their numbers through all steps. ``row_column`` keeps the numbers
+    under that name, ascending in the order of the rows. The report's counts come with the writes that happen anyway.
     """
     o = options or CleaningOptions()
-    report: dict = {"rows_before": df.count(), "columns_before": len(df.columns), "steps": []}
+    report: dict = {"columns_before": len(df.columns), "steps": []}
+    rows = {"rows": F.count(F.lit(1))}
     if o.standardize_columns:
         new = N.standard_names(df.columns)
         report["renamed"] = {a: b for a, b in zip(df.columns, new, strict=True) if a != b}
@@ -115,7 +121,8 @@ def clean(df: DataFrame, options: CleaningOptions | None = None, order_by: list[
     if o.clean_text and _texts(df):
         df = df.withColumns({c: T.without_missing(col(c)) for c in _texts(df)})
         report["steps"].append("clean_text")
-    df = materialized(df)
+    df = with_row_number(df, order_by)
+    report["rows_before"] = df.count()
     if o.drop_empty:
         df = drop_empty(df)
         report["steps"].append("drop_empty")
@@ -125,25 +132,49 @@ def clean(df: DataFrame, options: CleaningOptions | None = None, order_by: list[
     if o.parse_currency_percent:
         df, report["numbers"] = parse_numbers(df)
         report["steps"].append("parse_currency_percent")
+    df, seen = counted(df, rows)
+    df = materialized(df)
+    report["empty_rows_dropped"] = report["rows_before"] - seen.get["rows"]
+    kept = seen.get["rows"]
     if o.missing_data_strategy == "smart":
-        df, report["missing"] = fill_missing(materialized(df), order_by)
+        df, report["missing"] = fill_missing(df)
         report["steps"].append("missing_values")
+    df, filled = counted(df, rows)
     if o.remove_duplicates:
         df = exact_distinct(df)
         report["steps"].append("remove_duplicates")
+    df, distinct = counted(df, rows)
     df = materialized(df)
+    report["rows_without_measures_dropped"] = kept - filled.get["rows"]
+    report["duplicates_removed"] = filled.get["rows"] - distinct.get["rows"]
+    kept = distinct.get["rows"]
     if o.fuzzy_deduplicate:
-        df = materialized(fuzzy_distinct(df, order_by))
+        df, gone = fuzzy_report(df)
+        df, near = counted(df, rows)
+        df = materialized(df)
+        examples = gone.orderBy("dropped_row").limit(LISTED_EXAMPLES).collect()
+        report["fuzzy"] = {"removed_rows": kept - near.get["rows"], "examples": [r.asDict() for r in examples]}
+        kept = near.get["rows"]
         report["steps"].append("fuzzy_deduplicate")
-    if o.outlier_policy == "cap":
-        df, report["fences"] = cap_outliers(df)
-    elif o.outlier_policy == "exclude":
-        df = exclude_outliers(df)
+    capped = None
+    if o.outlier_policy != "keep":
+        known = fences(df)
+        outside = {c: F.count_if((col(c) < low) | (col(c) > high)) for c, (low, high, _, _) in known.items()}
+        if known:
+            df, capped = counted(df, {f"c{i}": x for i, x in enumerate(outside.values())})
+        df = cap_outliers(df, known=known)[0] if o.outlier_policy == "cap" else exclude_outliers(df, known=known)
+        report["steps"].append(f"{o.outlier_policy}_outliers")
     if o.semantic_categorical_merging:
         df, mapping = canonical_categories(df)
         report["categories"], report["category_changes"] = {}, mapping.count() if mapping is not None else 0
         for r in mapping.orderBy(F.col("rows").desc(), "column_name", "value").limit(LISTED_CHANGES).collect() if mapping is not None else ():
             report["categories"].setdefault(r.column_name, {})[r.value] = r.canonical
         report["steps"].append("semantic_categorical_merging")
-    report |= {"rows_after": df.count(), "columns_after": len(df.columns)}
+    df, last = counted(df, rows)
+    df = materialized(df)
+    if capped is not None:
+        by_column = {c: capped.get[f"c{i}"] for i, c in enumerate(outside)}
+        report["outliers"] = {"policy": o.outlier_policy, "fences": known, "values_outside": by_column, "rows_excluded": kept - last.get["rows"]}
+    df = df.withColumnRenamed(ROW, row_column).drop(BLOCK) if row_column else df.drop(ROW, BLOCK)
+    report |= {"rows_after": last.get["rows"], "columns_after": len(df.columns) - bool(row_column)}
     return df, report

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(name: str = "gristmill", master: str | None = None) -> SparkSession:
@@ -25,7 +25,8 @@ def build_session(name: str = "gristmill", master: str | None = None) -> SparkSe
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
 
-    It cuts lineage and fixes the order and the partitions of rows; a lost executor loses nothing.
+    It cuts lineage; a lost executor loses nothing. Rows come back in another order and in other partitions,
+    as Spark packs files by their sizes: what depends on the order must carry it (``with_row_number``).
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,3 +41,9 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that come for free with its next write: ``observation.get`` has them by name."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in facts.items()]), seen

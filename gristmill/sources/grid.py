@@ -1,6 +1,7 @@
 """Delimited text as a grid of cells: encoding, delimiter, header row, numbers.
 
-Only the head of a file is looked at on the driver; all rows are read by Spark.
+Only the head of a file is looked at on the driver, for its encoding and delimiter; rows are cut and
+parsed by all tasks (``scan``), and headers are found for each file.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import statistics
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from ..functions.names import unique_names
-from ..operators.profile import col
+from ..operators.profile import BLOCK, ROW, col
+from ..session import materialized
+from . import scan
 
 # How much of the head counts, the words of headers, and the weights of the header score.
 HEAD_BYTES, HEAD_LINES, HEADER_ROWS = 128_000, 30, 25
@@ -22,7 +25,6 @@ LEAST_HEADER_SCORE, LEAST_NUMERIC_SHARE = 4.0, 0.85
 HEADER_WORDS = ("name", "organisation", "organization", "count", "total", "date", "year", "month", "amount", "value", "category", "type", "status", "number", "id")
 SCORE_WEIGHTS = {"filled": 2, "header_words": 3, "next_numbers": 2, "next_filled": 1, "density": 4, "next_density": 3, "continuity": 3, "numbers": -2, "unnamed": -4, "place": -0.05}
 DELIMITERS = ",;\t|"
-SPARK_ENCODINGS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be"}
 
 
 def head_bytes(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
@@ -140,63 +142,102 @@ def cast_numeric_like(df: DataFrame) -> DataFrame:
     return df.withColumns(cast) if cast else df
 
 
-def _decoded(lines: DataFrame, encoding: str) -> DataFrame:
-    """Lines of bytes as texts of their encoding (one that Spark's own readers don't know)."""
+def _whole_file_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of files whose encoding has line breaks of several bytes, as UTF-8; a file is read by one task."""
     import pyarrow as pa
 
-    def decode(batches):
+    def lines(batches):
         for batch in batches:
-            texts = [None if v is None else v.decode(encoding, "replace") for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [x.encode() for x in re.split("\r\n|\r|\n", content.decode(encoding, "replace"))]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found)), pa.array([0] * len(found), pa.int64()), pa.array([len(content)] * len(found), pa.int64()), pa.array(found, pa.binary())], ["file", "start", "size", "value"])
 
-    return lines.mapInArrow(decode, "value string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "file string, start long, size long, value binary")
 
 
-def measured_shape(spark: SparkSession, path: str, delimiter: str, encoding: str) -> tuple[int, bool]:
-    """Over all lines: the most cells of one, and whether a quoted cell holds a line break (a line with an odd number of quotes)."""
-    if encoding.startswith(("utf-16", "utf-32")):
-        lines = spark.read.schema("line string").options(encoding=encoding, sep="\u0001", quote="").csv(path)
-    else:  # quotes and delimiters are single bytes, however the rest is decoded
-        lines = spark.read.text(path).select(F.col("value").alias("line"))
-    bare = F.regexp_replace(F.col("line"), '"([^"]|"")*"', "")
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    cells = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    width, broken = lines.agg(F.max(cells), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()
-    return width or 1, broken
+def _cells(delimiter: str, encoding: str):
+    """Task function: records to their trimmed cells, empty ones null."""
+    import pyarrow as pa
+
+    def run(batches):
+        csv.field_size_limit(1 << 62)
+        for batch in batches:
+            texts = [r.decode(encoding, "replace").replace("\0", "") for r in batch.column(3).to_pylist()]
+            # A row at a time, so that a record that Python's reader can't end stays its own.
+            rows = [next(csv.reader([t], delimiter=delimiter), []) for t in texts]
+            cells = [[c.replace("\ufeff", "").strip() or None for c in row] for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.list_(pa.string()))], ["file", "start", "seq", "cells"])
+
+    return run, "file string, start long, seq long, cells array<string>"
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, max_rows: int | None = None, multiline: bool | None = None) -> tuple[DataFrame, dict]:
-    """A delimited file as a typed table, and what was detected.
+def _layout(heads):
+    """Of one file: the row of its header in the file (-1: none), and the names."""
+    import pandas as pd
 
-    ``header`` False keeps ``column_1``...; None looks for the header row. Ragged rows are padded to
-    the widest of all rows, empty cells are null. Cells with line breaks are read where quotes show
-    them, or as ``multiline`` says; a file is then read by one task. ``max_rows`` caps the rows read.
+    rows = [list(r) for r in heads.sort_values("row_in_file")["cells"]]
+    wide = max((k for r in rows for k, c in enumerate(r, 1) if c is not None), default=0)  # wider rows further down don't count
+    grid = [(r + [None] * wide)[:wide] for r in rows]
+    at = find_header(grid)
+    return pd.DataFrame([(heads["file"].iloc[0], -1 if at is None else at, grid[at] if at is not None else None, grid)], columns=["file", "at", "header", "grid"])
+
+
+def layouts(rows: DataFrame) -> list[dict]:
+    """By file, in the order of paths: the row of the header, and the names of all its columns.
+
+    Each file's first rows are judged apart. A file without a header of its own, but with a row that is
+    another file's header, has it there; one without any takes the names of the others where these all
+    agree, else numbers. A row a file reaches the driver, with the rows looked at.
+    """
+    heads = rows.filter(F.col("row_in_file") < HEADER_ROWS + 7).select("file", "row_in_file", "cells")
+    found = heads.groupBy("file").applyInPandas(_layout, "file string, at int, header array<string>, grid array<array<string>>")
+    widths = rows.groupBy("file").agg(F.max(F.size("cells")).alias("width"))
+    files = found.join(widths, "file").orderBy("file").collect()
+    known = {tuple(f.header) for f in files if f.header}
+    out = []
+    for f in files:
+        at, cells = f.at, f.header
+        if cells is None and known:
+            held = {k: tuple(r) for k, r in enumerate(f.grid[:HEADER_ROWS])}
+            at = next((k for k, r in held.items() if r in known), -1)
+            cells = held[at] if at >= 0 else next(iter(known)) if len(known) == 1 and f.width <= len(next(iter(known))) else None
+        names = header_names([*(cells or []), *[None] * max(0, f.width - len(cells or []))])
+        out.append({"file": f.file, "at": at, "names": names})
+    return out
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, max_rows: int | None = None, numbered: bool = False) -> tuple[DataFrame, dict]:
+    """A delimited file, or a folder of them, as a typed table, and what was detected.
+
+    Byte ranges of a file are read by different tasks, also where quoted cells hold line breaks.
+    ``header`` False keeps ``column_1``...; None looks for the header row of each file. Columns of
+    one name line up, whatever their order in the files; a column that a file lacks is null there, and a
+    column's type comes from the values of all files. Ragged rows are padded to the widest row,
+    empty cells are null. ``max_rows`` caps the rows read, the first ones. ``numbered`` adds ``__row`` and
+    ``__block``, the order of the rows, which ``clean`` follows.
     """
     head = head_bytes(spark, path)
     encoding = encoding or detect_encoding(head)
     text = head.decode(encoding, "replace").lstrip("\ufeff")
     delimiter = delimiter or detect_delimiter(text, "\t" if path.lower().endswith((".tsv", ".tsv.gz")) else ",")
-    width, broken = measured_shape(spark, path, delimiter, encoding)
-    multiline = (broken if multiline is None else multiline) and encoding in SPARK_ENCODINGS
-    options = {"sep": delimiter, "header": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": multiline, "maxColumns": 1_000_000}
-
-    def grid(columns: int) -> DataFrame:
-        schema = StructType([StructField(f"column_{k}", StringType()) for k in range(1, columns + 1)])
-        if encoding in SPARK_ENCODINGS:
-            return spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
-        lines = _decoded(spark.read.text(path).select(F.col("value").cast("binary")), encoding)  # line by line from the bytes
-        return lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter}).alias("r")).select("r.*")
-
-    while multiline:  # a row may have more cells than any of its lines: widen until the last columns stay empty
-        spare = width + 8
-        used = [i for i, n in enumerate(grid(width + spare).agg(*[F.count(f"column_{k}") for k in range(1, width + spare + 1)]).first(), 1) if n]
-        width, more = max([1, *used]), bool(used) and used[-1] > width + spare - 8
-        if not more:
-            break
-    raw = grid(width)
-    cells = raw.select(*[F.nullif(F.trim(F.replace(col(c), F.lit("\ufeff"), F.lit(""))), F.lit("")).alias(c) for c in raw.columns])
+    wide_breaks = encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32"))
+    lines = _whole_file_lines(spark, path, encoding) if wide_breaks else scan.pieces(spark, path)
+    step = scan.line_step(delimiter)
+    found = scan.records(lines, step, scan.cut_lines(step), "\n")
+    rows = scan.numbered(materialized(found.mapInArrow(*_cells(delimiter, "utf-8" if wide_breaks else encoding))))
+    files = layouts(rows) if header is not False else [{"file": r.file, "at": -1, "names": header_names([None] * r.width)} for r in rows.groupBy("file").agg(F.max(F.size("cells")).alias("width")).orderBy("file").collect()]
+    names = list(dict.fromkeys(n for f in files for n in f["names"]))
+    kinds = list(dict.fromkeys((f["at"], tuple(f["names"])) for f in files))
+    if len(kinds) > 1:  # a row a file
+        told = spark.createDataFrame([(f["file"], kinds.index((f["at"], tuple(f["names"])))) for f in files], "file string, kind int")
+        rows = rows.join(F.broadcast(told), "file")
+        at = F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), F.col("kind") + 1)
+        place = lambda n: F.element_at(F.array(*[F.lit(k[1].index(n) if n in k[1] else -1) for k in kinds]), F.col("kind") + 1)
+        cell = lambda n: F.when(place(n) >= 0, F.get("cells", place(n)))
+    else:
+        at, cell = F.lit(kinds[0][0] if kinds else -1), lambda n: F.get("cells", F.lit(kinds[0][1].index(n)))
+    table = rows.filter(F.col("row_in_file") > at).select(*[cell(n).alias(n) for n in names], BLOCK, ROW).dropna("all", subset=names or None)
     if max_rows:
-        cells = cells.limit(max_rows)
-    numbered = cells.withColumn("__row", F.monotonically_increasing_id())
-    table = promote_header(numbered, "__row") if header is not False else cells.dropna("all")
-    return cast_numeric_like(table), {"type": "delimited", "encoding": encoding, "delimiter": delimiter, "header_scan_rows": HEADER_ROWS, "multiline": multiline}
+        table = table.orderBy(ROW).limit(max_rows)
+    table = cast_numeric_like(table)
+    return table if numbered else table.drop(BLOCK, ROW), {"type": "delimited", "encoding": encoding, "delimiter": delimiter, "header_scan_rows": HEADER_ROWS, "files": len(files), "headers": len({k[1] for k in kinds})}

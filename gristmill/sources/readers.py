@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import MapType, VariantType
 
 from .grid import read_delimited
+from .json_text import read_json
 from .xlsx import read_workbook
 
 FORMATS = ("csv", "tsv", "xlsx", "json", "parquet")
@@ -21,7 +22,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, max_row
     if fmt == "xlsx":
         df, info = read_workbook(spark, path), {"type": "workbook"}
     elif fmt == "json":
-        df, info = spark.read.json(path, multiLine=options.pop("multiLine", True)), {"type": "json"}
+        return read_json(spark, path, max_rows=max_rows, **options)
     elif fmt == "parquet":
         df, info = spark.read.parquet(path), {"type": "parquet"}
     else:
@@ -38,7 +39,7 @@ def write_outputs(df: DataFrame, parquet_path: str | None = None, csv_path: str
     if csv_path:
         nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct") or isinstance(f.dataType, (MapType, VariantType))]
         flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
-        flat.write.mode("overwrite").option("header", True).csv(csv_path)
+        flat.write.mode("overwrite").options(header=True, escape='"').csv(csv_path)  # quotes are doubled, as other readers expect
 
 
 def profile_json(document: dict) -> str:

@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from gristmill.operators import categories, dedup, missing, outliers
+from gristmill.operators import categories, dedup, missing, ordered, outliers
 from gristmill.plans.clean import CleaningOptions, clean, normalize_dates, parse_numbers
 
 PLAIN = dict(remove_duplicates=False, semantic_categorical_merging=False)
@@ -144,3 +145,61 @@ def test_clean_is_idempotent_and_total(spark):
     assert once.columns == ["name_and_co", "amount_pct"]
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect())) == [("a", 1.0), ("b", 2.0)]
     assert clean(df.limit(0))[0].count() == 0
+
+
+def test_rows_keep_the_order_of_their_files(spark, tmp_path):
+    """Files of very different sizes, which Spark reads largest first: numbers and filling follow paths and rows."""
+    for k, n in enumerate((20, 60_000, 20_000)):
+        part = [(k * 1_000_000 + i, k * 1_000_000 + i) for i in range(n)]
+        spark.createDataFrame(part, "place long, v long").selectExpr("place AS place_id", "if(v IN (19, 1000000, 1059999, 2000000), NULL, double(v)) AS v", "1D AS w", "date'2025-01-01' AS d").coalesce(1).write.option("parquet.block.size", 65_536).parquet(f"{tmp_path}/t/part={k}")
+    df = spark.read.parquet(f"{tmp_path}/t").drop("part")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        numbered = ordered.with_row_number(df.filter("place_id % 7 <> 3").select("place_id", F.lit("x").alias("y")))
+        rows = sorted((r["__row"], r.place_id, r["__block"]) for r in numbered.collect())
+        out, report = clean(df, CleaningOptions(semantic_categorical_merging=False), row_column="n")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[0] for r in rows] == list(range(len(rows))) and [r[1] for r in rows] == sorted(r[1] for r in rows) and len({r[2] for r in rows}) > 3
+    got = {r.place_id: r.v for r in out.filter("place_id IN (18, 19, 1000000, 1000001, 1059999, 2000000)").collect()}
+    step = (1000001 - 18) / 3
+    assert got[19] == pytest.approx(18 + step) and got[1000000] == pytest.approx(18 + 2 * step)
+    step = (2000001 - 1059998) / 3
+    assert got[1059999] == pytest.approx(1059998 + step) and got[2000000] == pytest.approx(1059998 + 2 * step)
+    assert [r.place_id for r in out.orderBy("n").limit(25).collect()] == [*range(20), *range(1000000, 1000005)]
+    assert report["missing"]["filled"] == [{"column": "v", "strategy": "interpolate", "cells": 4}]
+
+
+def test_order_survives_dropped_rows(spark):
+    """Numbers are made anew after rows leave, as the weights of interpolation count the rows that stay."""
+    rows = [(i, v, w) for i, (v, w) in enumerate([(10.0, 1.0), (None, None), (None, 2.0), (None, None), (40.0, 3.0)])]
+    df = spark.createDataFrame(rows, "place_id int, v double, w double").withColumn("d", F.lit(dt.date(2025, 1, 1))).repartitionByRange(3, "place_id")
+    out, report = clean(df, CleaningOptions(**PLAIN))
+    assert sorted((r.place_id, r.v) for r in out.collect()) == [(0, 10.0), (2, 25.0), (4, 40.0)]
+    assert report["rows_without_measures_dropped"] == 2 and report["missing"]["filled"] == [{"column": "v", "strategy": "interpolate", "cells": 1}]
+
+
+def test_report_counts(spark):
+    rows = [(chr(97 + i % 20) * (1 + i % 40), float(i % 40), None) for i in range(60)] + [("Blue Heron Shipping", 7.0, None), ("BLUE HERON shippign", 7.0, None), ("far", 9000.0, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "name string, amount double, nothing string").coalesce(1)
+    out, report = clean(df, CleaningOptions(fuzzy_deduplicate=True, outlier_policy="exclude", semantic_categorical_merging=False, parse_currency_percent=False))
+    assert (report["rows_before"], report["empty_rows_dropped"], report["duplicates_removed"]) == (64, 1, 20)
+    assert report["fuzzy"] == {"removed_rows": 1, "examples": [{"dropped_row": 41, "matched_row": 40, "text": "blue heron shippign"}]}
+    assert report["outliers"]["rows_excluded"] == 1 and report["outliers"]["values_outside"] == {"amount": 1}
+    assert report["rows_after"] == out.count() == 41 and "exclude_outliers" in report["steps"] and (report["columns_before"], report["columns_after"]) == (3, 2)
+    capped, report = clean(df, CleaningOptions(outlier_policy="cap", semantic_categorical_merging=False, parse_currency_percent=False))
+    assert report["outliers"]["values_outside"] == {"amount": 1} and report["outliers"]["rows_excluded"] == 0 and capped.agg({"amount": "max"}).first()[0] < 9000
+
+
+def test_chains_of_near_rows(spark, monkeypatch):
+    """A chain in which each text is near the next only: every second one goes, by rounds as on the driver."""
+    chain = ["x" * k + "a" * (40 - k) for k in range(12)]
+    df = spark.createDataFrame([(t, 1) for t in chain], "name string, size int").coalesce(1)
+    kept: list[str] = []
+    for t in chain:
+        if not any(dedup._ratio(t, k, 0.94) for k in kept):
+            kept.append(t)
+    for few in (0, 200_000):
+        monkeypatch.setattr(dedup, "FEW_PAIRS", few)
+        assert sorted(r.name for r in dedup.fuzzy_distinct(df).collect()) == sorted(kept)
+    assert 1 < len(kept) < 12

@@ -1,5 +1,7 @@
+import csv
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
@@ -33,14 +35,102 @@ def test_late_wide_rows_and_quoted_breaks(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text("Item Name,Item Count\n" + "a,1\n" * 30000 + "b,2,late\n")
     df, info = read_delimited(spark, str(path))
-    assert df.count() == 30001 and df.filter("column_3 = 'late'").count() == 1 and df.columns[:2] == ["Item Name", "Item Count"] and not info["multiline"]
+    assert df.count() == 30001 and df.filter("column_3 = 'late'").count() == 1 and df.columns[:2] == ["Item Name", "Item Count"]
     path = tmp_path / "breaks.csv"
-    path.write_text('Item Name,Item Count,Note\n"a\nb",1,x\nc,2,"y, ""z"""\nd,3,"1\n2",more\n')
+    path.write_text('Item Name,Item Count,Note\n"a\n\nb",1,x\nc,2,"y, ""z"""\nd,3,"1\n2",more\n')
     df, info = read_delimited(spark, str(path))
-    assert info["multiline"] and sorted(tuple(r)[:3] for r in df.collect()) == [("a\nb", 1.0, "x"), ("c", 2.0, 'y, "z"'), ("d", 3.0, "1\n2")]
+    assert sorted(tuple(r)[:3] for r in df.collect()) == [("a\n\nb", 1.0, "x"), ("c", 2.0, 'y, "z"'), ("d", 3.0, "1\n2")]
     assert len(df.columns) == 4 and df.filter("`column_4` = 'more'").count() == 1
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges of some hundred bytes, so that small files are read by many tasks."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_quoted_breaks_across_ranges(spark, tmp_path, small_ranges):
+    """Cells with breaks, quotes and delimiters, some longer than several ranges: rows equal those of one reader over the whole file."""
+    r = random.Random(3)
+    cell = lambda: "".join(r.choice(["a", "b", ' "', "\n", ",", "é", '5" pipe', "\r\n", " "]) for _ in range(r.choice([0, 1, 3, 30, 900 if r.random() < 0.1 else 5])))
+    rows = [[f"k{i}", cell(), str(i), cell()] for i in range(150)]
+    path = tmp_path / "t.csv"
+    with path.open("w", newline="") as f:
+        f.write("Item Name,First Note,Total Count,Second Note\n")
+        for row in rows:
+            csv.writer(f, quoting=r.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL]), lineterminator=r.choice(["\n", "\r\n"])).writerow(row)
+        f.write('last,tail 5" wide,151,"open to the end\nof the file')
+    df, info = read_delimited(spark, str(path), numbered=True)
+    with path.open(newline="") as f:
+        want = [[c.replace("\r\n", "\n").strip() or None for c in row] for row in csv.reader(f)][1:]
+    got = df.orderBy("__row").collect()
+    assert [[x["Item Name"], x["First Note"], x["Second Note"]] for x in got] == [[w[0], w[1], w[3]] for w in want] and len(want) == 151
+    assert [x["Total Count"] for x in got] == [float(w[2]) for w in want] and [x["__row"] for x in got] == list(range(1, 152))
+    assert len({x["__block"] for x in got}) > 10
+    assert [x["Item Name"] for x in read_delimited(spark, str(path), max_rows=7)[0].collect()] == [w[0] for w in want[:7]]
+
+
+def test_folders_have_a_header_in_each_file(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS order_id", "concat('name ', id, '\n\"q\"') AS customer_name", "id * 0.5 AS total_amount").repartition(4)
+    write_outputs(df, csv_path=f"{tmp_path}/out.csv")
+    back, info = read_dataset(spark, f"{tmp_path}/out.csv", fmt="csv")
+    assert info["files"] == 4 and info["headers"] == 1 and back.dtypes == [("order_id", "double"), ("customer_name", "string"), ("total_amount", "double")]
+    assert sorted(map(tuple, back.collect())) == sorted((float(i), f'name {i}\n"q"', i * 0.5) for i in range(1000))
+
+
+def test_headers_that_differ_line_up(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Customer Name,Total Count\nann,1\nbob,2\n")
+    (tmp_path / "b.csv").write_text("Report of May,\nTotal Count,Customer Name,Status\n3,cid,new\nx,dot,old\n")
+    (tmp_path / "c.csv").write_text("Customer Name,Total Count\n")
+    (tmp_path / "d.csv").write_text("")
+    df, info = read_delimited(spark, str(tmp_path), numbered=True)
+    assert df.drop("__row", "__block").columns == ["Customer Name", "Total Count", "Status"] and info["files"] == 3
+    assert [tuple(r)[:3] for r in df.orderBy("__row").collect()] == [("ann", "1", None), ("bob", "2", None), ("cid", "3", "new"), ("dot", "x", "old")]
+    plain, _ = read_delimited(spark, str(tmp_path / "a.csv"), header=False)
+    assert plain.columns == ["column_1", "column_2"] and plain.count() == 3
+    empty, _ = read_delimited(spark, str(tmp_path / "d.csv"))
+    assert empty.columns == [] or empty.count() == 0
+
+
+def test_wide_encodings(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("Customer Name;Total Count\n\"é\nß\";5\n日本;6\n".encode("utf-16"))
+    df, info = read_delimited(spark, str(tmp_path / "w.csv"))
+    assert sorted(map(tuple, df.collect())) == [("é\nß", 5.0), ("日本", 6.0)] and info["delimiter"] == ";"
+
+
+JSON_ROWS = [{"a": i, "s": s, "n": {"x": [i, {"y": "}{"}]}} for i, s in enumerate(['plain', 'br}ace', 'q"uote', 'back\\\\slash\\\\', 'é{[', ',] [', 'long ' * 90, 'new\nline', '\\"'] * 12)]
+
+
+@pytest.mark.parametrize("form", ["lines", "array", "pretty", "objects", "one line of objects", "folder"])
+def test_json_forms(spark, tmp_path, small_ranges, form):
+    texts = [json.dumps(x, ensure_ascii=False) for x in JSON_ROWS]
+    path = tmp_path / "t.json"
+    if form == "folder":
+        path.mkdir()
+        (path / "1.json").write_text("\n".join(texts[:50]))
+        (path / "2.json").write_text(json.dumps(JSON_ROWS[50:], indent=1))
+    else:
+        path.write_text({"lines": "\n".join(texts) + "\n", "array": json.dumps(JSON_ROWS), "pretty": "\ufeff " + json.dumps(JSON_ROWS, indent=2) + "\n", "objects": "\n\n".join(json.dumps(x, indent=1) for x in JSON_ROWS), "one line of objects": " ".join(texts)}[form])
+    df, info = read_dataset(spark, str(path), numbered=True)
+    got = df.orderBy("__row").collect()
+    assert info["form"] == ("lines" if form == "lines" else "objects") and [x["__row"] for x in got] == list(range(len(JSON_ROWS)))
+    assert [(x.a, x.s) for x in got] == [(x["a"], x["s"]) for x in JSON_ROWS] and len({x["__block"] for x in got}) > 5
+    assert [x.a for x in read_dataset(spark, str(path), max_rows=3)[0].collect()] == [0, 1, 2]
+
+
+def test_json_that_is_no_object_is_not_lost(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"a": 1}, 7, {"a": 2}, "x}", [{"a": 3}], {"a": 4')
+    df, _ = read_dataset(spark, str(tmp_path / "t.json"))
+    assert sorted(x.a for x in df.filter("a IS NOT NULL").collect()) in ([1, 2], [1, 2, 4]) and df.filter("_corrupt_record IS NOT NULL").count() >= 2
+    (tmp_path / "e.json").write_text("")
+    assert read_dataset(spark, str(tmp_path / "e.json"))[0].count() == 0
+
+
 def test_formats_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", [1, 2]), (2, None, [3])], "id long, name string, parts array<int>")
     write_outputs(df, f"{tmp_path}/a.parquet", f"{tmp_path}/a.csv")
