@@ -15,7 +15,8 @@ from .plans import clean as cleaning
 from .plans.chart_plan import select_charts
 from .plans.kpis import detect_kpis
 from .plans.relate import relationship_suggestions as related
-from .sources import grid
+from .session import shared_path
+from .sources import grid, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,6 +259,47 @@ def impute_interpolate(spark, sf_dir):
     return out.select("o_orderkey", F.round("price", 4).alias("price"), "priority")
 
 
+@query(ORACLE_SQL["impute_interpolate"])
+def impute_in_file_order(spark, sf_dir):
+    """Files of very different sizes, written in the order of the keys: filling follows paths and rows, no column."""
+    path = shared_path(spark)
+    edges = _holed(spark, sf_dir).groupBy((F.col("o_orderkey") / 100).cast("long").alias("k")).count().select("k", F.expr("CAST(9 * pow(percent_rank() OVER (ORDER BY k), 3) AS INT)").alias("part"))
+    rows = _holed(spark, sf_dir).join(edges, (F.col("o_orderkey") / 100).cast("long") == F.col("k")).drop("k")
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").parquet(path)
+    out, _ = cleaning.clean(spark.read.parquet(path).drop("part"), cleaning.CleaningOptions(remove_duplicates=False, semantic_categorical_merging=False, standardize_columns=False, normalize_dates=False, parse_currency_percent=False))
+    return out.select("o_orderkey", F.round("price", 4).alias("price"), "priority")
+
+
+_EVENTS_SQL = "SELECT event_id, event_type, round(value, 6) AS value, props FROM events"
+
+
+@query(_EVENTS_SQL)
+def json_lines(spark, sf_dir):
+    """Written as an object a line; one column holds JSON text itself."""
+    path = shared_path(spark)
+    read(spark, sf_dir, "events").select("event_id", "event_type", "value", "props").write.json(path)
+    return readers.read_dataset(spark, path, "json")[0].select("event_id", "event_type", F.round("value", 6).alias("value"), "props")
+
+
+@query(_EVENTS_SQL)
+def json_objects(spark, sf_dir):
+    """Written as objects over several lines, one after the other, and cut by quotes and depths."""
+    path = shared_path(spark)
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    rows.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    return readers.read_dataset(spark, path, "json")[0].select("event_id", "event_type", F.round("value", 6).alias("value"), "props")
+
+
+@query("SELECT doc_id, lang, source, md5(regexp_replace(text, '[\\x09-\\x0D\\x20]+', '', 'g')) AS letters FROM documents")
+def delimited_folder(spark, sf_dir):
+    """Whole texts with line breaks and quotes through the CSV sink and back; every part has its header."""
+    path = shared_path(spark)
+    readers.write_outputs(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").repartition(8, "doc_id"), csv_path=path)
+    back, _ = readers.read_dataset(spark, path, "csv")
+    letters = F.regexp_replace("text", r"[\x09-\x0D\x20]+", "")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.md5(letters.cast("binary")).alias("letters"))
+
+
 _FENCES = "r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT max(value) FILTER (i = round_even((n - 1) * 0.01::DOUBLE, 0)) AS p01, max(value) FILTER (i = round_even((n - 1) * 0.25::DOUBLE, 0)) AS q1, max(value) FILTER (i = round_even((n - 1) * 0.75::DOUBLE, 0)) AS q3, max(value) FILTER (i = round_even((n - 1) * 0.99::DOUBLE, 0)) AS p99 FROM r), f AS (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high, greatest(p01, q1 - 1.5 * (q3 - q1)) AS least_v, least(p99, q3 + 1.5 * (q3 - q1)) AS most_v FROM q)"
 
 

@@ -22,13 +22,8 @@ def build_session(name: str = "gristmill", master: str | None = None) -> SparkSe
     )
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
-
-    It cuts lineage; a lost executor loses nothing. Rows come back in another order and in other partitions,
-    as Spark packs files by their sizes: what depends on the order must carry it (``with_row_number``).
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a local one only where the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -38,9 +33,18 @@ def materialized(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return f"{folder}/table-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again.
+
+    It cuts lineage; a lost executor loses nothing. Rows come back in another order and in other partitions,
+    as Spark packs files by their sizes: what depends on the order must carry it (``with_row_number``).
+    """
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def counted(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, Observation]:
