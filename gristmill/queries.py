@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from .plans.chart_plan import select_charts
 from .plans.kpis import detect_kpis
 from .plans.relate import relationship_suggestions as related
 from .session import shared_path
-from .sources import grid, readers
+from .sources import grid, readers, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -300,6 +301,20 @@ def delimited_folder(spark, sf_dir):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.md5(letters.cast("binary")).alias("letters"))
 
 
+@query("SELECT 'nation ' || s_nationkey AS book, 'Balances' AS sheet, s_name AS name, s_acctbal AS amount, s_acctbal < 0 AS flag FROM supplier UNION ALL SELECT 'nation ' || s_nationkey, 'Keys & <Names>', s_name, s_suppkey::DOUBLE, NULL FROM supplier")
+def workbook_rows(spark, sf_dir):
+    """Suppliers as a workbook a nation, with two sheets each, cut in small pieces and read back."""
+
+    def books(rows):
+        first = [["Name", "Amount", "Flag"], *[[n, float(a), bool(a < 0)] for n, a in zip(rows["s_name"], rows["s_acctbal"], strict=True)]]
+        second = [["Name", "Key"], *[[n, int(k)] for n, k in zip(rows["s_name"], rows["s_suppkey"], strict=True)]]
+        return pd.DataFrame({"path": [f"nation {rows['s_nationkey'].iloc[0]}"], "content": [xlsx.workbook_bytes({"Balances": first, "Keys & <Names>": second})]})
+
+    cells = xlsx.workbook_cells(read(spark, sf_dir, "supplier").groupBy("s_nationkey").applyInPandas(books, "path string, content binary"), 4096)
+    rows = cells.filter("row > 0").select(F.col("file").alias("book"), "sheet", F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).cast("double").alias("amount"), F.get("cells", F.lit(2)).cast("boolean").alias("flag"))
+    return rows
+
+
 _FENCES = "r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT max(value) FILTER (i = round_even((n - 1) * 0.01::DOUBLE, 0)) AS p01, max(value) FILTER (i = round_even((n - 1) * 0.25::DOUBLE, 0)) AS q1, max(value) FILTER (i = round_even((n - 1) * 0.75::DOUBLE, 0)) AS q3, max(value) FILTER (i = round_even((n - 1) * 0.99::DOUBLE, 0)) AS p99 FROM r), f AS (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high, greatest(p01, q1 - 1.5 * (q3 - q1)) AS least_v, least(p99, q3 + 1.5 * (q3 - q1)) AS most_v FROM q)"
 
 

@@ -1,9 +1,10 @@
 """Workbooks (.xlsx), from the standard library's zip and XML readers.
 
-Spark lists and reads the files, each in one task, on any file system it knows; rows stream out of
-the XML, so a sheet is never held whole but for the workbook's table of shared strings. Cells are
-texts, as in other grids; dates are written as ISO dates or times, as the cells' number formats say,
-and booleans as TRUE or FALSE.
+Spark lists and reads the files on any file system it knows. One task a workbook only unpacks it and
+cuts the XML of sheets and shared strings between rows, without parsing; the pieces are dealt out and parsed
+by all tasks, and cells meet their shared strings in a join, so neither a sheet nor the table of
+strings is held by one task. Cells are texts, as in other grids; dates are written as ISO dates or
+times, as the cells' number formats say, and booleans as TRUE or FALSE.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +38,6 @@ def sheet_files(book: zipfile.ZipFile) -> dict[str, str]:
     return {s.get("name"): posixpath.normpath(posixpath.join("xl", targets[s.get(_LINK)])) if not targets[s.get(_LINK)].startswith("/") else targets[s.get(_LINK)][1:] for s in sheets}
 
 
-def shared_strings(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-
-
 def _place(reference: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", reference).group():
@@ -79,60 +75,133 @@ def moment_text(days: str, zero: dt.datetime) -> str:
     return moment.date().isoformat() if moment.time() == dt.time() else moment.replace(microsecond=0).isoformat(" ")
 
 
-def sheet_rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], zero: dt.datetime):
-    """Yield the cells of each row as texts (None where empty)."""
-
-    def shown(c) -> str | None:
-        value, kind = c.find(f"{_MAIN}v"), c.get("t")
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-        if value is None or value.text is None:
-            return None
-        if kind == "s":
-            return strings[int(value.text)]
-        if kind == "b":
-            return "TRUE" if value.text.strip() == "1" else "FALSE"
-        return moment_text(value.text, zero) if kind in (None, "n") and int(c.get("s") or 0) in dates else value.text
-
-    with book.open(part) as stream:
-        for _, row in ElementTree.iterparse(stream):
-            if row.tag == f"{_MAIN}row":
-                cells: list[str | None] = []
-                for c in row.iter(f"{_MAIN}c"):
-                    at = _place(c.get("r")) if c.get("r") else len(cells)
-                    cells += [None] * (at + 1 - len(cells))
-                    cells[at] = shown(c)
-                yield cells
-                row.clear()
-
-
-CELLS = "file string, sheet string, place int, row int, cells array<string>"
-
-
-def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, place, row, cells) of the workbooks that a path or pattern names."""
-
-    def read(batches):
+#: Bytes of XML in a piece; a longer row makes a longer piece. Rows are numbered within pieces below ROWS.
+PIECE, ROWS = 1 << 20, 1 << 20
+
+
+def xml_pieces(stream, tag: str, size: int = PIECE):
+    """Yield XML documents of the elements ``tag`` of a part, some at a time, each in the part's own root element."""
+    closes = re.compile(rf"</(?:\w+:)?{tag}>|<(?:\w+:)?{tag}(?:\s[^>]*)?/>".encode())
+    opens = re.compile(rf"<(?:\w+:)?{tag}[\s/>]".encode())
+    held, root, end = b"", None, b""
+    while True:
+        more = stream.read(size)
+        held += more
+        if root is None:
+            at = opens.search(held)
+            if at:
+                # The first element that isn't a declaration or a comment carries the names of the part.
+                m = re.search(rb"<([A-Za-z][\w:.-]*)(\s[^>]*)?>", held)
+                root, end, held = m[0], b"</" + m[1] + b">", held[at.start() :]
+        if root is not None:
+            last = None
+            for last in closes.finditer(held):
+                pass
+            if last:
+                yield root + held[: last.end()] + end
+                held = held[last.end() :]
+        if not more:
+            return
+
+
+def _pieces(size: int = PIECE):
+    """Task function: (path, content) of workbooks to their pieces."""
+
+    def run(batches):
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with zipfile.ZipFile(io.BytesIO(data.as_py())) as book:
-                    strings, dates, zero = shared_strings(book), date_styles(book), first_day(book)
+                    dates, zero = sorted(date_styles(book)), first_day(book).isoformat()
+                    if "xl/sharedStrings.xml" in book.namelist():
+                        first = 0
+                        with book.open("xl/sharedStrings.xml") as stream:
+                            for k, xml in enumerate(xml_pieces(stream, "si", size)):
+                                yield _piece(file, None, -1, k, first, xml, dates, zero)
+                                first += len(re.findall(rb"<(?:\w+:)?si[\s/>]", xml))
                     for place, (name, part) in enumerate(sheet_files(book).items()):
-                        rows: list = []
-                        for k, cells in enumerate(sheet_rows(book, part, strings, dates, zero)):
-                            rows.append((file, name, place, k, cells))
-                            if len(rows) == 2000:
-                                yield _batch(rows)
-                                rows = []
-                        if rows:
-                            yield _batch(rows)
+                        with book.open(part) as stream:
+                            for k, xml in enumerate(xml_pieces(stream, "row", size)):
+                                yield _piece(file, name, place, k, k * ROWS, xml, dates, zero)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, CELLS)
+    return run, "file string, sheet string, place int, piece int, first long, xml binary, dates array<int>, zero string"
 
 
-def _batch(rows: list) -> pa.RecordBatch:
-    kinds = {"file": pa.string(), "sheet": pa.string(), "place": pa.int32(), "row": pa.int32(), "cells": pa.list_(pa.string())}
-    return pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+def _piece(*values) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "sheet": pa.string(), "place": pa.int32(), "piece": pa.int32(), "first": pa.int64(), "xml": pa.binary(), "dates": pa.list_(pa.int32()), "zero": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values(), strict=True)], list(kinds))
+
+
+def _strings(batches):
+    """Shared strings of pieces: (file, number, text)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            texts = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t") and not t.tag.endswith("}rPh")) for si in ElementTree.fromstring(row["xml"])]
+            yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * len(texts), pa.string()), pa.array(range(row["first"], row["first"] + len(texts)), pa.int64()), pa.array(texts, pa.string())], ["file", "number", "text"])
+
+
+def _rows(batches):
+    """Rows of pieces: the cells' texts, and the numbers of those that are shared strings."""
+    for batch in batches:
+        for piece in batch.to_pylist():
+            dates, zero = set(piece["dates"]), dt.datetime.fromisoformat(piece["zero"])
+            cells, shared = [], []
+            for row in ElementTree.fromstring(piece["xml"]):
+                own: list[str | None] = []
+                numbers: list[int | None] = []
+                for c in row.iter(f"{_MAIN}c"):
+                    at = _place(c.get("r")) if c.get("r") else len(own)
+                    own += [None] * (at + 1 - len(own))
+                    numbers += [None] * (at + 1 - len(numbers))
+                    value, kind = c.find(f"{_MAIN}v"), c.get("t")
+                    text = value.text if value is not None else None
+                    if kind == "inlineStr":
+                        own[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                    elif kind == "s" and text:
+                        numbers[at] = int(text)
+                    elif kind == "b" and text:
+                        own[at] = "TRUE" if text.strip() == "1" else "FALSE"
+                    else:
+                        own[at] = moment_text(text, zero) if text and kind in (None, "n") and int(c.get("s") or 0) in dates else text
+                cells.append(own)
+                shared.append(numbers)
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([pa.array([piece["file"]] * n), pa.array([piece["sheet"]] * n), pa.array([piece["place"]] * n, pa.int32()), pa.array(range(piece["first"], piece["first"] + n), pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array(shared, pa.list_(pa.int64()))], ["file", "sheet", "place", "row", "cells", "shared"])
+
+
+def workbook_cells(books: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(file, sheet, place, row, cells) of workbooks given as (path, content); ``row`` ascends within a sheet."""
+    spark = books.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialized(books.mapInArrow(*_pieces(piece)).repartition(wide))
+    strings = found.filter("place < 0").mapInArrow(_strings, "file string, number long, text string")
+    rows = materialized(found.filter("place >= 0").mapInArrow(_rows, "file string, sheet string, place int, row long, cells array<string>, shared array<bigint>"))
+    asked = rows.select("file", "place", "row", F.posexplode("shared").alias("at", "number")).filter("number IS NOT NULL")
+    texts = asked.join(strings, ["file", "number"]).groupBy("file", "place", "row").agg(F.map_from_entries(F.collect_list(F.struct("at", "text"))).alias("texts"))
+    return rows.join(texts, ["file", "place", "row"], "left").select("file", "sheet", "place", "row", F.transform("cells", lambda c, at: F.coalesce(c, F.try_element_at("texts", at))).alias("cells"))
+
+
+def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook of texts, numbers, booleans and empty cells, for what a task holds anyway."""
+    names = f'xmlns="{_MAIN[1:-1]}" xmlns:r="{_LINK[1:].split("}")[0]}"'
+    strings: dict[str, int] = {}
+
+    def cell(value) -> str:
+        if isinstance(value, bool):
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, str):
+            return f'<c t="s"><v>{strings.setdefault(value, len(strings))}</v></c>'
+        return "<c/>" if value is None else f"<c><v>{value!r}</v></c>"
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        links = "".join(f'<sheet name={quoteattr(n)} sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1))
+        book.writestr("xl/workbook.xml", f"<workbook {names}><sheets>{links}</sheets></workbook>")
+        parts = "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{parts}</Relationships>')
+        for k, rows in enumerate(sheets.values(), 1):
+            book.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {names}><sheetData>" + "".join(f"<row>{''.join(map(cell, row))}</row>" for row in rows) + "</sheetData></worksheet>")
+        book.writestr("xl/sharedStrings.xml", f"<sst {names}>" + "".join(f'<si><t xml:space="preserve">{escape(t)}</t></si>' for t in strings) + "</sst>")
+    return out.getvalue()
 
 
 def cast_dates_and_flags(df: DataFrame) -> DataFrame:
@@ -148,7 +217,12 @@ def cast_dates_and_flags(df: DataFrame) -> DataFrame:
 
 def read_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Each sheet of a workbook as a typed table, by its name; of several files by file and name."""
-    cells = materialized(workbook_cells(spark, path))
+    return sheets_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def sheets_of(books: DataFrame, piece: int = PIECE) -> dict[str, DataFrame]:
+    """``read_sheets`` of workbooks given as (path, content)."""
+    cells = materialized(workbook_cells(books, piece))
     out = {}
     widths = cells.groupBy("file", "place", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("file", "place").collect()
     several = len({r.file for r in widths}) > 1

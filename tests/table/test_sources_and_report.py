@@ -1,5 +1,6 @@
 import csv
 import datetime as dt
+import html
 import json
 import random
 import zipfile
@@ -7,6 +8,7 @@ import zipfile
 import pytest
 
 from gristmill.plans.analyze import analyze, answer, ask, combined_quality, insight_rows
+from gristmill.sources import xlsx
 from gristmill.sources.grid import detect_delimiter, detect_encoding, find_header, header_names, read_delimited
 from gristmill.sources.readers import profile_json, read_dataset, write_outputs
 from gristmill.streaming.monthly import months_of, stream_windows
@@ -192,6 +194,20 @@ def test_workbook_dates_and_flags(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [("A", dt.date(2023, 7, 16), dt.datetime(2023, 7, 16, 12), True), ("B", dt.date(2023, 7, 17), dt.datetime(2023, 7, 17, 6), False)]
 
 
+def test_a_sheet_is_parsed_in_pieces(spark, tmp_path):
+    """A workbook cut into small pieces reads as a whole, and its pieces lie in several partitions."""
+    rows = [["Item Name", "Item Count", "Note Text"]] + [[f"item {i % 97}", i, f"<n&{i}>" if i % 3 else None] for i in range(3000)]
+    rows = [[html.escape(c) if isinstance(c, str) else c for c in r] for r in rows]
+    workbook(f"{tmp_path}/p.xlsx", {"One": rows, "Two": rows[:500]})
+    books = spark.read.format("binaryFile").load(f"{tmp_path}/p.xlsx").select("path", "content")
+    pieces = books.mapInArrow(*xlsx._pieces(20_000))
+    assert pieces.filter("place = 0").count() > 5 and pieces.filter("place < 0").count() > 5
+    sheets = xlsx.sheets_of(books, 20_000)
+    for name, n in (("One", 3000), ("Two", 499)):
+        got = sorted(tuple(r) for r in sheets[name].select("Item Count", "Item Name", "Note Text").collect())
+        assert got == [(float(i), f"item {i % 97}", f"<n&{i}>" if i % 3 else None) for i in range(n)]
+
+
 def test_report_of_orders(spark, sf_dir):
     report = analyze(spark.read.parquet(f"{sf_dir}/orders.parquet"), "orders")
     assert report["dataset"]["row_count"] == 1500 and report["metrics"]["kpis"][0]["column"] == "o_totalprice"
