@@ -89,31 +89,65 @@ def shows_currency(text: Column) -> Column:
     return text.rlike(rf"(?i)[{CURRENCY_SIGNS}]|\b({'|'.join(CURRENCY_CODES)})\b")
 
 
-#: Date forms by the order of day and month; each chain falls back to the other order.
-_ISO = ("yyyy-M-d'T'H:m:s.SSSSSSXXX", "yyyy-M-d'T'H:m:sXXX", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d H:m:sXXX", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy/M/d")
-_NAMED = ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d MMM yy")
-_MONTH_FIRST = ("M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy", "M-d-yy")
-_DAY_FIRST = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy")
-
-
-_PARTS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3,4}", "SSSSSS": r"\d{1,6}", "XXX": r"(Z|[+-]\d{2}:\d{2})", "'T'": "T"} | dict.fromkeys("MdHms", r"\d{1,2}")
+# The grammar of moments: a weekday that is skipped, a date in one of five shapes, a time of day, a zone.
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? )?"
+_NTH, _GAP = "(?:st|nd|rd|th)?", r"(?: of)?[-/., ]*"
+#: By shape: the pattern of the date, and the groups of year, month and day (0: none).
+_DATES = {
+    "year first": (r"(\d{4})([-/. ])(\d{1,2})(?:\2(\d{1,2}))?", (1, 3, 4)),
+    "digits": (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    "numbers": (r"(\d{1,2})([-/. ])(\d{1,2})\2(\d{4}|\d{2})", (4, 1, 3)),
+    "day, name": (rf"(\d{{1,2}}){_NTH}{_GAP}({_MONTHS})\.?{_GAP}'?(\d{{4}}|\d{{2}})", (3, 2, 1)),
+    "name, day": (rf"({_MONTHS})\.?[- ]*(\d{{1,2}}){_NTH},?[- ]+(\d{{4}})", (3, 1, 2)),
+    "year, name": (rf"(\d{{4}})[-/., ]*({_MONTHS})\.?[-/., ]*(\d{{1,2}}){_NTH}", (1, 2, 3)),
+    "name, year": (rf"({_MONTHS})\.?[-/, ]+(\d{{4}})", (2, 1, 0)),
+}
+_TIME = r"(?:(?: ?t ?|,? (?:at )?)(\d{1,2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?: ?([ap])\.?m\.?)?)?"
+_ZONE = r" ?(?:z|utc|gmt)?(?: ?([+-]\d{1,2}(?::?\d{2})?))?"
+_MARK = "\x1f"
+#: Two digits name years from 1969 to 2068.
+PIVOT = 69
 
 
-def form_pattern(form: str) -> str:
-    """The regular expression of the cells that a date form can read."""
-    parts = [m.group() for m in re.finditer(r"'T'|([A-Za-z])\1*|.", form)]
-    return "^" + "".join(_PARTS.get(p) or re.escape(p) for p in parts) + "$"
+def _fields(cell: Column, shape: str) -> Column:
+    """The texts of year, month, day, hour, minute, second, fraction, a or p, zone, and "?" where month and day may change places; null for a cell of another shape."""
+    date, groups = _DATES[shape]
+    first = sum(c == "(" and date[k + 1] != "?" for k, c in enumerate(date)) + 1
+    wanted = [f"${g}" if g else "1" for g in (*groups, *range(first, first + 6))]
+    parts = F.split(F.regexp_replace(cell, f"^{_WEEKDAY}{date}{_TIME}{_ZONE}$", _MARK.join([*wanted, "?" if shape == "numbers" else ""])), _MARK)
+    return F.when(F.size(parts) == 10, parts)
 
 
-def moment_in(text: Column, day_first: bool) -> Column:
-    """The UTC timestamp that a cell shows, in any of the known forms; null if none fits.
+def moment_in(text: Column, day_first: bool = False) -> Column:
+    """The moment that a cell shows, in UTC and without a zone; null if it shows none.
 
-    A form is tried only on cells of its shape, so most cells are parsed once.
+    Dates are year-month(-day), eight digits, three numbers, or have a month's name in any place; a
+    time of day with seconds, fractions and am or pm, and a zone's offset may follow. Of three numbers the first two are
+    month and day, or as ``day_first`` says; the other way where a month would be over 12.
     """
-    order = (_DAY_FIRST, _MONTH_FIRST) if day_first else (_MONTH_FIRST, _DAY_FIRST)
-    cell = F.regexp_replace(without_missing(text), r"(?i)\s+(utc|gmt)$|(?<=:\d\d)z$", "")
-    read = lambda forms: F.coalesce(*[F.when(cell.rlike(form_pattern(f)), F.try_to_timestamp(cell, F.lit(f))) for f in forms])
-    return F.when(cell.rlike(r"^\d{4}"), read(_ISO)).when(cell.rlike("[A-Za-z]"), read(_NAMED)).otherwise(read([*order[0], *order[1]]))
+    cell = F.lower(without_missing(text))
+    tried = lambda *shapes: F.coalesce(*[_fields(cell, s) for s in shapes])
+    named = cell.rlike(rf"(?:^|[^a-z])(?:{_MONTHS})(?:[^a-z]|$)")
+    found = F.when(named, tried("day, name", "name, day", "year, name", "name, year")).when(cell.rlike(r"(?:^|[a-z] )\d{4}[-/. ]"), tried("year first")).when(cell.rlike(r"\d{8}"), tried("digits")).otherwise(tried("numbers"))
+    # Bound once, as every field is read from it.
+    return F.get(F.transform(F.array(found), lambda f: _assembled(f, day_first)), F.lit(0))
+
+
+def _assembled(f: Column, day_first: bool) -> Column:
+    text = lambda k: F.get(f, F.lit(k))
+    number = lambda k: text(k).try_cast("int")
+    year = F.when(F.length(text(0)) > 2, number(0)).otherwise(number(0) + F.when(number(0) < PIVOT, 2000).otherwise(1900))
+    by_name = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(text(1), 1, 3)) + 2) / 3).cast("int")
+    one, two = F.coalesce(number(1), by_name), F.coalesce(number(2), F.lit(1))
+    turned = (text(9) == "?") & (((two <= 12) if day_first else (one > 12)))
+    hour, half = F.coalesce(number(3), F.lit(0)), text(7)
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    seconds = F.concat(F.coalesce(number(5), F.lit(0)).cast("string"), F.lit("."), text(6), F.lit("0")).try_cast("decimal(16,6)")
+    zone = F.replace(text(8), F.lit(":"), F.lit(""))
+    minutes = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0)), F.lit(0))
+    made = F.try_make_timestamp_ntz(year, F.when(turned, two).otherwise(one), F.when(turned, one).otherwise(two), hour, F.coalesce(number(4), F.lit(0)), seconds)
+    return made - F.make_dt_interval(mins=F.when(zone.startswith("-"), -minutes).otherwise(minutes))
 
 
 def has_clock(text: Column) -> Column:

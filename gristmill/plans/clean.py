@@ -53,8 +53,9 @@ def _texts(df: DataFrame) -> list[str]:
 def normalize_dates(df: DataFrame) -> tuple[DataFrame, list[dict]]:
     """Text columns that are dates by name or look, and of which 70 % parse, as dates or UTC timestamps.
 
-    One aggregate over all values tells which columns look like dates; both orders of day and month
-    of these are counted in another, and the better one is taken, month first on a tie.
+    One aggregate over all values tells which columns look like dates, another counts what parses. A
+    number over 12 is a day wherever it stands, so both orders of day and month read the same cells; where
+    both are possible the month comes first.
     """
     columns = _texts(df)
     if not columns:
@@ -65,21 +66,14 @@ def normalize_dates(df: DataFrame) -> tuple[DataFrame, list[dict]]:
     wanted = [c for c in columns if c not in open_ or (shares[f"s{open_.index(c)}"] or 0) >= DATE_SHARE]
     if not wanted:
         return df, []
-    moments = {(c, first): T.moment_in(clean[c], first) for c in wanted for first in (False, True)}
-    counts = df.agg(
-        *[
-            F.struct(F.count(clean[c]).alias("filled"), F.count(moments[c, False]).alias("month_first"), F.count(moments[c, True]).alias("day_first"), F.coalesce(F.max(T.has_clock(clean[c])), F.lit(False)).alias("clock")).alias(f"c{i}")
-            for i, c in enumerate(wanted)
-        ]
-    ).first()
+    moments = {c: T.moment_in(clean[c]) for c in wanted}
+    counts = df.agg(*[F.struct(F.count(clean[c]).alias("filled"), F.count(moments[c]).alias("parsed"), F.coalesce(F.max(T.has_clock(clean[c])), F.lit(False)).alias("clock")).alias(f"c{i}") for i, c in enumerate(wanted)]).first()
     changed, report = {}, []
     for i, c in enumerate(wanted):
         n = counts[f"c{i}"]
-        best = "day_first" if n["day_first"] > n["month_first"] else "month_first"
-        if n["filled"] and n[best] >= DATE_SHARE * n["filled"]:
-            moment = moments[c, best == "day_first"]
-            changed[c] = moment.cast("timestamp_ntz") if n["clock"] else F.to_date(moment)
-            report.append({"column": c, "strategy": best, "parsed_values": n[best], "failed_values": n["filled"] - n[best], "standard": "UTC datetime" if n["clock"] else "YYYY-MM-DD"})
+        if n["filled"] and n["parsed"] >= DATE_SHARE * n["filled"]:
+            changed[c] = moments[c] if n["clock"] else F.to_date(moments[c])
+            report.append({"column": c, "strategy": "month_first", "parsed_values": n["parsed"], "failed_values": n["filled"] - n["parsed"], "standard": "UTC datetime" if n["clock"] else "YYYY-MM-DD"})
     return (df.withColumns(changed) if changed else df), report
 
 
