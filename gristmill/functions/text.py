@@ -103,7 +103,7 @@ _DATES = {
     "year, name": (rf"(\d{{4}})[-/., ]*({_MONTHS})\.?[-/., ]*(\d{{1,2}}){_NTH}", (1, 2, 3)),
     "name, year": (rf"({_MONTHS})\.?[-/, ]+(\d{{4}})", (2, 1, 0)),
 }
-_TIME = r"(?:(?: ?t ?|,? (?:at )?)(\d{1,2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?: ?([ap])\.?m\.?)?)?"
+_TIME = r"(?:(?: ?t ?|,? (?:at )?)(\d{1,2}(?!\d)|\d{2})(?:(?::|(?=\d\d))(\d{1,2})(?:(?::|(?=\d\d))(\d{1,2})(?:[.,](\d{1,6})\d*)?)?)?(?: ?([ap])\.?m\.?)?)?"
 _ZONE = r" ?(?:z|utc|gmt)?(?: ?([+-]\d{1,2}(?::?\d{2})?))?"
 _MARK = "\x1f"
 #: Two digits name years from 1969 to 2068.

@@ -189,11 +189,44 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: fl
     return rows.filter(F.abs("correlation") > least)
 
 
+def first_values(df: DataFrame, samples: int) -> DataFrame:
+    """(column_name, sample_values): the first values of each column that aren't null, as texts, in the order of the rows.
+
+    One pass for all columns: a task sends on the first values of each split it reads, a bounded number,
+    and of these the first in the order of files and splits count.
+    """
+    import pyarrow as pa
+
+    from .ordered import source_place
+
+    columns = data_columns(df)
+    file, start = source_place(df)
+    cells = df.select(file.alias("__file"), start.alias("__start"), F.spark_partition_id().alias("__part"), *[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def firsts(batches):
+        found: dict[tuple, list[list[str]]] = {}  # of one task
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            cuts = [k for k in range(len(places)) if k == 0 or places[k] != places[k - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(places)], strict=True):
+                held = found.setdefault(places[low], [[] for _ in columns])
+                for values, column in zip(held, batch.columns[3:], strict=True):
+                    if len(values) < samples:
+                        values += column.slice(low, high - low).drop_null().slice(0, samples - len(values)).to_pylist()
+        rows = [(*place, k, c, v) for place, held in found.items() for c, values in zip(columns, held, strict=True) for k, v in enumerate(values)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "part", "k", "column_name", "v"), r, strict=True)) for r in rows], schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("column_name", pa.string()), ("v", pa.string())]))
+
+    found = cells.mapInArrow(firsts, "file string, start long, part int, k int, column_name string, v string")
+    order = Window.partitionBy("column_name").orderBy("file", "start", "part", "k")  # some rows a split
+    first = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= samples)
+    listed = first.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("all"))
+    return listed.select("column_name", F.col("all.v").alias("sample_values"))
+
+
 def frame_profile(df: DataFrame, samples: int = 5) -> DataFrame:
-    """(column_name, dtype, non_null_count, null_count, unique_count with null as a value, sample_values)."""
+    """(column_name, dtype, non_null_count, null_count, unique_count with null as a value, sample_values: the first in row order)."""
     base = missing_and_distinct(df)
     types = dict(df.dtypes)
-    first = [df.select(F.lit(c).alias("column_name"), col(c).cast("string").alias("v")).filter("v IS NOT NULL").limit(samples).groupBy("column_name").agg(F.collect_list("v").alias("sample_values")) for c in df.columns]
     kinds = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     rows = base.select("column_name", F.element_at(kinds, F.col("column_name")).alias("dtype"), (F.col("row_count") - F.col("missing")).alias("non_null_count"), F.col("missing").alias("null_count"), (F.col("distinct_count") + (F.col("missing") > 0).cast("int")).alias("unique_count"))
-    return rows.join(union(first), "column_name", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+    return rows.join(first_values(df, samples), "column_name", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))

@@ -406,10 +406,9 @@ def relationship_suggestions(spark, sf_dir):
 CUSTOMER_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
-@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) + (count(*) > count({c}))::INTEGER AS unique_count FROM customer" for c, t in CUSTOMER_TYPES.items()))
+@query("\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) + (count(*) > count({c}))::INTEGER AS unique_count, (SELECT string_agg(v, '|' ORDER BY n) FROM (SELECT {c}::VARCHAR AS v, row_number() OVER () AS n FROM customer WHERE {c} IS NOT NULL LIMIT 5)) AS samples FROM customer" for c, t in CUSTOMER_TYPES.items()))
 def frame_profile(spark, sf_dir):
-    """Without the sample values, which are any of a column's."""
-    return profile.frame_profile(read(spark, sf_dir, "customer")).drop("sample_values")
+    return profile.frame_profile(read(spark, sf_dir, "customer")).withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values")
 
 
 @query()
