@@ -15,6 +15,7 @@ from .advice import merged, recommendations, summary
 from .chart_plan import select_charts, visual_spec
 from .columns import Column, with_meaning
 from .kpis import detect_kpis, is_business_measure
+from .questions import team_answer
 
 # How much of each a report lists.
 MOST_FORECASTS, MOST_ANOMALIES, FORECAST_KINDS = 3, 8, ("revenue", "profit", "orders", "customers")
@@ -166,8 +167,12 @@ def answer(df: DataFrame, question: str, columns: list[Column] | None = None) ->
     """A ranking question ("top regions by sales", "lowest ...") answered by a text, a bar chart and a table; None where no columns fit.
 
     Groups are columns that are neither numbers nor dates, measures are numbers; a measure that the
-    question doesn't name is the table's first key measure.
+    question doesn't name is the table's first key measure. Questions about teams and their results are
+    answered by ``team_answer``.
     """
+    found = team_answer(df, question)
+    if found:
+        return found
     asked = set(re.findall(r"[a-z]+", question.lower()))
     if not asked & set(ASK_WORDS):
         return None

@@ -456,6 +456,32 @@ def ask_ranking(spark, sf_dir):
     return analysis.ask(d, "Which are the top market segments by account balance?").withColumn("total", F.round("total", 2))
 
 
+_MATCHES = "SELECT s_nationkey % 5 AS n, l_linenumber AS goals_team, l_linenumber % 4 AS goals_opponent, l_returnflag AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+
+
+def _matches(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    result = F.when(F.col("l_returnflag") == "A", "Home win").when(F.col("l_returnflag") == "N", "Drawn").otherwise("lost")
+    return rows.select(F.format_string("Team %d", (F.col("s_nationkey") % 5).cast("int")).alias("Club Name"), F.col("l_linenumber").alias("Goals Team"), (F.col("l_linenumber") % 4).alias("Goals Opponent"), result.alias("Match Result"))
+
+
+@query(f"SELECT 'Team ' || n AS label, count(*) AS row_count, round(avg(goals_team - goals_opponent), 4) AS avg_difference, count(*) FILTER (f = 'A') AS wins, count(*) FILTER (f = 'N') AS draws, count(*) FILTER (f = 'R') AS losses, round(avg((f = 'A')::INTEGER) * 100, 4) AS win_rate FROM ({_MATCHES}) GROUP BY n ORDER BY win_rate DESC, avg_difference DESC, row_count DESC, label LIMIT 10")
+def ask_win_rate(spark, sf_dir):
+    found = analysis.ask(_matches(spark, sf_dir), "What is the win rate by team?")
+    return found.select("label", "row_count", "avg_difference", "wins", "draws", "losses", "win_rate")
+
+
+@query(f"SELECT 'Team ' || n AS label, round(avg(goals_team - goals_opponent), 4) AS avg_difference, count(*) AS row_count FROM ({_MATCHES}) GROUP BY n ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")
+def ask_performance(spark, sf_dir):
+    """Without a column of results the mean difference ranks."""
+    return analysis.ask(_matches(spark, sf_dir).drop("Match Result"), "Which team performed best?").select("label", "avg_difference", "row_count")
+
+
+@query(f"SELECT 'Team ' || n AS label, sum(goals_team)::DOUBLE AS total FROM ({_MATCHES}) GROUP BY n ORDER BY 2 DESC, 1 LIMIT 5")
+def ask_goals(spark, sf_dir):
+    return analysis.ask(_matches(spark, sf_dir), "Show the top clubs by goals scored")
+
+
 @query("SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
 def ask_lowest(spark, sf_dir):
     d = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("market_segment"), F.col("c_acctbal").alias("account_balance"))

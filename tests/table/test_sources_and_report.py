@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from gristmill.plans import questions
 from gristmill.plans.analyze import analyze, answer, ask, combined_quality, insight_rows
 from gristmill.sources import xlsx
 from gristmill.sources.grid import detect_delimiter, detect_encoding, find_header, header_names, read_delimited
@@ -229,6 +230,29 @@ def test_combined_quality_and_questions(spark):
     assert said["text"] == "Lowest Kind by Total Sales: y (1.00), x (14.00)" and said["chart"]["rows"][0] == {"label": "y", "total": 1.0}
 
 
+FOOTBALL = [("Alpha", 2, 1, 1, "W"), ("Alpha", 1, 1, 0, "D"), ("Alpha", 3, 1, 2, "W"), ("Beta", 1, 2, 1, "L"), ("Beta", 0, 1, 0, "L"), ("Beta", 2, 2, 1, "D"), (None, 9, 0, 9, "W")]
+
+
+def test_team_questions(spark):
+    df = spark.createDataFrame(FOOTBALL, "team string, goals_team int, goals_opponent int, goals int, match_result string")
+    assert questions.resolved(df) == {"team": "team", "scored": "goals_team", "conceded": "goals_opponent", "own": "goals", "result": "match_result"}
+    said = answer(df, "Which team performed better overall?")
+    assert said["text"].startswith("Ranked by win rate, then mean goal difference: Alpha, 3 rows, win rate 66.7%, 2-1-0, mean difference 1.00") and said["text"].index("Alpha") < said["text"].index("Beta")
+    assert [r.label for r in ask(df, "win rate by team").collect()] == ["Alpha", "Beta"] == [r.label for r in ask(df, "team performance").collect()]
+    goals = answer(df, "Show the top 5 teams by goals")
+    assert [tuple(r) for r in goals["table"].collect()] == [("Alpha", 6.0), ("Beta", 3.0)] and goals["chart"]["x"] == "team" and goals["chart"]["measures"] == ["goals_team"]
+    own = answer(df.select("team", "goals"), "rank the best clubs")
+    assert [(r.label, r.total_own, r.win_rate) for r in own["table"].collect()] == [("Alpha", 3.0, None), ("Beta", 2.0, None)] and "total Goals" in own["text"]
+    lost = answer(df.select("goals"), "top teams by goals")
+    assert lost["table"] is None and "names the team" in lost["text"]
+
+
+def test_slots_by_names(spark):
+    df = spark.createDataFrame([], "`Home Country` string, club_id int, `Opponent Goals (total)` double, player_goals double, outcome_code int, expected_goals double")
+    assert questions.resolved(df) == {"team": "Home Country", "conceded": "Opponent Goals (total)", "own": "player_goals", "result": "outcome_code"}
+    assert [questions.asked_for(q) for q in ("best squad?", "teams", "chart goals per club", "top regions", "goal difference by team, top first")] == ["performance", None, "goals", None, "performance"]
+
+
 def test_streamed_windows_match_batch(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value").orderBy("ts")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
