@@ -48,12 +48,13 @@ def candidate_columns(df: DataFrame, most: int | None = None) -> list[str]:
     return [c for c in texts if c in few][:most]
 
 
-def near_keys(vectors: DataFrame, least: float = LEAST_COSINE) -> dict[str, str]:
-    """Key to key for labels (label, vector; at most MOST_VALUES rows) whose vectors are near: all of a group to its least key."""
-    few = vectors.limit(MOST_VALUES + 1)
-    if few.count() > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} labels")
-    keyed = few.select(category_key(F.trim("label")).alias("key"), "vector")
+def near_keys(vectors: DataFrame, keys: DataFrame, least: float = LEAST_COSINE) -> dict[str, str]:
+    """Key to key for labels (label, vector) whose vectors are near: all of a group to its least key.
+
+    Only labels with a key of ``keys`` (key) are compared, which are those of columns of at most MOST_VALUES values each.
+    """
+    keyed = vectors.select(category_key(F.trim("label")).alias("key"), "vector").join(keys, "key", "left_semi")
+    keyed = materialized(keyed.groupBy("key").agg(F.min("vector").alias("vector")))
     a, b = keyed.toDF("a", "u"), keyed.toDF("b", "v")
     root: dict[str, str] = {}
     for r in a.join(F.broadcast(b), F.col("a") < F.col("b")).filter(cosine(F.col("u"), F.col("v")) >= least).select("a", "b").distinct().collect():
@@ -70,7 +71,7 @@ def spellings(df: DataFrame, columns: list[str], vectors: DataFrame | None = Non
     """
     counts = value_counts(df.select(*[F.trim(col(c)).alias(c) for c in columns]), columns).filter(is_category(F.col("value")))
     counts = counts.withColumn("own", category_key(F.col("value")))
-    near = near_keys(vectors) if vectors is not None else {}
+    near = near_keys(vectors, counts.select(F.col("own").alias("key")).distinct()) if vectors is not None else {}
     merged = F.try_element_at(F.create_map(*[F.lit(x) for pair in near.items() for x in pair]), F.col("own")) if near else F.lit(None).cast("string")
     counts = counts.withColumn("key", F.coalesce(merged, "own"))
     best = F.struct((-F.col("count")).alias("a"), (~F.col("value").contains(" ")).alias("b"), (-F.length("value")).alias("c"), "value")

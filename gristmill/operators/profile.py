@@ -54,8 +54,10 @@ ACCURACY, MOST_RANKED = 1_000, 200_000
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...], nearest: bool = False) -> dict[str, list[float | None]]:
     """Exact quantiles of each column: interpolated between ranks, or of the nearest rank (halves to even).
 
-    One sketch a column brackets all its ranks. Passes over the table count what lies below and inside
-    the brackets and narrow them by sketches of the inside, until few values, or few tied ones, are left.
+    One sketch a column brackets all its ranks. Passes over the table count what lies below a bracket, at
+    its two ends and between them. A rank at an end, or next to one, is known, however many values
+    share the end; brackets of other ranks are narrowed by sketches of what lies between, until at most MOST_RANKED
+    values are left between all of them, which are ranked at last.
     """
     columns = list(dict.fromkeys(columns))
     if not columns or not probabilities:
@@ -71,34 +73,52 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: tuple[floa
                 at = (facts[c]["n"] - 1) * p
                 ranks[c, k] = (round(at),) * 2 if nearest else (math.floor(at), math.ceil(at))
                 brackets[c, k] = tuple(facts[c]["sides"][2 * k : 2 * k + 2])
-    before = None
     while brackets:
         keys = list(brackets)
-        inside = {key: F.when(value[key[0]].between(*brackets[key]), value[key[0]]) for key in keys}
-        counts = df.agg(*[F.struct(F.count_if(value[key[0]] < brackets[key][0]).alias("below"), F.count(inside[key]).alias("inside")).alias(f"k{i}") for i, key in enumerate(keys)]).first()
-        found = {key: counts[f"k{i}"] for i, key in enumerate(keys)}
-        missed = [key for key in keys if found[key]["below"] > ranks[key][0] or found[key]["below"] + found[key]["inside"] <= ranks[key][1]]
-        for key in missed:  # the sketch was off; take the whole range
-            brackets[key] = facts[key[0]]["low"], facts[key[0]]["high"]
-        if missed:
+        between = {(c, k): F.when((value[c] > brackets[c, k][0]) & (value[c] < brackets[c, k][1]), value[c]) for c, k in keys}
+
+        def numbers(key: tuple[str, int]) -> Column:
+            v, (low, high), open_ = value[key[0]], brackets[key], between[key]
+            return F.struct(F.count_if(v < low).alias("below"), F.count_if(v == low).alias("at_low"), F.count(open_).alias("inside"), F.min(open_).alias("least"), F.max(open_).alias("most"), F.count_if(v <= high).alias("up_to"))
+
+        counts = df.agg(*[numbers(key).alias(f"k{i}") for i, key in enumerate(keys)]).first()
+        open_keys: dict[tuple[str, int], tuple] = {}
+        for i, key in enumerate(keys):
+            found, (low, high) = counts[f"k{i}"], brackets.pop(key)
+            first = found["below"] + found["at_low"]
+            missed, narrow = [], []
+            for side, rank in enumerate(ranks[key]):
+                if (key, side) in known:
+                    continue
+                if rank < found["below"] or rank >= found["up_to"]:  # the sketch was off
+                    missed += [(facts[key[0]]["low"], low)] if rank < found["below"] else [(high, facts[key[0]]["high"])]
+                elif rank < first:
+                    known[key, side] = low
+                elif rank >= first + found["inside"]:
+                    known[key, side] = high
+                elif rank in (first, first + found["inside"] - 1):
+                    known[key, side] = found["least"] if rank == first else found["most"]
+                else:
+                    narrow.append((rank - first) / found["inside"])
+            if missed:
+                brackets[key] = min([m[0] for m in missed] + [low] * bool(narrow)), max([m[1] for m in missed] + [high] * bool(narrow))
+            elif narrow:
+                open_keys[key] = (low, high, found["inside"], first, narrow)
+        if not open_keys:
             continue
-        for key in [key for key in keys if brackets[key][0] == brackets[key][1]]:  # one value holds both ranks
-            known[key, 0] = known[key, 1] = brackets.pop(key)[0]
-        keys = list(brackets)
-        if sum(found[key]["inside"] for key in keys) <= MOST_RANKED or brackets == before:  # or only a few tied values are left
-            below = {key: found[key]["below"] for key in keys}
-            break
-        shares = {key: [min(1.0, max(0.0, (r - found[key]["below"]) / found[key]["inside"] + side)) for r, side in zip(ranks[key], (-margin, margin), strict=True)] for key in keys}
-        row = df.agg(*[F.percentile_approx(inside[key], shares[key], ACCURACY).alias(f"k{i}") for i, key in enumerate(keys)]).first()
-        before, brackets = brackets, {key: tuple(row[f"k{i}"]) for i, key in enumerate(keys)}
-    if brackets:
-        each = [F.when(value[c].between(*brackets[c, k]), F.struct(F.lit(i).alias("i"), value[c].alias("v"))) for i, (c, k) in enumerate(brackets)]
-        some = reduce(lambda a, b: a | b, [value[c].between(*ends) for (c, _), ends in brackets.items()])
+        if brackets or sum(x[2] for x in open_keys.values()) > MOST_RANKED:
+            inside = {key: between[key] for key in open_keys}
+            shares = {key: [max(0.0, min(x[4]) - margin), min(1.0, max(x[4]) + margin)] for key, x in open_keys.items()}
+            row = df.agg(*[F.percentile_approx(inside[key], shares[key], ACCURACY).alias(f"k{i}") for i, key in enumerate(open_keys)]).first()
+            brackets |= {key: tuple(row[f"k{i}"]) for i, key in enumerate(open_keys)}
+            continue
+        each = [F.when(between[key].isNotNull(), F.struct(F.lit(i).alias("i"), value[key[0]].alias("v"))) for i, key in enumerate(open_keys)]
+        some = reduce(lambda a, b: a | b, [between[key].isNotNull() for key in open_keys])
         grouped = df.filter(some).select(F.explode(F.array_compact(F.array(*each))).alias("e")).groupBy("e.i", "e.v").agg(F.count(F.lit(1)).alias("n"))
-        keys, last = list(brackets), {}
-        for r in grouped.orderBy("i", "v").toLocalIterator():  # MOST_RANKED rows, or the tied values
-            key = keys[r["i"]]
-            low = last.get(key, below[key])
+        left, last = list(open_keys), {}
+        for r in grouped.orderBy("i", "v").toLocalIterator():  # MOST_RANKED rows
+            key = left[r["i"]]
+            low = last.get(key, open_keys[key][3])
             last[key] = low + r["n"]
             for side, rank in enumerate(ranks[key]):
                 if low <= rank < last[key]:

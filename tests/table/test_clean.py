@@ -158,6 +158,14 @@ def test_near_vectors_merge(spark):
     assert {r.item for r in categories.canonical_categories(df, vectors=vectors)[0].collect()} == {"Laptop", "Chair"}
 
 
+def test_many_labels_with_vectors(spark):
+    """A table of vectors for far more labels than the columns have values."""
+    df = spark.createDataFrame([("Laptop",), ("Laptop",), ("Notebook PC",), ("Chair",)], "item string")
+    others = [(f"label {k}", [float(k % 7), float(k % 11) - 5]) for k in range(500)]
+    vectors = spark.createDataFrame([("Laptop", [1.0, 0.1]), ("Notebook PC", [1.0, 0.12]), ("Chair", [0.0, 1.0]), *others], "label string, vector array<double>")
+    assert {r.item for r in categories.canonical_categories(df, vectors=vectors)[0].collect()} == {"Laptop", "Chair"}
+
+
 def test_clean_is_idempotent_and_total(spark):
     df = spark.createDataFrame([("a", "1", None), ("a", "1", None), (None, None, None), ("b", "2", None)], "`Name & Co` string, `Amount %` string, Empty string")
     once, _ = clean(df)

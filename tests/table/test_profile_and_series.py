@@ -21,6 +21,22 @@ def test_exact_quantiles(spark, n):
         assert got["b"] == [None] * 7
 
 
+def test_quantiles_at_the_edge_of_a_tie(spark, monkeypatch):
+    """Half of the values are 0 and the median lies between 0 and the next one: no list of values reaches the driver."""
+    monkeypatch.setattr(profile, "MOST_RANKED", 10)
+    r = random.Random(2)
+    values = [0.0] * 20_000 + [r.random() + 1 for _ in range(15_000)] + [1.5] * 5_000
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    seen = []
+    collect = type(df).toLocalIterator
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a, **b: (seen.append(x) or x for x in collect(self, *a, **b)))
+    probabilities = (0.0, 0.1, 0.5, 0.5001, 0.62, 0.7, 0.9, 0.99999, 1.0)
+    got = profile.exact_quantiles(df, ["v"], probabilities)["v"]
+    assert got == pytest.approx(list(np.percentile(values, [100 * p for p in probabilities]))) and len(seen) <= 10
+    near = profile.exact_quantiles(df, ["v"], (0.5, 0.7), nearest=True)["v"]
+    assert near == [sorted(values)[round(39_999 * p)] for p in (0.5, 0.7)]
+
+
 def test_profile_ignores_partitions(spark):
     df = spark.createDataFrame([(float(i % 17), f"c{i % 5}", i % 4 or None) for i in range(300)], "v double, c string, k int")
     plain = lambda d: sorted([round(x, 9) if isinstance(x, float) else x for x in r] for r in profile.numeric_profile(d).collect())
