@@ -19,6 +19,7 @@ Extra columns are ignored. Spans count code points, end exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect
 
@@ -127,13 +128,25 @@ def loose_kinds(text: str) -> list[str]:
 
 
 def _mask(words: list[str]) -> str:
-    return re.sub(r"[0-9]+", "0", " ".join(words)).lower()
+    return " ".join(re.sub(r"[0-9]+", "0", w).lower() if len(w) <= _LONG_WORD else "#" + hashlib.md5(w.lower().encode()).hexdigest() for w in words)
+
+
+#: Longer words stand in patterns by a digest.
+_LONG_WORD = 80
+_BEFORE, _AFTER = re.compile(r"[^\s:=]+[:=]*"), re.compile(r"\s*(\S+)")
 
 
 def _around(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place: two words before; the word before and the one after."""
-    before = re.findall(r"[^\s:=]+[:=]*", text[max(0, start - 80) : start])[-2:]
-    after = re.findall(r"\S+", text[end : end + 40])[:1]
+    """The lexical patterns of a place: two words before; the word before and the one after; whole words, however long."""
+    reach = 80
+    while True:
+        low = max(0, start - reach)
+        found = _BEFORE.findall(text, low, start)
+        if len(found) > 2 or not low:  # the first of three may be cut
+            break
+        reach *= 4
+    before, behind = found[-2:], _AFTER.match(text, end)
+    after = [behind[1]] if behind else []
     out = [f"{_mask(before)} _"] if len(before) == 2 else []
     return out + ([f"{_mask(before[-1:])} _ {_mask(after)}"] if before and after else [])
 

@@ -125,3 +125,22 @@ def test_graph_scores_match_a_plain_version(spark):
             if doubts:
                 mass[i, k] = 1 - exp(sum(doubts))
     assert got.keys() == patterns.keys() and all(abs(got[x] - patterns[x]) < 1e-9 for x in got) and len(got) >= 4
+
+
+def test_words_of_patterns_are_whole():
+    """Words around a mention are read whole: patterns of words that differ behind 80 characters differ, and no word is cut."""
+    from gristmill.llm.pii import _around
+
+    for n in (10, 79, 80, 81, 200, 5000):
+        word, other = "w" * n, "v" * n
+        text = f"start {other} {word}: a@b.cc {other}x tail"
+        at = text.index("a@b")
+        two, both = _around(text, at, at + 6)
+        shown = lambda w: w if len(w) <= 80 else None
+        if n < 80:
+            assert two == f"{other} {word}: _" and both == f"{word}: _ {other}x"
+        else:
+            assert two.endswith(" _") and shown(word + ":") is None and len(two) < 200 and len(both) < 200
+        assert _around(text.replace("w:", "y:", 1), at, at + 6)[0] != two and _around(text.replace("vx", "vz", 1), at, at + 6)[1] != both
+    assert _around("a" + " " * 300 + "b 1@c.de" + " " * 300 + "e", 303, 309) == ["a b _", "b _ e"]
+    assert _around("1@c.de", 0, 6) == [] and _around("x 1@c.de", 2, 8) == []
