@@ -17,7 +17,7 @@ from .profile import BLOCK, ROW, col, data_columns
 # Fixed values of the fuzzy rule.
 LEAST_RATIO, MOST_TEXT_COLUMNS = 0.94, 8
 #: Characters of the pieces by which near texts are found.
-GRAM = 2
+GRAM = 4
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from .grid import read_delimited
 from .json_text import read_json
 from .xlsx import read_workbook
 
-FORMATS = ("csv", "tsv", "xlsx", "json", "parquet")
+FORMATS = ("csv", "tsv", "xlsx", "xls", "json", "parquet")
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, max_rows: int | None = None, **options) -> tuple[DataFrame, dict]:
@@ -19,8 +19,8 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, max_row
     fmt = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if fmt in ("csv", "tsv"):
         return read_delimited(spark, path, max_rows=max_rows, **options)
-    if fmt == "xlsx":
-        df, info = read_workbook(spark, path), {"type": "workbook"}
+    if fmt in ("xlsx", "xls"):
+        df, info = read_workbook(spark, path, old=fmt == "xls"), {"type": "workbook"}
     elif fmt == "json":
         return read_json(spark, path, max_rows=max_rows, **options)
     elif fmt == "parquet":

@@ -215,14 +215,17 @@ def cast_dates_and_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({c: col(c).try_cast(k) for c, k in kinds.items() if k}) if any(kinds.values()) else df
 
 
-def read_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Each sheet of a workbook as a typed table, by its name; of several files by file and name."""
-    return sheets_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+def read_sheets(spark: SparkSession, path: str, old: bool = False) -> dict[str, DataFrame]:
+    """Each sheet of a workbook (``old``: .xls) as a typed table, by its name; of several files by file and name."""
+    from .xls import old_workbook_cells
 
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    return sheets_of(old_workbook_cells(books) if old else workbook_cells(books))
 
-def sheets_of(books: DataFrame, piece: int = PIECE) -> dict[str, DataFrame]:
-    """``read_sheets`` of workbooks given as (path, content)."""
-    cells = materialized(workbook_cells(books, piece))
+
+def sheets_of(cells: DataFrame) -> dict[str, DataFrame]:
+    """``read_sheets`` of (file, sheet, place, row, cells)."""
+    cells = materialized(cells)
     out = {}
     widths = cells.groupBy("file", "place", "sheet").agg(F.max(F.size("cells")).alias("width")).orderBy("file", "place").collect()
     several = len({r.file for r in widths}) > 1
@@ -234,6 +237,6 @@ def sheets_of(books: DataFrame, piece: int = PIECE) -> dict[str, DataFrame]:
     return out
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets of a workbook as one table."""
-    return combine_sheets(read_sheets(spark, path))
+def read_workbook(spark: SparkSession, path: str, old: bool = False) -> DataFrame:
+    """All sheets of a workbook (``old``: .xls) as one table."""
+    return combine_sheets(read_sheets(spark, path, old))
