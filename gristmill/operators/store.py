@@ -27,6 +27,29 @@ def page(df: DataFrame, order_by: str, ties: list[str], number: int = 1, size: i
     return rows.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k").drop("__k")
 
 
+def page_after(df: DataFrame, order_by: str, ties: list[str], after: dict | None = None, size: int = 20) -> DataFrame:
+    """The ``size`` rows that follow the row ``after`` (its values of the order's columns), the newest first.
+
+    Only rows behind the key are compared, and each task sends on ``size`` of them: no page, however late, sorts the
+    table. Rows without the order's column aren't listed.
+    """
+    rows = df.filter(col(order_by).isNotNull())
+    if after is not None:
+        same, behind = col(order_by) == F.lit(after[order_by]), col(order_by) < F.lit(after[order_by])
+        for t in ties:
+            behind, same = behind | (same & (col(t) > F.lit(after[t]))), same & (col(t) == F.lit(after[t]))
+        rows = rows.filter(behind)
+    return rows.orderBy(col(order_by).desc(), *[col(t) for t in ties]).limit(size)
+
+
+def write_results(df: DataFrame, path: str, analysis: str = "analysis_id") -> None:
+    """Store the rows of analyses, one folder each; those of an analysis that is stored already are replaced, others stay.
+
+    A rerun or a retried job leaves the rows of its last success: Spark commits the folders when all tasks are done.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(analysis).parquet(path)
+
+
 def roll_up(df: DataFrame, status: str, size: str, done: str, active: list[str]) -> DataFrame:
     """One row: total, completed, active, row_sum."""
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(col(status) == done).alias("completed"), F.count_if(col(status).isin(active)).alias("active"), F.coalesce(F.sum(col(size)), F.lit(0)).alias("row_sum"))

@@ -93,6 +93,11 @@ def combined_quality(found: dict) -> dict:
     return {"score": max(95, found["score"]), "issues": issues, "fixes": issues}
 
 
+def range_label(start: float, end: float) -> str:
+    """The label of a histogram's range; of one value, the value."""
+    return f"{start:.0f}" if start == end else f"{start:.0f}-{end:.0f}"
+
+
 def analyze(df: DataFrame, name: str = "data", combined: bool = False) -> dict:
     """The whole report as a document; ``df`` is cached on executors meanwhile."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -109,6 +114,9 @@ def analyze(df: DataFrame, name: str = "data", combined: bool = False) -> dict:
                 rows, failed = [r.asDict() for r in chart_data(df, chart).collect()], None
             except PySparkException as error:  # one chart without data doesn't end the report
                 rows, failed = [], str(error).splitlines()[0]
+            if chart["type"] == "histogram":
+                rows = [r | {"label": range_label(r["bin_start"], r["bin_end"])} for r in rows]
+            chart["axis_labels"] = {"x": humanize(chart["x"]) if chart["x"] else None, "y": [humanize(m) for m in chart["measures"]]}
             drawn.append(chart | {"spec": visual_spec(chart, rows)} | ({"error": failed} if failed else {}))
         ahead, odd = forecasts(df, columns, kpis), anomalies(df, columns)
     finally:
@@ -116,7 +124,7 @@ def analyze(df: DataFrame, name: str = "data", combined: bool = False) -> dict:
     return {
         "profile_version": PROFILE_VERSION,
         "dataset": {"name": name, "row_count": facts["row_count"], "column_count": facts["column_count"]},
-        "columns": [vars(c) for c in columns],
+        "columns": [vars(c) | {"display_label": humanize(c.name)} for c in columns],
         "metrics": {"kpis": kpis, "correlations": {"|".join(p): r for p, r in facts["correlations"].items()}, "forecasts": ahead[:5], "anomalies": odd},
         "categories": {c.name: {"unique_count": c.distinct, "top_values": c.top[:10]} for c in columns if c.distinct},
         "date_range": facts["date_range"],

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .functions import text as T
-from .operators import categories, charts, combine, dedup, missing, ordered, outliers, profile, quality, ranking, series, store
+from .operators import categories, charts, combine, dedup, missing, ordered, outliers, profile, quality, ranking, series, sketches, store
 from .plans import analyze as analysis
 from .plans import clean as cleaning
 from .plans.chart_plan import select_charts
 from .plans.kpis import detect_kpis
 from .plans.relate import relationship_suggestions as related
-from .session import shared_path
+from .session import materialized, shared_path
 from .sources import grid, readers, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,28 @@ def top_values_by_column(spark, sf_dir):
     return profile.top_values(read(spark, sf_dir, "orders"))
 
 
+SKETCHED = ["o_custkey", "o_totalprice", "o_orderstatus"]
+
+
+@query(_each(SKETCHED, "SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS missing, true AS near, true AS unread FROM orders"))
+def grown_profile(spark, sf_dir):
+    """Orders written as two files, the second after the first was profiled: merged sketches against exact values, within their bounds."""
+    path, rows = shared_path(spark), read(spark, sf_dir, "orders").select(*SKETCHED)
+    rows.filter("o_custkey % 3 > 0").repartition(3).write.parquet(path)
+    _, known = sketches.grown_profile(spark.read.parquet(path), None)
+    known = materialized(known)
+    rows.filter("o_custkey % 3 = 0").repartition(2).write.mode("append").parquet(path)
+    grown = spark.read.parquet(path)
+    new = sketches.file_sketches(grown, known)
+    found = sketches.merged_profile(profile.union([known, new]), (0.5,))
+    exact = profile.missing_and_distinct(rows, SKETCHED).select("column_name", "distinct_count")
+    numbers = profile.numeric_profile(rows).select("column_name", "p25", "p75")
+    both = found.withColumnRenamed("distinct_count", "estimate").join(exact, "column_name").join(numbers, "column_name", "left")
+    near = (F.abs(F.col("estimate") - F.col("distinct_count")) <= 0.03 * F.col("distinct_count")) & F.coalesce(F.get("quantiles", F.lit(0)).between(F.col("p25"), F.col("p75")), F.lit(True))
+    unread = F.lit(new.select("file").distinct().count() == 2)
+    return both.select("column_name", "row_count", "missing", near.alias("near"), unread.alias("unread"))
+
+
 @query("SELECT 'l_shipdate' AS column_name, min(l_shipdate) AS min_date, max(l_shipdate) AS max_date FROM lineitem UNION ALL SELECT 'o_orderdate', min(o_orderdate), max(o_orderdate) FROM orders")
 def date_range_profile(spark, sf_dir):
     return profile.date_range_profile(read(spark, sf_dir, "lineitem")).union(profile.date_range_profile(read(spark, sf_dir, "orders")))
@@ -354,6 +376,28 @@ def top_groups(spark, sf_dir):
     return ranking.top_groups(read(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal").withColumn("total", F.round("total", 2))
 
 
+_NEWEST = "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn, role"
+
+
+@query(f"{_NEWEST} OFFSET 50 LIMIT 25")
+def page_after_key(spark, sf_dir):
+    """The third page of 25 rows, each found by the last row of the one before."""
+    rows, after = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), None
+    for _ in range(2):
+        after = store.page_after(rows, "conv_id", ["turn", "role"], after, 25).collect()[-1].asDict()
+    return store.page_after(rows, "conv_id", ["turn", "role"], after, 25)
+
+
+@query("SELECT o_orderstatus AS analysis_id, o_orderpriority AS priority, count(*) AS orders FROM orders GROUP BY ALL")
+def stored_results(spark, sf_dir):
+    """Results by analysis, of which one was first stored wrong and is replaced by its rerun."""
+    path = shared_path(spark)
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("analysis_id"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("orders"))
+    store.write_results(rows.withColumn("orders", F.expr("if(analysis_id = 'F', -1, orders)")), path)
+    store.write_results(rows.filter("analysis_id = 'F'"), path)
+    return spark.read.parquet(path).select("analysis_id", "priority", "orders")
+
+
 @query("SELECT conv_id, turn, role, (SELECT count(*) FROM conversations WHERE text ILIKE '%the%' AND role IN ('user', 'assistant')) AS total_count FROM conversations WHERE text ILIKE '%the%' AND role IN ('user', 'assistant') ORDER BY conv_id DESC, turn, role OFFSET 20 LIMIT 20")
 def metadata_page(spark, sf_dir):
     rows = store.filtered(read(spark, sf_dir, "conversations"), search={"text": "the"}, among={"role": ["user", "assistant"]}).select("conv_id", "turn", "role")

@@ -1,6 +1,8 @@
 import pytest
 
+from gristmill.operators import sketches, store
 from gristmill.plans.advice import merged, recommendations
+from gristmill.plans.analyze import range_label
 from gristmill.plans.chart_plan import select_charts, visual_spec
 from gristmill.plans.columns import Column, with_meaning
 from gristmill.plans.kpis import detect_kpis
@@ -80,3 +82,41 @@ def profile(*names, unique=10, filled=10):
 )
 def test_relations(files, kind):
     assert relationship_suggestions(files)[0]["type"] == kind
+
+
+def test_sketches_of_files_merge(spark, tmp_path):
+    """Sketches of several files against exact values; files that are known aren't read again."""
+    path = f"{tmp_path}/t"
+    spark.range(30_000).selectExpr("id % 5000 AS k", "sqrt(id) AS v", "if(id % 4 = 0, null, concat('n', id % 77)) AS name").repartition(3).write.parquet(path)
+    _, known = sketches.grown_profile(spark.read.parquet(path), None)
+    known = spark.createDataFrame(known.collect(), known.schema)
+    assert known.select("file").distinct().count() == 3 and known.count() == 9
+    spark.range(30_000, 40_000).selectExpr("id AS k", "sqrt(id) AS v", "cast(null AS string) AS name").coalesce(1).write.mode("append").parquet(path)
+    found, every = sketches.grown_profile(spark.read.parquet(path), known)
+    assert every.select("file").distinct().count() == 4
+    rows = {r.column_name: r for r in found.collect()}
+    assert (rows["k"].row_count, rows["k"].missing, rows["name"].missing, rows["k"].max) == (40_000, 0, 17_500, 39_999.0)
+    assert abs(rows["k"].distinct_count - 15_000) <= 450 and rows["name"].distinct_count == 77 and rows["name"].quantiles is None
+    for q, p in zip(rows["v"].quantiles, (0.25, 0.5, 0.75)):
+        assert abs(q * q / 40_000 - p) < 0.02
+    empty = {r.column_name: r for r in sketches.merged_profile(sketches.file_sketches(spark.createDataFrame([(None,)], "v double"))).collect()}
+    assert (empty["v"].row_count, empty["v"].missing, empty["v"].mean) == (1, 1, None)
+
+
+def test_pages_by_key_and_stored_results(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7 or None, i) for i in range(60)], "k int, n int").repartition(3)
+    want = sorted(((r.k, r.n) for r in df.collect() if r.k is not None), key=lambda r: (-r[0], r[1]))
+    got, after = [], None
+    while rows := store.page_after(df, "k", ["n"], after, 8).collect():
+        got, after = got + [tuple(r) for r in rows], rows[-1].asDict()
+    assert got == want
+    path = f"{tmp_path}/results"
+    one = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "analysis_id string, n int")
+    store.write_results(one, path)
+    store.write_results(one.filter("n = 2"), path)
+    store.write_results(one.filter("n = 2"), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("analysis_id", "n").collect()) == [("a", 2), ("b", 3)]
+
+
+def test_labels_of_ranges():
+    assert [range_label(*x) for x in ((0.5, 2.5), (3.0, 3.0), (-10.4, 99.6))] == ["0-2", "3", "-10-100"]
