@@ -233,8 +233,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
     ordered = work.table(ordered, "ordered")
     # Shingles of no other text come first in the order and meet nothing; the prefix's rest is counted from there.
     prefix = f"size(order) - ({percent} * n + 99) div 100 + 1"
-    heads = ordered.select("node", "n", "common", F.explode(F.expr(f"slice(order, 1, int({prefix}))")).alias("e"))
-    heads = work.table(heads.select("node", "n", "common", F.col("e.shingle").alias("shingle")), "heads")
+    heads = ordered.select("node", "n", "common", F.size("order").alias("rest"), F.posexplode(F.expr(f"slice(order, 1, int({prefix}))")).alias("at", "e"))
+    # Early: with all shingles from here on shared, a text of the same size would link. Of a pair that links, the
+    # first shared shingle is early in one of them at least, as else the smaller one hasn't enough left.
+    early = F.expr(f"(rest - at) * (100 + {percent}) >= 2 * {percent} * n")
+    heads = work.table(heads.select("node", "n", "common", F.col("e.shingle").alias("shingle"), early.alias("early")), "heads")
 
     # 3. Each text with the best of the centres of its prefix shingles; a shingle's centre is its text with the commonest shingles.
     centre = heads.groupBy("shingle").agg(F.max_by(F.struct("node", "n"), F.struct("common", "node")).alias("c"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
@@ -248,8 +251,8 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int
         labels = _relabelled(work, labels, found, "stars")
 
     # 4. All pairs across components that share a prefix shingle, block by block.
-    now = work.table(heads.select("node", "shingle").join(labels, "node"), "now")
-    mixed = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    now = work.table(heads.select("node", "shingle", "early").join(labels, "node"), "now")
+    mixed = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("early").alias("early")).filter("early AND low < high").select("shingle")
     open_ = work.table(now.join(work.table(mixed, "mixed"), "shingle", "left_semi"), "open")
     if not open_.isEmpty():
         found = work.table(_across(work, ordered, open_, stars, percent), "block-links")
@@ -295,17 +298,17 @@ def _across(work: Workspace, ordered: DataFrame, open_: DataFrame, stars: DataFr
     """Links (a, b) between components, from every two texts that share a shingle of ``open_``.
 
     Texts with the same centre stand in blocks of bounded size. Two blocks meet in one task when
-    texts of different components in them share a shingle; pairs are counted there, in numpy, and
-    only links come out.
+    texts of different components in them share a shingle that is early in one of the blocks; pairs are
+    counted there, in numpy, and only links come out.
     """
     texts = open_.select("node", "n", "label").distinct().join(stars.select(F.col("a").alias("node"), F.col("b").alias("centre")), "node", "left")
     texts = work.table(texts.withColumn("centre", F.coalesce("centre", "node")), "block-texts")
     parts = texts.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     texts = texts.join(work.table(parts, "block-parts"), "centre").select("node", "n", "label", F.expr("xxhash64(centre, pmod(xxhash64(node), parts))").alias("block"))
     texts = work.table(texts, "blocks")
-    kinds = open_.join(texts.select("node", "block"), "node").groupBy("shingle", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    kinds = open_.join(texts.select("node", "block"), "node").groupBy("shingle", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("early").alias("early"))
     kinds = work.table(kinds, "block-kinds")
-    meet = kinds.alias("x").join(kinds.alias("y"), "shingle").filter("x.block < y.block AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low) OR x.block = y.block AND x.low < x.high")
+    meet = kinds.alias("x").join(kinds.alias("y"), "shingle").filter("(x.early OR y.early) AND (x.block < y.block AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low) OR x.block = y.block AND x.low < x.high)")
     pairs = work.table(meet.select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct(), "block-pairs")
     full = texts.join(ordered.select("node", F.expr("transform(order, e -> e.shingle)").alias("shingles"), F.expr(f"transform(order, e -> {BAND})").alias("bands")), "node")
     full = work.table(full, "block-sets")

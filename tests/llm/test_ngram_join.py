@@ -94,3 +94,25 @@ def test_many_unlinked_texts_that_share_a_passage(spark):
     r.shuffle(rows)
     got = {x.doc_id: x.component_id for x in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {k: k for k in range(1500)} | {5000: 3, 5001: 7}
+
+
+def test_one_passage_in_many_unlinked_texts_meets_nothing(spark, monkeypatch):
+    """A passage that makes up most of all texts, none of which link: no two blocks are compared."""
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, passage + " " + " ".join(f"x{r.randrange(10**9)}" for _ in range(12))) for i in range(400)]
+    rows += [(1000 + i, passage + f" y{i} z{i}") for i in range(2)]
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 20)
+    met = []
+    compare = ngram_join._across
+
+    def counted(work, ordered, open_, stars, percent):
+        met.append(open_.filter("node IS NOT NULL").select("node").distinct().count())
+        return compare(work, ordered, open_, stars, percent)
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    df = spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(4)
+    got = ngram_components(df).collect()
+    assert all(x.component_id == x.doc_id for x in got) and len(got) == 400 and met == []
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((str(x.doc_id), x.n_shingles, x.component_id) for x in ngram_components(df).collect()) == brute(rows)
