@@ -21,7 +21,7 @@ from .secrets import KINDS as SECRET_KINDS
 from .secrets import secrets
 from .token_counts import token_counts
 from .toxicity import NgramModel, fit, scored
-from .url_filter import url_verdicts
+from .url_filter import RULES, UNITS, url_verdicts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -122,6 +122,58 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+OP8_SQL = """
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS place, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT place, doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' ')))
+                               WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+    FROM texts
+), each AS MATERIALIZED (
+    SELECT place, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS MATERIALIZED (
+    SELECT x.place AS a, y.place AS b FROM each x JOIN each y ON x.shingle = y.shingle AND x.place <> y.place
+    GROUP BY x.place, y.place, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT place AS v, place AS w FROM sets UNION SELECT r.v, l.b FROM reach r JOIN links l ON l.a = r.w
+), least AS (
+    SELECT r.v, min(s.doc_id) AS component_id FROM reach r JOIN sets s ON s.place = r.w GROUP BY r.v
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON v = place
+"""
+
+
+def link_sql(steps: int = 12) -> str:
+    """Rules, host edges, and both masses step by step, as whole numbers."""
+    folded = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    space = "[\\x09-\\x0D\\x20]"
+    link = f"(?i)(?:href|src){space}*={space}*[\"'']?{space}*(?:https?:)?//([^/?#\"''\\x09-\\x0D\\x20<>]+)"
+    parts = [
+        f"cut AS MATERIALIZED (SELECT page_id, html, {folded("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"judged AS MATERIALIZED (SELECT *, {case(1)} AS rule, {case(2)} AS ruled FROM cut)",
+        f"linked AS (SELECT host AS a, {folded('dest')} AS b FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS dest FROM cut))",
+        "labels AS (SELECT string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM cut))",
+        "up AS (SELECT DISTINCT array_to_string(l[k:], '.') AS low, array_to_string(l[k + 1:], '.') AS high FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM labels WHERE len(l) > 2))",
+        "edges AS MATERIALIZED (SELECT a, b, count(*) AS links FROM (SELECT * FROM linked UNION ALL SELECT low, high FROM up UNION ALL SELECT high, low FROM up) WHERE a <> '' AND b <> '' AND a <> b GROUP BY ALL)",
+        f"seeds AS MATERIALIZED (SELECT host, ruled, floor({float(UNITS)}::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY ruled))::BIGINT AS seed FROM judged WHERE ruled IS NOT NULL AND host <> '' GROUP BY host, ruled)",
+    ]
+    for name, kind, a, b in (("trust", "allow", "a", "b"), ("distrust", "block", "b", "a")):
+        parts.append(f"{name}_edges AS MATERIALIZED (SELECT {a} AS a, {b} AS b, links, sum(links) OVER (PARTITION BY {a}) AS all_links FROM edges)")
+        parts.append(f"{name}_0 AS (SELECT host, seed AS mass FROM seeds WHERE ruled = '{kind}')")
+        for k in range(steps):
+            sent = f"SELECT b AS host, floor(mass::DOUBLE * 85 * links / (100 * all_links)::DOUBLE)::BIGINT AS mass FROM {name}_edges JOIN {name}_{k} ON a = host"
+            parts.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(mass)::BIGINT AS mass FROM ({sent} UNION ALL SELECT host, seed * 15 // 100 FROM seeds WHERE ruled = '{kind}') GROUP BY host)")
+    return "WITH " + ",\n".join(parts) + f"""
+    SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+           coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
+    FROM judged j LEFT JOIN trust_{steps} t ON t.host = j.host LEFT JOIN distrust_{steps} d ON d.host = j.host
+    """
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"))
 
@@ -237,6 +289,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_curriculum_mix": OP4_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
+    "op9_url_filter": link_sql(),
     "op11_importance_resampling": OP11_SQL,
     "op13_centroid_clusters": clustering_sql(),
 }
