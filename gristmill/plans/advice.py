@@ -51,11 +51,23 @@ def _masked(title: str) -> str:
     return re.sub(r"\d[\d,.\s]*", "#", title.lower()).strip()
 
 
+# Words of advice on volumes, of which one is enough, and the subjects that are told apart in it.
+VOLUME_WORDS, VOLUME_SUBJECTS = ("high-volume", "high volume", "concentration"), ("global business mobility", "skilled worker")
+
+
+def _key(item: dict) -> str:
+    """What makes two items the same: titles but for numbers, and for advice on volumes its subject, whatever the words."""
+    said = " ".join(f"{item.get('title') or ''} {item.get('evidence') or ''}".lower().split())
+    if any(w in said for w in VOLUME_WORDS):
+        return "volume:" + next((w for w in VOLUME_SUBJECTS if w in said), "")
+    return _masked(item["title"])
+
+
 def merged(*lists: list[dict], most: int = MOST_ADVICE) -> list[dict]:
-    """Items in order without those whose title only differs in numbers."""
+    """Items with a title in order, of those with one key the first."""
     seen: dict[str, dict] = {}
-    for item in (i for items in lists for i in items):
-        seen.setdefault(_masked(item["title"]), item)
+    for item in (i for items in lists for i in items if (i.get("title") or "").strip()):
+        seen.setdefault(_key(item), item)
     return list(seen.values())[:most]
 
 

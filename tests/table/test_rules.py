@@ -120,3 +120,8 @@ def test_pages_by_key_and_stored_results(spark, tmp_path):
 
 def test_labels_of_ranges():
     assert [range_label(*x) for x in ((0.5, 2.5), (3.0, 3.0), (-10.4, 99.6))] == ["0-2", "3", "-10-100"]
+
+
+def test_advice_on_volumes_shares_a_key():
+    said = [{"title": "Review the High-Volume group", "evidence": "a"}, {"title": "Check concentration", "evidence": "b"}, {"title": "Concentration risk", "evidence": "Skilled  Worker share"}, {"title": " "}, {"title": "Fix 3 gaps"}, {"title": "Fix 12 gaps", "evidence": "other"}]
+    assert [x["title"] for x in merged(said[:1], said[1:])] == ["Review the High-Volume group", "Concentration risk", "Fix 3 gaps"]
