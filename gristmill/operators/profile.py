@@ -15,8 +15,10 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 # What a profile lists of a column, and which correlations.
 TOP_VALUES, TOP_VALUES_UP_TO, LEAST_CORRELATION = 10, 50, 0.3
-#: Pairs of columns whose correlations come from one pass.
-PAIRS_AT_ONCE = 200
+#: Pairs of columns in one aggregate: the code of a larger one is too long for the JVM to compile.
+PAIRS_AT_ONCE = 4
+#: Share of a column's squares that must be left as spread around the mean, and bounds of the spread, for a correlation from sums.
+LEAST_SPREAD, LEAST_SQUARES = 1e-6, 1e-200
 
 
 #: Columns that carry the row order through a chain of steps; no step takes them for data.
@@ -191,22 +193,72 @@ def top_values(df: DataFrame, columns: list[str] | None = None, top: int = TOP_V
     return counts.withColumn("place", place).filter(F.col("place") <= top)
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_CORRELATION, most: int | None = None) -> DataFrame:
-    """(left_column, right_column, correlation) where its size exceeds ``least``; PAIRS_AT_ONCE in one aggregate; constant columns have none."""
-    columns = (columns or columns_of(df, "numeric"))[:most]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left_column string, right_column string, correlation double")
+def _pair_sums(columns: list[str], shifts: list[float]):
+    """Of a task's rows, for every two columns: rows with both values, and the sums of shifted values, squares and products over these rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    first, second = np.triu_indices(len(columns), 1)
+
+    def sums(batches):
+        total = np.zeros((6, len(first)))
+        for batch in batches:
+            held = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], np.float64)
+            with np.errstate(all="ignore"):  # what isn't finite is told by its sums
+                x = np.array([c.fill_null(s).to_numpy(zero_copy_only=False) - s for c, s in zip(batch.columns, shifts, strict=True)])
+                one, two, both = x @ held.T, (x * x) @ held.T, x @ x.T
+            parts = ((held @ held.T)[first, second], one[first, second], one[second, first], two[first, second], two[second, first], both[first, second])
+            total += np.array(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *map(pa.array, total)], ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    return sums
+
+
+def _plain_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Correlations by Spark's own moments, PAIRS_AT_ONCE in one aggregate; None for constant columns."""
 
     def one(a: str, b: str) -> Column:
         both = col(a).isNotNull() & col(b).isNotNull()
         x, y = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
         spread = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.round(F.when(spread > 0, F.covar_pop(x, y) / spread), 3).alias("correlation"))
+        return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
-    parts = [pairs[k : k + PAIRS_AT_ONCE] for k in range(0, len(pairs), PAIRS_AT_ONCE)]
-    rows = union([as_rows(df.agg(*[one(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)]), [f"c{i}" for i in range(len(part))]) for part in parts])
-    return rows.filter(F.abs("correlation") > least)
+    out: dict[tuple[str, str], float | None] = {}
+    for k in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[k : k + PAIRS_AT_ONCE]
+        out |= dict(zip(part, df.agg(*[one(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first(), strict=True))
+    return out
+
+
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_CORRELATION, most: int | None = None) -> DataFrame:
+    """(left_column, right_column, correlation) where its size exceeds ``least``; constant columns have none.
+
+    Each task multiplies its batches' values, shifted by the columns' means, as matrices, and Spark adds
+    the sums of each pair. Pairs whose sums aren't finite, or leave few digits as a column hardly varies
+    where both have values, are computed again by Spark's own moments.
+    """
+    columns = (columns or columns_of(df, "numeric"))[:most]
+    result = "left_column string, right_column string, correlation double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], result)
+    values = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(f"c{i}") for i in range(len(columns))]).first()
+    shifts = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    sums = values.mapInArrow(_pair_sums(columns, shifts), "a int, b int, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy")))
+    found, again = {}, []
+    for r in sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).collect():  # a row a pair
+        pair = columns[r.a], columns[r.b]
+        if not r.n:
+            continue
+        left, right = r.xx - r.x * r.x / r.n, r.yy - r.y * r.y / r.n
+        if not all(map(math.isfinite, r)) or left <= LEAST_SPREAD * r.xx or right <= LEAST_SPREAD * r.yy or not LEAST_SQUARES < min(left, right) <= max(left, right) < 1 / LEAST_SQUARES:
+            again.append(pair)
+        else:
+            found[pair] = (r.xy - r.x * r.y / r.n) / math.sqrt(left) / math.sqrt(right)
+    found |= _plain_correlations(df, again)
+    order = {c: i for i, c in enumerate(columns)}
+    rows = [(a, b, found[a, b]) for a, b in sorted(found, key=lambda p: (order[p[0]], order[p[1]])) if found[a, b] is not None]
+    return df.sparkSession.createDataFrame(rows, result).withColumn("correlation", F.round("correlation", 3)).filter(F.abs("correlation") > least)
 
 
 def first_values(df: DataFrame, samples: int) -> DataFrame:
