@@ -53,6 +53,11 @@ CATEGORY_ALIASES = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: Spark computes what branches share in each of them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -60,8 +65,7 @@ def squeezed(text: Column) -> Column:
 
 def without_missing(text: Column) -> Column:
     """Squeezed text; a missing token reads as null."""
-    clean = squeezed(text)
-    return F.when(~F.lower(clean).isin(*MISSING_TOKENS), clean)
+    return bound(squeezed(text), lambda clean: F.when(~F.lower(clean).isin(*MISSING_TOKENS), clean))
 
 
 def number_in(text: Column, strict: bool = False) -> Column:
@@ -69,20 +73,28 @@ def number_in(text: Column, strict: bool = False) -> Column:
 
     The first number anywhere in the cell counts; ``strict`` wants nothing but the number.
     """
-    low = F.lower(F.trim(text))
+    return bound(F.lower(F.trim(text)), lambda low: F.when(low.rlike(r"\d"), _number(low, strict)))
+
+
+def _number(low: Column, strict: bool) -> Column:
     negative = low.startswith("-") | (low.startswith("(") & low.endswith(")"))
-    inner = F.regexp_replace(low, r"^[()]+|[()]+$", "")
-    factor = F.lit(1.0)
-    for pattern, scale in reversed(SCALES):
-        factor = F.when(inner.rlike(pattern), F.lit(scale)).otherwise(factor)
-    bare = F.regexp_replace(inner, rf"\b({'|'.join(CURRENCY_CODES)})\b|[,%{CURRENCY_SIGNS}]", "")
-    bare = F.replace(F.regexp_replace(bare, SCALE_WORDS, ""), F.lit(" "), F.lit(""))
-    found = F.regexp_extract(bare, r"[-+]?\d*\.?\d+", 0)
-    usable = (found != "") & ~low.isin(*MISSING_TOKENS)
-    if strict:
-        usable &= found == bare
-    value = found.try_cast("double") * factor
-    return F.when(usable, F.when(negative, -F.abs(value)).otherwise(value))
+
+    def scaled(inner: Column) -> Column:
+        factor = F.lit(1.0)
+        for pattern, scale in reversed(SCALES):
+            factor = F.when(inner.rlike(pattern), F.lit(scale)).otherwise(factor)
+        bare = F.regexp_replace(inner, rf"\b({'|'.join(CURRENCY_CODES)})\b|[,%{CURRENCY_SIGNS}]", "")
+        bare = F.replace(F.regexp_replace(bare, SCALE_WORDS, ""), F.lit(" "), F.lit(""))
+
+        def value(bare: Column) -> Column:
+            found = F.regexp_extract(bare, r"[-+]?\d*\.?\d+", 0)
+            # An empty text isn't tried: each failing try costs an exception.
+            return bound(found, lambda x: F.when((x != "") & (x == bare) if strict else x != "", x).try_cast("double") * factor)
+
+        return bound(bare, value)
+
+    number = bound(F.regexp_replace(low, r"^[()]+|[()]+$", ""), scaled)
+    return F.when(~low.isin(*MISSING_TOKENS), bound(number, lambda n: F.when(negative, -F.abs(n)).otherwise(n)))
 
 
 def shows_currency(text: Column) -> Column:
@@ -116,7 +128,7 @@ def _fields(cell: Column, shape: str) -> Column:
     first = sum(c == "(" and date[k + 1] != "?" for k, c in enumerate(date)) + 1
     wanted = [f"${g}" if g else "1" for g in (*groups, *range(first, first + 6))]
     parts = F.split(F.regexp_replace(cell, f"^{_WEEKDAY}{date}{_TIME}{_ZONE}$", _MARK.join([*wanted, "?" if shape == "numbers" else ""])), _MARK)
-    return F.when(F.size(parts) == 10, parts)
+    return bound(parts, lambda p: F.when(F.size(p) == 10, p))
 
 
 def moment_in(text: Column, day_first: bool = False) -> Column:
@@ -126,17 +138,24 @@ def moment_in(text: Column, day_first: bool = False) -> Column:
     time of day with seconds, fractions and am or pm, and a zone's offset may follow. Of three numbers the first two are
     month and day, or as ``day_first`` says; the other way where a month would be over 12.
     """
-    cell = F.lower(without_missing(text))
+    return bound(F.lower(without_missing(text)), lambda cell: bound(_found(cell), lambda f: _assembled(f, day_first)))
+
+
+def _found(cell: Column) -> Column:
+    """The fields of a cell in lower case, by the first shape that fits."""
     tried = lambda *shapes: F.coalesce(*[_fields(cell, s) for s in shapes])
     named = cell.rlike(rf"(?:^|[^a-z])(?:{_MONTHS})(?:[^a-z]|$)")
-    found = F.when(named, tried("day, name", "name, day", "year, name", "name, year")).when(cell.rlike(r"(?:^|[a-z] )\d{4}[-/. ]"), tried("year first")).when(cell.rlike(r"\d{8}"), tried("digits")).otherwise(tried("numbers"))
-    # Bound once, as every field is read from it.
-    return F.get(F.transform(F.array(found), lambda f: _assembled(f, day_first)), F.lit(0))
+    return F.when(named, tried("day, name", "name, day", "year, name", "name, year")).when(cell.rlike(r"(?:^|[a-z] )\d{4}[-/. ]"), tried("year first")).when(cell.rlike(r"\d{8}"), tried("digits")).otherwise(tried("numbers"))
+
+
+def _digits(text: Column) -> Column:
+    """The number of a field of digits; null for an empty one or a name, without trying: each failing try costs an exception."""
+    return F.when((text >= "0") & (text < ":"), text).try_cast("int")
 
 
 def _assembled(f: Column, day_first: bool) -> Column:
     text = lambda k: F.get(f, F.lit(k))
-    number = lambda k: text(k).try_cast("int")
+    number = lambda k: _digits(text(k))
     year = F.when(F.length(text(0)) > 2, number(0)).otherwise(number(0) + F.when(number(0) < PIVOT, 2000).otherwise(1900))
     by_name = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(text(1), 1, 3)) + 2) / 3).cast("int")
     one, two = F.coalesce(number(1), by_name), F.coalesce(number(2), F.lit(1))
@@ -145,7 +164,7 @@ def _assembled(f: Column, day_first: bool) -> Column:
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     seconds = F.concat(F.coalesce(number(5), F.lit(0)).cast("string"), F.lit("."), text(6), F.lit("0")).try_cast("decimal(16,6)")
     zone = F.replace(text(8), F.lit(":"), F.lit(""))
-    minutes = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0)), F.lit(0))
+    minutes = F.coalesce(_digits(F.substring(zone, 2, 2)) * 60 + F.coalesce(_digits(F.substring(zone, 4, 2)), F.lit(0)), F.lit(0))
     made = F.try_make_timestamp_ntz(year, F.when(turned, two).otherwise(one), F.when(turned, one).otherwise(two), hour, F.coalesce(number(4), F.lit(0)), seconds)
     return made - F.make_dt_interval(mins=F.when(zone.startswith("-"), -minutes).otherwise(minutes))
 

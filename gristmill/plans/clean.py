@@ -67,7 +67,8 @@ def normalize_dates(df: DataFrame) -> tuple[DataFrame, list[dict]]:
     if not wanted:
         return df, []
     moments = {c: T.moment_in(clean[c]) for c in wanted}
-    counts = df.agg(*[F.struct(F.count(clean[c]).alias("filled"), F.count(moments[c]).alias("parsed"), F.coalesce(F.max(T.has_clock(clean[c])), F.lit(False)).alias("clock")).alias(f"c{i}") for i, c in enumerate(wanted)]).first()
+    cells = [F.col(f"v{i}") for i in range(len(wanted))]  # cleaned once
+    counts = df.select(*[clean[c].alias(f"v{i}") for i, c in enumerate(wanted)]).agg(*[F.struct(F.count(v).alias("filled"), F.count(T.moment_in(v)).alias("parsed"), F.coalesce(F.max(T.has_clock(v)), F.lit(False)).alias("clock")).alias(f"c{i}") for i, v in enumerate(cells)]).first()
     changed, report = {}, []
     for i, c in enumerate(wanted):
         n = counts[f"c{i}"]
@@ -83,7 +84,8 @@ def parse_numbers(df: DataFrame, strict: bool = False) -> tuple[DataFrame, list[
     if not columns:
         return df, []
     clean = {c: T.without_missing(col(c)) for c in columns}
-    counts = df.agg(*[F.struct(F.count(clean[c]).alias("filled"), F.count(T.number_in(clean[c], strict)).alias("parsed"), F.coalesce(F.max(T.shows_currency(clean[c])), F.lit(False)).alias("currency"), F.coalesce(F.max(clean[c].contains("%")), F.lit(False)).alias("percent")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    cells = [F.col(f"v{i}") for i in range(len(columns))]  # cleaned once
+    counts = df.select(*[clean[c].alias(f"v{i}") for i, c in enumerate(columns)]).agg(*[F.struct(F.count(v).alias("filled"), F.count(T.number_in(v, strict)).alias("parsed"), F.coalesce(F.max(T.shows_currency(v)), F.lit(False)).alias("currency"), F.coalesce(F.max(v.contains("%")), F.lit(False)).alias("percent")).alias(f"c{i}") for i, v in enumerate(cells)]).first()
     changed, report = {}, []
     for i, c in enumerate(columns):
         n, name = counts[f"c{i}"], N.standard_name(c)
