@@ -3,7 +3,7 @@
 The order is that of the files as they are: by path, by the place of a split in its file, and by the
 place of a row in its split. Spark reads splits in the order of their sizes and packs several in a task,
 so neither partition numbers nor ascending ids tell it; the hidden columns of a file scan do. Rows are numbered in blocks
-(a split of a file, or a partition of other tables); the few block totals are accumulated apart and
+(pieces of at most BLOCK_ROWS rows of a split of a file, or of a partition of other tables); the few block totals are accumulated apart and
 joined back, so a table of any size is ordered by its blocks in parallel. Once numbered, rows carry
 ``__row`` and ``__block`` through the steps that need the order, and tables may be written and read in between.
 """
@@ -18,6 +18,8 @@ from .profile import BLOCK, ROW, col
 
 #: Plan nodes that keep the rows of a scan in their order.
 _KEEPS_ORDER = ("Project", "Filter", "SubqueryAlias")
+#: Rows of a block at most, however large a split is: a window over a block is sorted and held by one task.
+BLOCK_ROWS = 1 << 16
 
 
 def reads_files(df: DataFrame) -> bool:
@@ -48,10 +50,10 @@ def with_row_number(df: DataFrame, order_by: list[str] | None = None) -> DataFra
     rows = df.orderBy(*[col(c).asc_nulls_last() for c in order_by]) if order_by else df
     # Rows of a split follow each other in one task, so their ids have no gaps.
     rows = rows.drop(ROW, BLOCK).select("*", file.alias("__file"), start.alias("__start"), F.monotonically_increasing_id().alias("__id"))
-    marked = materialized(rows.withColumn("__part", F.shiftright("__id", 33)))
+    marked = materialized(rows.withColumn("__part", F.floor(F.col("__id") / BLOCK_ROWS)))  # ids of a partition start at a multiple of 2^33
     split = ["__file", "__start", "__part"]
     sizes = marked.groupBy(*split).agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__first"))
-    along = Window.orderBy(*split)  # a row a split
+    along = Window.orderBy(*split)  # a row a block
     before = F.coalesce(F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = materialized(sizes.select(*split, (before - F.col("__first")).alias("__shift"), (F.row_number().over(along) - 1).cast("long").alias(BLOCK)))
     return marked.join(starts, split).withColumn(ROW, F.col("__id") + F.col("__shift")).drop(*split, "__id", "__shift")

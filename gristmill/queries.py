@@ -288,7 +288,7 @@ def impute_in_file_order(spark, sf_dir):
     path = shared_path(spark)
     edges = _holed(spark, sf_dir).groupBy((F.col("o_orderkey") / 100).cast("long").alias("k")).count().select("k", F.expr("CAST(9 * pow(percent_rank() OVER (ORDER BY k), 3) AS INT)").alias("part"))
     rows = _holed(spark, sf_dir).join(edges, (F.col("o_orderkey") / 100).cast("long") == F.col("k")).drop("k")
-    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").parquet(path)
+    rows.repartitionByRange("part", "o_orderkey").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").parquet(path)
     out, _ = cleaning.clean(spark.read.parquet(path).drop("part"), cleaning.CleaningOptions(remove_duplicates=False, semantic_categorical_merging=False, standardize_columns=False, normalize_dates=False, parse_currency_percent=False))
     return out.select("o_orderkey", F.round("price", 4).alias("price"), "priority")
 
