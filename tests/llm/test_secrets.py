@@ -122,3 +122,30 @@ def test_held_back_findings_of_the_tables(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     net = secret_network(d)
     assert net.recall >= LEAST_RECALL and net.false_share <= 0.02
+
+
+def test_every_window_has_its_part(spark, monkeypatch):
+    """Fits see every window that isn't held back, in shards; threshold and recall count all that are."""
+    import gristmill.llm.secrets as m
+
+    monkeypatch.setattr(m, "SHARD_WINDOWS", 300)
+    d = spark.createDataFrame(documents(), "doc_id long, text string")
+    fits, judged = [], []
+    fit, calibrated = m._mean_fit, m._calibrated
+    monkeypatch.setattr(m, "_mean_fit", lambda used, *rest: fits.append([(r.shard, r.window) for r in used.collect()]) or fit(used, *rest))
+    monkeypatch.setattr(m, "_calibrated", lambda net, z, y, n: judged.append(n.sum()) or calibrated(net, z, y, n))
+    net = m.secret_network(d)
+    every = {w for _, t in documents() for c in CANDIDATE.finditer(t or "") for w in windows(t, *c.span())}
+    assert len(fits) == 2 and set(fits[0]) < set(fits[1]) and len({k for k, _ in fits[1]}) > 2
+    assert len(fits[1]) + judged[0] == len(every) and {w for _, w in fits[1]} <= every
+    assert net.recall >= LEAST_RECALL and net.false_share <= 0.1
+
+
+def test_each_window_of_a_shard_is_used(monkeypatch):
+    import gristmill.llm.secrets as m
+
+    some, seen = [f"{k:064d}".replace("0", "a") for k in range(1, 400)], set()
+    monkeypatch.setattr(m, "encoded", lambda some: np.array([[int(w.replace("a", "0"))] * 64 for w in some]))
+    monkeypatch.setattr(m, "_gradients", lambda net, codes, labels: seen.update(codes[:, -1].tolist()) or [0 * p for p in (net.kernel, net.shift, net.out, np.zeros(1))])
+    m._fitted(m._start(), some, np.arange(399) // 150, (np.arange(399) >= 300).astype(int), 1, 0.0, 1)
+    assert seen == set(range(1, 400))
