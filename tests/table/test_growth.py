@@ -34,7 +34,7 @@ def test_numbers_of_odd_cells(spark):
     cells = {"$1,234.50": 1234.5, "(£3,000)": -3000.0, "-5": -5.0, "12.5%": 12.5, "usd 1.2k": 1200.0, "3 bn": 3e9, "": None, "n/a": None, "O": None, "abc": None, "..": None, "7.": 7.0, "a.5b": 5e8, None: None, "٣": None}
     got = spark.createDataFrame([(k,) for k in cells], "t string").select("t", T.number_in(F.col("t")).alias("n"), T.number_in(F.col("t"), True).alias("s")).collect()
     assert {r.t: r.n for r in got} == cells
-    assert {r.t for r in got if r.s is not None} == {"$1,234.50", "(£3,000)", "-5", "12.5%", "usd 1.2k", "3 bn"}
+    assert {r.t for r in got if r.s is not None} == {"$1,234.50", "(£3,000)", "-5", "12.5%", "3 bn"}
 
 
 def test_correlations_by_sums_are_those_of_moments(spark, monkeypatch):
