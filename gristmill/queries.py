@@ -318,7 +318,7 @@ def delimited_folder(spark, sf_dir):
     """Whole texts with line breaks and quotes through the CSV sink and back; every part has its header."""
     path = shared_path(spark)
     readers.write_outputs(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").repartition(8, "doc_id"), csv_path=path)
-    back, _ = readers.read_dataset(spark, path, "csv")
+    back, _ = readers.read_dataset(spark, path, "csv", **readers.WRITTEN_CSV)
     letters = F.regexp_replace("text", r"[\x09-\x0D\x20]+", "")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.md5(letters.cast("binary")).alias("letters"))
 

@@ -12,6 +12,8 @@ from .json_text import read_json
 from .xlsx import read_workbook
 
 FORMATS = ("csv", "tsv", "xlsx", "xls", "json", "parquet")
+#: Options that read what ``write_outputs`` wrote as CSV back whole: nothing about its form is guessed.
+WRITTEN_CSV = {"delimiter": ",", "encoding": "utf-8", "header": True, "as_written": True}
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, max_rows: int | None = None, **options) -> tuple[DataFrame, dict]:
@@ -31,7 +33,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, max_row
 
 
 def write_outputs(df: DataFrame, parquet_path: str | None = None, csv_path: str | None = None) -> None:
-    """Cleaned or combined rows as Parquet and as CSV with a header; nested columns as JSON text in CSV."""
+    """Cleaned or combined rows as Parquet and as CSV with a header; nested columns as JSON text in CSV, texts whole."""
     from pyspark.sql import functions as F
 
     if parquet_path:
@@ -39,7 +41,8 @@ def write_outputs(df: DataFrame, parquet_path: str | None = None, csv_path: str
     if csv_path:
         nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct") or isinstance(f.dataType, (MapType, VariantType))]
         flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
-        flat.write.mode("overwrite").options(header=True, escape='"').csv(csv_path)  # quotes are doubled, as other readers expect
+        # Quotes are doubled, as other readers expect; Spark trims texts unless told.
+        flat.write.mode("overwrite").options(header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(csv_path)
 
 
 def profile_json(document: dict) -> str:

@@ -1,16 +1,20 @@
 import csv
 import datetime as dt
+import hashlib
 import html
 import json
 import random
+import re
+import sys
 import zipfile
 
 import pytest
 
+from gristmill import queries
 from gristmill.plans import questions
 from gristmill.plans.analyze import analyze, answer, ask, combined_quality, insight_rows
 from gristmill.sources import xlsx
-from gristmill.sources.grid import detect_delimiter, detect_encoding, find_header, header_names, read_delimited
+from gristmill.sources.grid import HEAD_BYTES, detect_delimiter, detect_encoding, find_header, header_names, read_delimited
 from gristmill.sources.readers import profile_json, read_dataset, write_outputs
 from gristmill.streaming.monthly import months_of, stream_windows
 
@@ -86,6 +90,39 @@ def test_folders_have_a_header_in_each_file(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted((float(i), f'name {i}\n"q"', i * 0.5) for i in range(1000))
 
 
+def test_quoted_prose_has_no_delimiters(spark, tmp_path):
+    """Line breaks and marks in quoted cells once made "|" the delimiter."""
+    prose = "\n".join("Esoust | thntorti | ershha; andreoningth | edthth | hebleing" for _ in range(12))
+    rows = [["1", "en", "Short."], ["2", "en", prose], ["3", "fr", 'He said "' + prose + '" twice'], ["4", "en", "Last."]]
+    path = tmp_path / "t.csv"
+    with path.open("w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["doc_id", "lang", "text"], *rows])
+    df, info = read_delimited(spark, str(path))
+    assert info["delimiter"] == "," and df.columns == ["doc_id", "lang", "text"]
+    assert sorted(tuple(r) for r in df.collect()) == [(float(i), a, t) for i, a, t in rows]
+    assert detect_delimiter(f'a,b\n1,"{prose}') == "," and detect_delimiter(f'"a|b";c\n"{prose}";d\n') == ";"
+
+
+@pytest.mark.parametrize("before", range(4))
+def test_a_head_that_ends_inside_a_character_is_utf8(monkeypatch, before):
+    monkeypatch.setitem(sys.modules, "charset_normalizer", None)  # a guess isn't needed
+    assert detect_encoding(("x" * before + "é" * HEAD_BYTES).encode()[:HEAD_BYTES]) == "utf-8"
+    assert detect_encoding(("x" * before + "日" * HEAD_BYTES).encode()[:HEAD_BYTES]) == "utf-8"
+    assert detect_encoding(("x" * before + "abcdefgh café").encode("latin-1")) == "iso-8859-1"
+
+
+def test_delimited_folder_keeps_odd_cells(spark, tmp_path, small_ranges):
+    """What trimming, numbers in doubles and nulls for empty cells once changed."""
+    texts = [None, "", " \n\t ", "12", "\u3000wide\xa0", "\x01ctrl\x1f", "nul \0 within\0", "\ufeffmark", "a\rb\r\nc", '"', '""', ',"a', 'back\\"slash\\', "#note", "NaN", "1e5", "\u2028line\x85", "long " * 300 + '",\n"' + "é" * 500, "null", "\\N", "'q'|;\t"]
+    rows = [((1 << 53) + 1 + i, [None, "", " de ", "7"][i % 4], str(i % 20), t) for i, t in enumerate(texts)]
+    rows += [(None, None, None, None)] + [(i, "en", "007", str(i)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    letters = lambda t: None if t is None else hashlib.md5(re.sub("[\x09-\x0d\x20]+", "", t).encode()).hexdigest()
+    got = queries.delimited_folder(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, a, s, letters(t))) for i, a, s, t in rows)
+    assert got.dtypes == [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("letters", "string")]
+
+
 def test_headers_that_differ_line_up(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Customer Name,Total Count\nann,1\nbob,2\n")
     (tmp_path / "b.csv").write_text("Report of May,\nTotal Count,Customer Name,Status\n3,cid,new\nx,dot,old\n")
